@@ -70,6 +70,13 @@ join nation on n_nationkey = c_nationkey
 join region on r_regionkey = n_regionkey
 """
 
+# Lots filed under what they are, so that categories lean towards one bucket.
+VIEWS["shop_lots"] = """
+select auction_id, lot_number, title, condition, size, model, damaged, functional,
+  concat('Shop - ', split_part(title, ' ', case when condition = 'Mystery Grade' then 1 else 2 end), ' - ', status) as category
+from lots
+"""
+
 # A landing description: bare grade, labelled lines, or a placeholder.
 VIEWS["landing_text"] = """
 select lots.*, case priority
@@ -184,19 +191,14 @@ def _values(rows: list[tuple], columns: str) -> str:
 def _folded(rules, pick):
     import re
 
-    return [(r.name, re.sub(r"[-/]+", " ", s.strip().lower()), s != s.rstrip(), len(s.strip())) for r in rules for s in pick(r)]
+    return [(r.name, re.sub(r"[-/]+", " ", s.strip().lower()), s != s.rstrip(), len(s)) for r in rules for s in pick(r)]
 
 
 _order = list(dict.fromkeys(b.group for b in BUCKETS))
 VIEWS["dim_buckets"] = _values([(b.name, b.group, _order.index(b.group)) for b in BUCKETS], "bucket, bucket_group, group_pos")
 VIEWS["dim_seeds"] = _values(_folded(BUCKETS, lambda b: b.seeds), "bucket, seed, closed, seed_len")
 VIEWS["dim_excludes"] = _values(_folded(BUCKETS, lambda b: b.exclude), "bucket, seed, closed, seed_len")
-VIEWS["dim_prefixes"] = _values([(b.name, c, c.lower()) for b in BUCKETS for c in b.categories], "bucket, prefix, prefix_lower")
-VIEWS["dim_conditions"] = _values([(b.name, c) for b in BUCKETS for c in b.condition_in], "bucket, condition")
 VIEWS["dim_aliases"] = _values([(a, b.name) for b in BUCKETS for a in b.aliases], "old_name, bucket")
-VIEWS["dim_pseudo_seeds"] = _values(_folded(INTERESTS, lambda i: i.seeds), "bucket, seed, closed, seed_len")
-VIEWS["dim_pseudo_excludes"] = _values(_folded(INTERESTS, lambda i: i.exclude), "bucket, seed, closed, seed_len")
-VIEWS["dim_pseudo_prefixes"] = _values([(i.name, c, c.lower()) for i in INTERESTS for c in i.categories], "bucket, prefix, prefix_lower")
 VIEWS["dim_terms"] = _values([(g.name, t, t.lower()) for g in LEGEND for t in g.terms], "term_group, term, folded")
 VIEWS["dim_tags"] = _values([(t,) for t in TAGS], "tag")
 VIEWS["dim_subtypes"] = _values([(s,) for b in BUCKETS for s in b.subtypes], "subtype")
