@@ -31,7 +31,8 @@ def found_terms(body: Column, terms: Sequence[str]) -> Column:
 def term_hits(lots: DataFrame, terms: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
     """(lot, term, whole) for every match; ``whole`` marks a whole-word phrase."""
     keep = [c for c in ("buckets",) if c in lots.columns]
-    return (lots.select(*scope, "lot_number", *keep, F.explode(found_terms(all_text(lots.columns), terms)).alias("_t"))
+    found = text.let(all_text(lots.columns), lambda body: found_terms(body, terms))
+    return (lots.select(*scope, "lot_number", *keep, F.explode(found).alias("_t"))
             .select(*scope, "lot_number", *keep, "_t.*"))
 
 
@@ -52,7 +53,8 @@ def term_stats(lots: DataFrame, history: DataFrame, terms: Sequence[str]) -> Dat
         F.count("*").alias("now"), F.count_if(F.size("buckets") == 0).alias("missed"),
         F.count_if("whole").alias("whole")))
     titles = history.select("period", "title").distinct()
-    seen = (titles.select("period", F.explode(found_terms(text.fold_text(F.col("title")), terms)).alias("_t"))
+    found = text.let(text.fold_text(F.col("title")), lambda body: found_terms(body, terms))
+    seen = (titles.select("period", F.explode(found).alias("_t"))
             .select("period", "_t.term").distinct().groupBy("term").agg(F.count("*").alias("weeks")))
     names = spark.createDataFrame([(t,) for t in terms], "term string")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -73,10 +75,13 @@ def brand_signals(history: DataFrame) -> DataFrame:
 
 def uncovered_brands(signals: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Brands that neither contain a legend term nor are contained in one."""
-    covered = F.lit(False)
-    for t in (t.lower() for t in terms):
-        covered = covered | F.col("brand").contains(t) | F.lit(t).contains(F.col("brand"))
-    return signals.where(~covered)
+    lowered = [t.lower() for t in terms if t]
+    if not lowered:
+        return signals
+    brand = F.col("brand")
+    contains_term = brand.rlike("|".join(patterns.quote(t) for t in lowered))
+    inside_term = F.lit("\n".join(lowered)).contains(brand)  # a brand holds no line break
+    return signals.where(~contains_term & ~inside_term)
 
 
 def brand_suggest(signals: DataFrame, terms: Sequence[str], top: int = 60) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values, vocab
@@ -43,12 +44,12 @@ def scrape_clusters(assigned: DataFrame, starts: DataFrame, scope: Sequence[str]
     Two runs of one day carry the time in their label.
     """
     counts = assigned.where("scrape is not null").groupBy(*scope, "scrape").agg(F.count("*").alias("lots"))
-    day = lambda t: F.date_format(values.eastern(t), "EEE MMM d")
-    runs = starts.select(*scope, "starts", F.posexplode("starts").alias("_pos", "started_at"))
-    same_day = F.size(F.filter("starts", lambda s: day(s) == day(F.col("started_at"))))
-    label = F.when(same_day > 1, F.concat_ws(
-        " ", day(F.col("started_at")), F.date_format(values.eastern(F.col("started_at")), "HH:mm"))
-    ).otherwise(day(F.col("started_at")))
+    local = values.eastern(F.col("started_at"))
+    day = F.date_format(local, "EEE MMM d")
+    runs = starts.select(*scope, F.posexplode("starts").alias("_pos", "started_at"))
+    # One row per run by now, so counting the runs of a day is a small window.
+    same_day = F.count("*").over(W.partitionBy(*scope, day))
+    label = F.when(same_day > 1, F.concat_ws(" ", day, F.date_format(local, "HH:mm"))).otherwise(day)
     return (runs.select(*scope, (F.col("_pos") + 1).alias("scrape"), "started_at", label.alias("label"))
             .join(counts, [*scope, "scrape"]))
 

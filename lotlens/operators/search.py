@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +42,10 @@ def search_index(lots: DataFrame) -> DataFrame:
 
 
 def _every_token(body: Column, tokens: Sequence[str]) -> Column:
-    found = F.lit(bool(tokens))
-    for t in tokens:
-        found = found & body.contains(t)
-    return found
+    """All tokens occur in the text; the text is put together once."""
+    if not tokens:
+        return F.lit(False)
+    return text.let(body, lambda b: reduce(and_, [b.contains(t) for t in tokens]))
 
 
 def _near(field: Column, token: str) -> Column:

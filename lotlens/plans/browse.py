@@ -102,19 +102,19 @@ words as (select *, string_split_regex(title, '\\s+') as tw from folded)
 
 @query("search_fuzzy", _WORDS + """
 select lot_number from words where
-  ((contains(title, 'aremot') or len(list_filter(tw, lambda w: levenshtein(w, 'aremot') <= 1)) > 0
-    or contains(subcategory, 'aremot') or levenshtein(subcategory, 'aremot') <= 1 or contains(number, 'aremot') or levenshtein(number, 'aremot') <= 1)
+  ((contains(title, 'enlich') or len(list_filter(tw, lambda w: levenshtein(w, 'enlich') <= 1)) > 0
+    or contains(subcategory, 'enlich') or levenshtein(subcategory, 'enlich') <= 1 or contains(number, 'enlich') or levenshtein(number, 'enlich') <= 1)
    and (contains(title, 'src3') or contains(subcategory, 'src3') or contains(number, 'src3')))
-  or (contains(concat('  ', cats), 'aremot') and contains(concat('  ', cats), 'src3'))
+  or (contains(concat('  ', cats), 'enlich') and contains(concat('  ', cats), 'src3'))
 union all
 select lot_number || '?' from words where
-  contains(title, 'whsich') or len(list_filter(tw, lambda w: levenshtein(w, 'whsich') <= 1)) > 0
-    or contains(subcategory, 'whsich') or levenshtein(subcategory, 'whsich') <= 1 or contains(number, 'whsich') or levenshtein(number, 'whsich') <= 1
-  or contains(concat('  ', cats), 'whsich')""")
+  contains(title, 'schungge') or len(list_filter(tw, lambda w: levenshtein(w, 'schungge') <= 1)) > 0
+    or contains(subcategory, 'schungge') or levenshtein(subcategory, 'schungge') <= 1 or contains(number, 'schungge') or levenshtein(number, 'schungge') <= 1
+  or contains(concat('  ', cats), 'schungge')""")
 def search_fuzzy(t: Tables):
     docs = shapes.doc_lots(t)
-    two = search.search(docs, "arêmot src3", fuzzy=True).select("lot_number")
-    one = search.search(docs, "whsich", fuzzy=True).select(F.concat("lot_number", F.lit("?")).alias("lot_number"))
+    two = search.search(docs, "enlìch src3", fuzzy=True).select("lot_number")
+    one = search.search(docs, "schungge", fuzzy=True).select(F.concat("lot_number", F.lit("?")).alias("lot_number"))
     return two.unionByName(one)
 
 
