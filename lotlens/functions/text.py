@@ -36,40 +36,60 @@ def key_text(c: Column) -> Column:
 
 def canonical_condition(c: Column) -> Column:
     """Capitalise each run of letters: 'BRAND NEW - SEALED' -> 'Brand New - Sealed'."""
-    runs = F.regexp_extract_all(strip(c), F.lit(r"([A-Za-z']+|[^A-Za-z']+)"), F.lit(1))
+    known = F.create_map(*[F.lit(x) for v in vocab.CONDITIONS for x in (v.upper(), v)])
     capital = lambda r: F.when(
         r.rlike("^[A-Za-z']"), F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))
     ).otherwise(r)
-    return F.array_join(F.transform(runs, capital), "")
+    runs = lambda v: F.regexp_extract_all(v, F.lit(r"([A-Za-z']+|[^A-Za-z']+)"), F.lit(1))
+    # Grades of the vocabulary are looked up; only others are taken apart.
+    return let(strip(c), lambda v: F.coalesce(
+        F.try_element_at(known, F.upper(v)), F.array_join(F.transform(runs(v), capital), "")))
 
 
 def _unix_lines(c: Column) -> Column:
     return F.regexp_replace(c, r"\r\n|\r", "\n")
 
 
-def _is_bare_grade(text: Column) -> Column:
-    return F.upper(strip(text)).isin([v.upper() for v in vocab.CONDITIONS])
+def _is_grade(stripped: Column) -> Column:
+    return F.upper(stripped).isin([v.upper() for v in vocab.CONDITIONS])
 
 
-def condition_of(description: Column) -> Column:
-    """The grade a description carries, or NULL."""
-    text = _unix_lines(description)
+def _labelled_grade(text: Column) -> Column:
     line = strip(F.regexp_extract(text, r"(?dim)^condition:\s*(.+)$", 1))
-    usable = (line != "") & ~F.upper(line).isin(*vocab.CONDITION_PLACEHOLDERS)
-    return F.when(_is_bare_grade(text), canonical_condition(text)).when(usable, canonical_condition(line))
+    return let(line, lambda v: F.when(
+        (v != "") & ~F.upper(v).isin(*vocab.CONDITION_PLACEHOLDERS), canonical_condition(v)))
 
 
-def clean_description(description: Column) -> Column:
-    """Free text left after the 'Label: value' and 'Label? value' lines are dropped."""
-    text = _unix_lines(description)
+def _free_text(text: Column) -> Column:
     lines = F.split(text, r"[\n\x0B\f\x1C-\x1E\x85\u2028\u2029]")
     free = F.filter(lines, lambda l: ~strip(l).rlike(r"^[A-Za-z0-9 .'\-]+[?:]"))
-    rest = strip(F.array_join(free, "\n"))
-    return F.when(description.isNull() | _is_bare_grade(text), F.lit("")).otherwise(rest)
+    return strip(F.array_join(free, "\n"))
+
+
+def parse_description(description: Column) -> Column:
+    """struct(condition, rest) of a description, each part read once.
+
+    A description that is nothing but a known grade is the grade; otherwise the
+    first 'Condition:' line counts, and every 'Label: value' or 'Label? value'
+    line is dropped from the rest.
+    """
+    return let(_unix_lines(F.coalesce(description, F.lit(""))), lambda t: F.when(
+        _is_grade(strip(t)), F.struct(canonical_condition(t).alias("condition"), F.lit("").alias("rest"))
+    ).otherwise(F.struct(_labelled_grade(t).alias("condition"), _free_text(t).alias("rest"))))
+
+
+def condition_of(description: Column) -> Column:
+    """The grade a description carries, or NULL."""
+    return parse_description(description)["condition"]
+
+
+def clean_description(description: Column) -> Column:
+    """Free text left after the labelled lines are dropped."""
+    return parse_description(description)["rest"]
 
 
 def normalise_subtype(c: Column) -> Column:
-    return non_empty(F.lower(strip(F.regexp_replace(c, r"\s+", " "))))
+    return let(F.lower(strip(F.regexp_replace(c, r"\s+", " "))), lambda v: F.when(v != "", v))
 
 
 def dedup_ordered(values: Column) -> Column:
@@ -96,9 +116,9 @@ def _accent_table() -> tuple[str, str]:
 def fold_text(c: Column) -> Column:
     """Lower case without accents."""
     accented, base = _accent_table()
-    lowered = F.lower(F.coalesce(c, F.lit("")))
     # Plain ASCII text, the usual case, skips the per-character lookup.
-    return F.when(lowered.rlike(r"[^\x00-\x7f]"), F.translate(lowered, accented, base)).otherwise(lowered)
+    return let(F.lower(F.coalesce(c, F.lit(""))), lambda v: F.when(
+        v.rlike(r"[^\x00-\x7f]"), F.translate(v, accented, base)).otherwise(v))
 
 
 def fold_literal(s: str) -> str:
@@ -129,18 +149,20 @@ def sibling_key(title: Column, words: int = 3) -> Column:
 
     Three words need two alphabetic ones; two words must be a name and a code.
     """
-    all_words = _product_words(title)
-    lead = F.slice(all_words, 1, words)
     alphabetic = lambda w: w.rlike("^[A-Z]+$")
-    if words >= 3:
-        ok = F.size(F.filter(F.slice(all_words, 1, words), alphabetic)) >= 2
-    else:
-        ok = alphabetic(F.get(all_words, F.lit(0))) & _is_line_code(F.get(all_words, F.lit(1)))
-    return F.when((F.size(all_words) >= words) & ok, F.array_join(lead, " "))
+
+    def key(lead: Column) -> Column:
+        if words >= 3:
+            ok = F.size(F.filter(lead, alphabetic)) >= 2
+        else:
+            ok = alphabetic(F.get(lead, F.lit(0))) & _is_line_code(F.get(lead, F.lit(1)))
+        return F.when((F.size(lead) == words) & ok, F.array_join(lead, " "))
+
+    return let(F.slice(_product_words(title), 1, words), key)
 
 
 def title_brand(title: Column) -> Column:
     """Leading word of a title in lower case, unless it is a size, code or filler."""
     first = F.regexp_extract(F.upper(F.coalesce(title, F.lit(""))), r"[A-Z0-9][A-Z0-9'&.+-]*", 0)
-    word = F.btrim(first, F.lit("'.-+&"))
-    return F.when(~_is_line_code(word) & ~word.isin(*vocab.FILLER_WORDS), F.lower(word))
+    return let(F.btrim(first, F.lit("'.-+&")), lambda word: F.when(
+        ~_is_line_code(word) & ~word.isin(*vocab.FILLER_WORDS), F.lower(word)))

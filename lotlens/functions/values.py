@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import dedup_ordered, non_empty, strip
+from .text import dedup_ordered, let, strip
 
 
 # --- numbers and enumerations ------------------------------------------------
@@ -52,9 +52,8 @@ def final_price(bids: Column) -> Column:
     """
     head = F.get(bids, F.lit(0)).try_cast("double")
     second = F.get(bids, F.lit(1)).try_cast("double")
-    step = second - head
-    price = head - step
-    return F.when((step > 0) & (price > 0), price)
+    price = head - (second - head)
+    return F.when((second > head) & (price > 0), price)
 
 
 # --- times ----------------------------------------------------------------------
@@ -62,25 +61,36 @@ def final_price(bids: Column) -> Column:
 def _local_close(text: Column) -> Column:
     found = F.regexp_extract(
         text, r"(?i)(\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}:\d{2}\s+(?:AM|PM))\s+E[SD]T", 1)
-    tidy = F.upper(F.regexp_replace(found, r"\s+", " "))
-    return F.try_to_timestamp(non_empty(tidy), F.lit("M/d/yyyy h:mm:ss a"))
+    return let(F.upper(F.regexp_replace(found, r"\s+", " ")), lambda v: F.when(
+        v != "", F.try_to_timestamp(v, F.lit("M/d/yyyy h:mm:ss a"))))
 
 
-def close_ts(text: Column) -> Column:
-    """Closing instant named in a sentence. The zone label is ignored: the clock
-    reading is New York time whatever the label says."""
-    return F.to_utc_timestamp(_local_close(text), vocab.TIME_ZONE)
+def closing(text: Column) -> Column:
+    """struct(ts, iso) of the closing time named in a sentence.
 
+    The zone label is ignored: the clock reading is New York time whatever the
+    label says. ``iso`` is the reading with the New York offset of that date.
+    """
+    def both(local: Column) -> Column:
+        return let(F.to_utc_timestamp(local, vocab.TIME_ZONE), lambda utc: F.struct(
+            utc.alias("ts"), _iso(local, F.timestamp_diff("MINUTE", utc, local)).alias("iso")))
 
-def close_iso(text: Column) -> Column:
-    """The same instant as ISO text with the New York offset."""
-    local = _local_close(text)
-    minutes = F.floor((F.unix_timestamp(local) - F.unix_timestamp(close_ts(text))) / 60)
+    return let(_local_close(text), both)
+
+
+def _iso(local: Column, minutes: Column) -> Column:
     offset = F.format_string(
         "%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"),
         F.floor(F.abs(minutes) / 60).cast("int"), (F.abs(minutes) % 60).cast("int"))
-    return F.when(local.isNotNull(),
-                  F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset))
+    return F.when(local.isNotNull(), F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset))
+
+
+def close_ts(text: Column) -> Column:
+    return closing(text)["ts"]
+
+
+def close_iso(text: Column) -> Column:
+    return closing(text)["iso"]
 
 
 def parse_instant(text: Column) -> Column:

@@ -27,36 +27,40 @@ def key_string(title: str = "key_title", condition: str = "key_condition") -> Co
 
 
 def price_histogram(closed: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """(product, price, copies): the whole price list, run-length encoded.
+    """(product, price, spelling, copies): the whole price list, run-length encoded.
 
     ``price`` is NULL for unsold lots. Grouping on the price as well spreads a
     product that makes up much of the input over many tasks, and what is left of
-    it afterwards is one row per distinct price.
+    it afterwards is one row per distinct price. ``closed`` carries the reading
+    order in a numeric ``_ord``.
     """
-    priced = with_product_key(closed).withColumn("price", values.final_price(F.col("bids")))
-    return (priced.groupBy(*scope, *KEY, "price")
-            .agg(F.count("*").alias("copies"),
-                 F.min(F.struct("_ord", F.trim("title").alias("title"), "condition")).alias("_first")))
+    priced = (with_product_key(closed).withColumn("title", text.strip(F.col("title")))
+              .withColumn("price", values.final_price(F.col("bids"))))
+    return (priced.groupBy(*scope, *KEY, "price", "title", "condition")
+            .agg(F.count("*").alias("copies"), F.min("_ord").alias("_ord")))
 
 
 def sale_aggregate(closed: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Per product: sold, unsold, exact median, low and high. Products that sold
-    nothing stay, with NULL figures."""
+    nothing stay, with NULL figures; the first spelling seen is shown.
+
+    The median is read off the running count of each product's price list. Every
+    step after the histogram keeps its partitioning and order.
+    """
     key = [*scope, *KEY]
     by_price = W.partitionBy(*key).orderBy(F.col("price").asc_nulls_first())
-    ranked = (price_histogram(closed, scope)
-              .withColumn("_n", F.when(F.col("price").isNotNull(), F.col("copies")).otherwise(0))
+    sold = F.when(F.col("price").isNotNull(), F.col("copies")).otherwise(0)
+    ranked = (price_histogram(closed, scope).withColumn("_n", sold)
               .withColumn("_upto", F.sum("_n").over(by_price.rowsBetween(W.unboundedPreceding, 0)))
-              .withColumn("_sold", F.sum("_n").over(W.partitionBy(*key))))
+              .withColumn("_sold", F.sum("_n").over(by_price.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
     holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
+    at = lambda rank: F.max(F.when(holds(rank), F.col("price")))
     lower = F.floor((F.col("_sold") + 1) / 2)
     upper = F.floor((F.col("_sold") + 2) / 2)
     return (ranked.groupBy(*key).agg(
-        F.min("_first").alias("_first"),
-        F.sum("_n").alias("sold"),
-        F.sum(F.col("copies") - F.col("_n")).alias("unsold"),
-        ((F.max(F.when(holds(lower), F.col("price"))) + F.max(F.when(holds(upper), F.col("price")))) / 2).alias("median"),
-        F.min("price").alias("low"), F.max("price").alias("high"))
+        F.min(F.struct("_ord", "title", "condition")).alias("_first"),
+        F.sum("_n").alias("sold"), F.sum(F.col("copies") - F.col("_n")).alias("unsold"),
+        ((at(lower) + at(upper)) / 2).alias("median"), F.min("price").alias("low"), F.max("price").alias("high"))
         .select(*key, F.col("_first.title").alias("title"), F.col("_first.condition").alias("condition"),
                 "sold", "unsold", "median", "low", "high"))
 
@@ -64,7 +68,7 @@ def sale_aggregate(closed: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 def sale_prices(closed: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Sold prices of each product with their number of copies."""
     return (price_histogram(closed, scope).where("price is not null")
-            .select(*scope, *KEY, "price", "copies"))
+            .groupBy(*scope, *KEY, "price").agg(F.sum("copies").alias("copies")))
 
 
 def sale_close_date(closed: DataFrame, today: Column, scope: Sequence[str] = ("auction_id",)) -> DataFrame:

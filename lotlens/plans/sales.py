@@ -40,7 +40,7 @@ def sale_price(t: Tables):
 
 
 @query("sale_aggregate", "with " + _PRICED + """
-select key_title, key_condition, arg_min(trim(title), (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) as title,
+select key_title, key_condition, arg_min(trim(title), (l_orderkey * 10 + l_linenumber, trim(title))) as title,
   count(price) as sold, count(*) - count(price) as unsold, round(median(price), 6) as median, round(min(price), 6) as low, round(max(price), 6) as high
 from priced group by key_title, key_condition""")
 def sale_aggregate(t: Tables):
@@ -75,7 +75,7 @@ def sale_summary(t: Tables):
 
 @query("top_sellers", "with " + _PRICED + """
 select key_title, key_condition, count(price) as sold, round(median(price), 6) as median from priced group by all having count(price) > 0
-order by sold desc, arg_min(trim(title), (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)), key_condition limit 5""")
+order by sold desc, arg_min(trim(title), (l_orderkey * 10 + l_linenumber, trim(title))), key_condition limit 5""")
 def top_sellers(t: Tables):
     top = sales.top_sellers(sales.sale_aggregate(shapes.closed(t)))
     return top.select("key_title", "key_condition", "sold", F.round("median", 6).alias("median"))
