@@ -4,26 +4,11 @@ from __future__ import annotations
 
 import re
 
-from .text import WORD
-
 
 def quote(text: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}\-/&#~])", r"\\\1", text)
 
 
-def _is_word(ch: str) -> bool:
-    return ch.isalnum() or ch == "_"
-
-
-def left_edge(text: str) -> str:
-    """Word boundary before ``text``, whichever kind its first character asks for."""
-    return f"(?<!{WORD})" if _is_word(text[0]) else f"(?<={WORD})"
-
-
-def right_edge(text: str) -> str:
-    return f"(?!{WORD})" if _is_word(text[-1]) else f"(?={WORD})"
-
-
 def fold_hyphens(text: str) -> str:
     return re.sub(r"[-/]+", " ", text.lower())
 
@@ -35,9 +20,8 @@ def shortlist_pattern(seeds: list[str]) -> str | None:
         return None
     folded = [(fold_hyphens(s.strip()), s != s.rstrip()) for s in usable]
     folded.sort(key=lambda t: len(t[0]), reverse=True)
-    return "(" + "|".join(
-        left_edge(t) + quote(t) + (right_edge(t) if closed else "") for t, closed in folded
-    ) + ")"
+    # (?U): a word boundary also counts letters outside ASCII.
+    return r"(?U)\b(" + "|".join(quote(t) + (r"\b" if closed else "") for t, closed in folded) + ")"
 
 
 def title_seed_pattern(seeds: list[str], min_len: int) -> str | None:
@@ -45,7 +29,7 @@ def title_seed_pattern(seeds: list[str], min_len: int) -> str | None:
     usable = [s for s in seeds if len(s) >= min_len]
     if not usable:
         return None
-    return "(?iu)(" + "|".join(left_edge(s) + quote(s) for s in usable) + ")"
+    return r"(?iuU)\b(" + "|".join(quote(s) for s in usable) + ")"
 
 
 def anywhere_pattern(terms: list[str]) -> str | None:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from . import vocab
 
 WHITESPACE = " \t\n\r\x0b\x0c"
-WORD = r"[\p{L}\p{N}_]"
 
 
 def strip(c: Column) -> Column:

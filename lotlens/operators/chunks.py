@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
+from .skew import attach
 
 
 def _with_opening(products: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def chunk_products(products: DataFrame, target: int = vocab.CHUNK_ROWS, drift: i
     counts per title plus a rank inside the title.
     """
     run = [*scope, "_cat", "_open"]
-    planned = _with_opening(products).join(chunk_plan(products, target, drift, scope), run)
+    planned = attach(_with_opening(products), chunk_plan(products, target, drift, scope), run, "inner")
     split = F.size("inner_cuts") > 0
     whole = planned.where(~split).withColumn("chunk", F.col("first_chunk"))
     torn = planned.where(split)

@@ -31,3 +31,13 @@ def list_of(csv: Column) -> Column:
 
 def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
+
+
+def keep(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that satisfy a condition on costly computed columns.
+
+    A plain filter would be pushed below the projection that computes them and
+    evaluate them a second time; a one-element explode stays where it is.
+    """
+    one = F.explode(F.when(condition, F.array(F.lit(True)))).alias("_kept")
+    return df.select("*", one).drop("_kept")

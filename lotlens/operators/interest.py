@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.config import Bucket, Interest
-from .common import share
+from .common import keep, share
 from .sales import with_product_key
-from .shortlist import shortlist_lots
+from .shortlist import bucket_rows, shortlist_lots
+from .skew import attach
 
 NOISY_SUPPLY = 50
 
@@ -36,7 +37,7 @@ def with_sale_history(tracked: DataFrame, index: DataFrame) -> DataFrame:
     """Add what the product of each tracked lot sold for."""
     keyed = with_product_key(tracked.withColumn("_t", F.col("title")).withColumn("title", F.col("lot_title")))
     weeks = index.select("key_title", "key_condition", "weeks")
-    return (keyed.join(weeks, ["key_title", "key_condition"], "left")
+    return (attach(keyed, weeks, ["key_title", "key_condition"])
             .withColumn("title", F.col("_t")).drop("_t", "key_title", "key_condition"))
 
 
@@ -56,8 +57,7 @@ def taxonomy_gap(tracked: DataFrame) -> DataFrame:
 
 
 def _per_bucket(shortlisted: DataFrame, name: str) -> DataFrame:
-    return (shortlisted.select(F.explode("cand").alias("_c")).groupBy(F.col("_c.bucket").alias("bucket"))
-            .agg(F.count("*").alias(name)))
+    return bucket_rows(shortlisted).groupBy("bucket").agg(F.count("*").alias(name))
 
 
 def interest_lift(tracked: DataFrame, supply_gated: DataFrame, supply_open: DataFrame) -> DataFrame:
@@ -81,16 +81,15 @@ def interest_lift(tracked: DataFrame, supply_gated: DataFrame, supply_open: Data
 
 def bid_conversion(tracked: DataFrame) -> DataFrame:
     """Bids as a share of the tracked lots of each bucket."""
-    rows = tracked.select("signal", F.explode("cand").alias("_c"))
     bid = F.col("signal") == "bid"
-    return rows.groupBy(F.col("_c.bucket").alias("bucket")).agg(
+    return bucket_rows(tracked, "signal").groupBy("bucket").agg(
         F.count("*").alias("tracked"), F.count_if(bid).alias("bids"),
         F.round(F.avg(bid.cast("double")), 6).alias("bid_share"))
 
 
 def interest_gap(tracked: DataFrame, min_products: int = 5, min_auctions: int = 2) -> DataFrame:
     """Families of unmatched bids wide enough to be an interest of their own."""
-    loose = tracked.where((F.col("signal") == "bid") & (F.size("cand") == 0))
+    loose = keep(tracked.where(F.col("signal") == "bid"), F.size("cand") == 0)
     keyed = loose.withColumn("family", text.sibling_key(F.col("title"), 3)).where("family is not null")
     return (keyed.groupBy("family")
             .agg(F.countDistinct("title").alias("products"), F.countDistinct("date").alias("auctions"),
@@ -128,7 +127,7 @@ def engaged_vs_ignored(history: DataFrame, lots: DataFrame, buckets: Sequence[Bu
     engaged = history.select("date", F.col("lot").alias("lot_number"), F.lit(True).alias("_e")).distinct()
     rows = shortlist_lots(lots, buckets, gate=False).join(engaged, ["date", "lot_number"], "left")
     bad = F.coalesce(F.col("condition").isin(*poor), F.lit(False))
-    return (rows.select("condition", F.col("_e").isNotNull().alias("engaged"), F.explode("cand").alias("_c"))
-            .groupBy(F.col("_c.bucket").alias("bucket"), "engaged")
+    return (bucket_rows(rows.withColumn("engaged", F.col("_e").isNotNull()), "condition", "engaged")
+            .groupBy("bucket", "engaged")
             .agg(F.count("*").alias("lots"), F.count_if(bad).alias("poor"),
                  F.round(F.avg(bad.cast("double")), 6).alias("poor_share")))

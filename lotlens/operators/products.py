@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from .common import latest
+from .skew import attach
 
 
 def product_id(columns: Sequence[str]) -> Column:
@@ -41,8 +42,10 @@ def dedupe_products(slim: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 def product_members(slim: DataFrame, products: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(lot_number, rep_lot, qty) for every lot; many-to-one, so a hot product splits."""
-    lots = with_product_id(slim).select(*scope, "product_id", "lot_number")
-    return lots.join(products.select(*scope, "product_id", "rep_lot", "qty"), [*scope, "product_id"])
+    key = [*scope, "product_id"]
+    lots = with_product_id(slim).select(*key, "lot_number")
+    counts = products.select(*key, F.col("qty").alias("n"))
+    return attach(lots, products.select(*key, "rep_lot", "qty"), key, "inner", counts)
 
 
 def dedupe_stats(products: DataFrame) -> DataFrame:
@@ -55,13 +58,18 @@ def dedupe_stats(products: DataFrame) -> DataFrame:
     )
 
 
+def _copies(members: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(product, n), from the copy counts members carry."""
+    return members.select(*scope, "rep_lot", F.col("qty").alias("n")).where(F.col("n") > 1).distinct()
+
+
 def fanout_labels(members: DataFrame, answers: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Copy each product's answer to its lots; products without one get the base row."""
     fields = [f for f in vocab.LABEL_FIELDS if f in answers.columns]
     given = answers.select(*scope, F.col("lot_number").alias("rep_lot"), *fields)
     defaults = {"is_flagged": F.lit(False), "personal_match": F.lit(False),
                 "buckets": F.array().cast("array<string>")}
-    out = members.select(*scope, "lot_number", "rep_lot").join(given, [*scope, "rep_lot"], "left")
+    out = attach(members.select(*scope, "lot_number", "rep_lot"), given, [*scope, "rep_lot"], "left", _copies(members, scope))
     return out.select(*scope, "lot_number", "rep_lot", *[
         F.coalesce(f, defaults[f]).alias(f) if f in defaults else F.col(f) for f in fields])
 
@@ -73,7 +81,7 @@ def fanout_valuations(members: DataFrame, valuations: DataFrame, scope: Sequence
                               *[c for c in ("_ord",) if c in valuations.columns])
     if "_ord" in given.columns:
         given = latest(given, [*scope, "rep_lot"], "_ord").drop("_ord")
-    return members.select(*scope, "lot_number", "rep_lot").join(given, [*scope, "rep_lot"])
+    return attach(members.select(*scope, "lot_number", "rep_lot"), given, [*scope, "rep_lot"], "inner", _copies(members, scope))
 
 
 def unvalued_products(products: DataFrame, valuations: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, text, vocab
 from ..sources.config import Bucket
+from .skew import attach
 
 
 def labelled_products(products: DataFrame, labels: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -91,7 +92,7 @@ def suspect_evidence(labelled: DataFrame, buckets: Sequence[Bucket], scope: Sequ
         text.sibling_key(F.col("title"), 3).alias("_f3"), text.sibling_key(F.col("title"), 2).alias("_f2"))
     rel = lambda n: by_family.where(F.col("words") == n).select(
         F.col("family").alias(f"_f{n}"), F.col("_rel").alias(f"_rel{n}"))
-    joined = (quiet.join(rel(3), "_f3", "left").join(rel(2), "_f2", "left").join(dominant, "category", "left"))
+    joined = attach(attach(attach(quiet, rel(3), ["_f3"]), rel(2), ["_f2"]), dominant, ["category"])
     empty = F.array().cast("array<struct<bucket:string,sibling:string,sibling_lots:bigint>>")
     entry = lambda kind, c: F.transform(F.coalesce(c, empty), lambda r: F.struct(
         F.lit(kind).alias("kind"), r["bucket"].alias("bucket"), r["sibling"].alias("sibling"),

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, values, vocab
+from .skew import attach
 
 KEY = ("key_title", "key_condition")
 
@@ -139,7 +140,7 @@ def join_sale_history(lots: DataFrame, index: DataFrame) -> DataFrame:
     keyed = with_product_key(lots)
     titles = (index.groupBy("key_title")
               .agg(F.collect_set("key_condition").alias("_all")))
-    joined = keyed.join(titles, "key_title", "left")
+    joined = attach(keyed, titles, ["key_title"])
     own = F.col("key_condition")
     graded = F.filter("_all", lambda g: (g != "") & (g != own))
     ranked = F.array_sort(F.transform(graded, lambda g: _ladder_order(own, g)))
@@ -160,7 +161,7 @@ def sale_history_for_lot(lots: DataFrame, index: DataFrame) -> DataFrame:
                .withColumn("_grade", F.when(F.col("sale_key").isNotNull(), F.col("key_condition"))
                            .otherwise(F.col("nearest_grade"))))
     weeks = index.select(F.col("key_title"), F.col("key_condition").alias("_grade"), "weeks")
-    return stamped.join(weeks, ["key_title", "_grade"], "left").drop("_grade", "nearest_grade")
+    return attach(stamped, weeks, ["key_title", "_grade"]).drop("_grade", "nearest_grade")
 
 
 def sale_index_used(stamped: DataFrame, index: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values, vocab
+from .skew import attach
 
 
 def cluster_starts(lots: DataFrame, stamp: Column, scope: Sequence[str] = ()) -> DataFrame:
@@ -30,15 +31,27 @@ def cluster_starts(lots: DataFrame, stamp: Column, scope: Sequence[str] = ()) ->
     return stamps.groupBy(*scope).agg(fold.alias("starts"))
 
 
-def assign_scrapes(lots: DataFrame, starts: DataFrame, stamp: Column, scope: Sequence[str] = ()) -> DataFrame:
+def run_stamps(lots: DataFrame, stamp: Column, scope: Sequence[str] = ()) -> DataFrame:
+    """(stamp, scrape, started_at) for every distinct stamp of an auction.
+
+    The run number of a stamp is the number of run starts up to it.
+    """
+    stamps = lots.select(*scope, stamp.alias("_ts")).where("_ts is not null").distinct()
+    starts = (cluster_starts(lots, stamp, scope).select(*scope, F.explode("starts").alias("_ts"))
+              .withColumn("_start", F.col("_ts")))
+    upto = W.partitionBy(*scope).orderBy("_ts").rowsBetween(W.unboundedPreceding, 0)
+    return (stamps.join(starts, [*scope, "_ts"], "left")
+            .select(*scope, "_ts", F.count("_start").over(upto).alias("scrape"),
+                    F.max("_start").over(upto).alias("started_at")))
+
+
+def assign_scrapes(lots: DataFrame, stamps: DataFrame, stamp: Column, scope: Sequence[str] = ()) -> DataFrame:
     """Lots with their 1-based run number; NULL without a usable stamp."""
-    df = lots.withColumn("_ts", stamp)
-    df = df.join(starts, [*scope], "left") if scope else df.withColumn("starts", starts.scalar())
-    number = F.size(F.filter("starts", lambda s: s <= F.col("_ts")))
-    return df.withColumn("scrape", F.when(F.col("_ts").isNotNull(), number)).drop("_ts", "starts")
+    numbered = stamps.select(*scope, "_ts", "scrape")
+    return attach(lots.withColumn("_ts", stamp), numbered, [*scope, "_ts"]).drop("_ts")
 
 
-def scrape_clusters(assigned: DataFrame, starts: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def scrape_clusters(assigned: DataFrame, stamps: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """One row per run: number, start, Eastern label and lots.
 
     Two runs of one day carry the time in their label.
@@ -46,11 +59,11 @@ def scrape_clusters(assigned: DataFrame, starts: DataFrame, scope: Sequence[str]
     counts = assigned.where("scrape is not null").groupBy(*scope, "scrape").agg(F.count("*").alias("lots"))
     local = values.eastern(F.col("started_at"))
     day = F.date_format(local, "EEE MMM d")
-    runs = starts.select(*scope, F.posexplode("starts").alias("_pos", "started_at"))
+    runs = stamps.select(*scope, "scrape", "started_at").distinct()
     # One row per run by now, so counting the runs of a day is a small window.
     same_day = F.count("*").over(W.partitionBy(*scope, day))
     label = F.when(same_day > 1, F.concat_ws(" ", day, F.date_format(local, "HH:mm"))).otherwise(day)
-    return (runs.select(*scope, (F.col("_pos") + 1).alias("scrape"), "started_at", label.alias("label"))
+    return (runs.select(*scope, "scrape", "started_at", label.alias("label"))
             .join(counts, [*scope, "scrape"]))
 
 

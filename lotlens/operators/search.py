@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -48,14 +48,13 @@ def _every_token(body: Column, tokens: Sequence[str]) -> Column:
     return text.let(body, lambda b: reduce(and_, [b.contains(t) for t in tokens]))
 
 
-def _near(field: Column, token: str) -> Column:
+def _near(token: str, field: Column) -> Column:
     """The field contains the token, or one of its words is within 20% edits of it."""
     edits = int(TOLERANCE * len(token))
     near = field.contains(token)
     if edits:
-        words = F.split(field, r"\s+")
-        near = near | F.exists(words, lambda w: (F.abs(F.length(w) - len(token)) <= edits)
-                               & (F.levenshtein(w, F.lit(token), edits) >= 0))
+        near = near | F.exists(F.split(field, r"\s+"), lambda w: (
+            F.abs(F.length(w) - len(token)) <= edits) & (F.levenshtein(w, F.lit(token), edits) >= 0))
     return near
 
 
@@ -68,13 +67,11 @@ def matches(columns: Sequence[str], query: str, fuzzy: bool = False) -> Column:
     if not fuzzy:
         body = F.col("search_all") if "search_all" in columns else all_text(columns)
         return _every_token(body, tokens)
-    near = F.lit(bool(tokens))
-    for t in tokens:
-        hit = F.lit(False)
-        for c in ("title", "subcategory", "lot_number"):
-            if c in columns:
-                hit = hit | _near(text.fold_text(F.col(c)), t)
-        near = near & hit
+    if not tokens:
+        return F.lit(False)
+    short = F.array(*[text.fold_text(F.col(c)) for c in ("title", "subcategory", "lot_number") if c in columns])
+    near = text.let(short, lambda fields: reduce(and_, [
+        F.exists(fields, partial(_near, t)) for t in tokens]))
     body = F.col("search_long") if "search_long" in columns else long_text(columns)
     return near | _every_token(body, tokens)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, text, vocab
 from ..sources.config import Bucket, Interest
-from .common import share
+from .common import keep, share
 
 HAYSTACK = ("title", "model", "size", "notes", "category")
 
@@ -36,7 +36,7 @@ def _reason(rule: Bucket, body: Column, crumbs: Column, condition: Column, gate:
     found = F.lit(None).cast("string")
     pattern = patterns.shortlist_pattern(list(rule.seeds))
     if pattern:
-        found = text.non_empty(F.regexp_extract(body, pattern, 1))
+        found = F.regexp_substr(body, F.lit(pattern))
     for prefix in rule.categories:
         segments = [patterns.fold_hyphens(s.strip()) for s in prefix.split(vocab.CRUMB)]
         inside = F.slice(crumbs, 1, len(segments)) == F.array(*[F.lit(s) for s in segments])
@@ -50,17 +50,14 @@ def _reason(rule: Bucket, body: Column, crumbs: Column, condition: Column, gate:
     return F.when(admitted, found)
 
 
-def hits(rules: Sequence[Bucket], columns: Sequence[str], gate: bool = True,
-         body: str = "_body", crumbs: str = "_crumbs") -> Column:
-    """array<struct<bucket, reason>> of the rules a lot satisfies, in rule order."""
-    condition = F.col("condition") if "condition" in columns else F.lit(None).cast("string")
-    found = [
-        F.struct(F.lit(r.name).alias("bucket"),
-                 _reason(r, F.col(body), F.col(crumbs), condition, gate).alias("reason"))
-        for r in rules if r.configured]
-    if not found:
-        return F.array().cast("array<struct<bucket:string,reason:string>>")
-    return F.filter(F.array(*found), lambda h: h["reason"].isNotNull())
+HITS = "array<struct<bucket:string,reason:string>>"
+
+
+def _hits(names: Sequence[str], columns: Sequence[str]) -> Column:
+    """The rules with a reason, in rule order."""
+    found = [F.when(F.col(c).isNotNull(), F.struct(F.lit(n).alias("bucket"), F.col(c).alias("reason")))
+             for n, c in zip(names, columns)]
+    return F.array_compact(F.array(*found)) if found else F.array().cast(HITS)
 
 
 def shortlist_lots(lots: DataFrame, buckets: Sequence[Bucket], interests: Sequence[Interest] = (),
@@ -68,18 +65,32 @@ def shortlist_lots(lots: DataFrame, buckets: Sequence[Bucket], interests: Sequen
     """Every lot with ``cand`` (buckets hit) and ``profile`` (interests hit)."""
     category = F.col("category") if "category" in lots.columns else F.lit("")
     pseudo = [i.as_rule() for i in interests]
-    prepared = (lots.withColumn("_body", haystack(lots.columns))
-                .withColumn("_crumbs", crumb_segments(category)))
-    return (prepared.withColumn("cand", hits(buckets, lots.columns, gate))
-            .withColumn("profile", hits(pseudo, lots.columns, gate))
-            .drop("_body", "_crumbs"))
+    rules = {"cand": [b for b in buckets if b.configured], "profile": [r for r in pseudo if r.configured]}
+    condition = F.col("condition") if "condition" in lots.columns else F.lit(None).cast("string")
+    prepared = lots.select("*", haystack(lots.columns).alias("_body"), crumb_segments(category).alias("_crumbs"))
+    # One column per rule, so that each pattern runs in generated code exactly once.
+    reasons = prepared.select(*lots.columns, *[
+        _reason(r, F.col("_body"), F.col("_crumbs"), condition, gate).alias(f"_{kind}{i}")
+        for kind, listed in rules.items() for i, r in enumerate(listed)])
+    return reasons.select(*lots.columns, *[
+        _hits([r.name for r in listed], [f"_{kind}{i}" for i in range(len(listed))]).alias(kind)
+        for kind, listed in rules.items()])
 
 
 def _candidates(shortlisted: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    return shortlisted.select(*scope, "lot_number", F.explode("cand").alias("_c")).select(
+    # Exploding a derived array rather than the column itself: for a bare column the
+    # optimizer adds a filter on its size, which would match every pattern twice.
+    entries = F.transform("cand", lambda c: F.struct(c["bucket"].alias("bucket"), c["reason"].alias("reason")))
+    return shortlisted.select(*scope, "lot_number", F.explode(entries).alias("_c")).select(
         *scope, "lot_number", "_c.bucket", "_c.reason")
 
 
+def bucket_rows(shortlisted: DataFrame, *columns: str) -> DataFrame:
+    """One row per (lot, bucket) with the given columns of the lot."""
+    names = F.transform("cand", lambda c: c["bucket"])
+    return shortlisted.select(*columns, F.explode(names).alias("bucket"))
+
+
 def bucket_sizes(shortlisted: DataFrame, top: int = 3) -> DataFrame:
     """Lots per bucket, their share of all lots, and the most productive seeds."""
     counted = (_candidates(shortlisted).groupBy("bucket", "reason").agg(F.count("*").alias("n")))
@@ -102,7 +113,7 @@ def with_primary(shortlisted: DataFrame, sizes: DataFrame) -> DataFrame:
     ``sizes`` has one row per configured bucket, so it travels as one array.
     """
     table = sizes.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "lots")))).scalar()
-    rows = (shortlisted.where((F.size("cand") > 0) | (F.size("profile") > 0))
+    rows = (keep(shortlisted, (F.size("cand") > 0) | (F.size("profile") > 0))
             .withColumn("_sizes", table))
     rarest = F.array_min(F.transform("cand", lambda c: F.struct(
         F.coalesce(F.try_element_at("_sizes", c["bucket"]), F.lit(0)).alias("size"), c["bucket"].alias("bucket"))))
@@ -126,7 +137,7 @@ def candidate_order(primary: DataFrame) -> DataFrame:
 
 def sweep_sample(shortlisted: DataFrame, n: int = vocab.SWEEP_ROWS, seed: str = vocab.SWEEP_SEED) -> DataFrame:
     """A repeatable sample of lots nothing matched, for quality checks."""
-    rest = shortlisted.where((F.size("cand") == 0) & (F.size("profile") == 0))
+    rest = keep(shortlisted, (F.size("cand") == 0) & (F.size("profile") == 0))
     return rest.orderBy(F.md5(F.concat(F.lit(seed), F.col("lot_number"))), "lot_number").limit(n)
 
 

@@ -224,8 +224,8 @@ def _stamp():
 
 def _runs(t: Tables):
     lots = t["lots"].select("auction_id", "lot_number", "first_seen")
-    starts = scrapes.cluster_starts(lots, _stamp(), SCOPE)
-    return scrapes.assign_scrapes(lots, starts, _stamp(), SCOPE), starts
+    stamps = scrapes.run_stamps(lots, _stamp(), SCOPE)
+    return scrapes.assign_scrapes(lots, stamps, _stamp(), SCOPE), stamps
 
 
 @query("scrape_clusters", _RUNS + """
@@ -233,8 +233,8 @@ select l.auction_id, l.scrape, strftime(l.ts, '%Y-%m-%d %H:%M:%S') as started_at
   case when count(*) over (partition by l.auction_id, day) > 1 then day || ' ' || hour else day end as label, c.lots
 from labelled l join (select auction_id, scrape, count(*) as lots from assigned where scrape is not null group by 1, 2) c on c.auction_id = l.auction_id and c.scrape = l.scrape""")
 def scrape_clusters(t: Tables):
-    assigned, starts = _runs(t)
-    out = scrapes.scrape_clusters(assigned, starts, SCOPE)
+    assigned, stamps = _runs(t)
+    out = scrapes.scrape_clusters(assigned, stamps, SCOPE)
     return out.withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))
 
 
