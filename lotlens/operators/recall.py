@@ -92,7 +92,10 @@ def suspect_evidence(labelled: DataFrame, buckets: Sequence[Bucket], scope: Sequ
         text.sibling_key(F.col("title"), 3).alias("_f3"), text.sibling_key(F.col("title"), 2).alias("_f2"))
     rel = lambda n: by_family.where(F.col("words") == n).select(
         F.col("family").alias(f"_f{n}"), F.col("_rel").alias(f"_rel{n}"))
-    joined = attach(attach(attach(quiet, rel(3), ["_f3"]), rel(2), ["_f2"]), dominant, ["category"])
+    joined = quiet
+    for key, table in (("_f3", rel(3)), ("_f2", rel(2)), ("category", dominant)):
+        # Counted on the narrow input, not on what the joins before produced.
+        joined = attach(joined, table, [key], counts=quiet.groupBy(key).agg(F.count("*").alias("n")))
     empty = F.array().cast("array<struct<bucket:string,sibling:string,sibling_lots:bigint>>")
     entry = lambda kind, c: F.transform(F.coalesce(c, empty), lambda r: F.struct(
         F.lit(kind).alias("kind"), r["bucket"].alias("bucket"), r["sibling"].alias("sibling"),

@@ -125,43 +125,44 @@ def _ladder_order(own: Column, candidate: Column) -> Column:
         candidate.alias("condition"))
 
 
-def title_grades(index: DataFrame) -> DataFrame:
-    """Graded conditions with history, per title (one entry per grade in use)."""
-    return (index.where(F.col("key_condition") != "").groupBy("key_title")
-            .agg(F.collect_set("key_condition").alias("_grades")))
+def _stamp(lots: DataFrame, index: DataFrame, with_weeks: bool) -> DataFrame:
+    """Lots with their own key, the other grades of the title, and the grade to show.
 
-
-def join_sale_history(lots: DataFrame, index: DataFrame) -> DataFrame:
-    """Stamp ``sale_key`` (own history) and ``alt_keys`` (same title, other grades).
-
-    History is folded to one row per title first, so a popular title multiplies
-    nothing and the join stays many-to-one.
+    History is folded to one row per title first (a title has as many entries as
+    grades, and eight periods each), so a popular title multiplies nothing and one
+    many-to-one join answers everything.
     """
-    keyed = with_product_key(lots)
-    titles = (index.groupBy("key_title")
-              .agg(F.collect_set("key_condition").alias("_all")))
-    joined = attach(keyed, titles, ["key_title"])
+    entry = F.struct("key_condition", "weeks") if with_weeks else F.struct("key_condition")
+    titles = index.groupBy("key_title").agg(F.collect_list(entry).alias("_all"))
+    joined = attach(with_product_key(lots), titles, ["key_title"])
     own = F.col("key_condition")
-    graded = F.filter("_all", lambda g: (g != "") & (g != own))
-    ranked = F.array_sort(F.transform(graded, lambda g: _ladder_order(own, g)))
-    alternates = F.transform(ranked, lambda r: F.concat_ws("|", F.col("key_title"), r["condition"]))
-    return joined.select(
-        *lots.columns, *KEY,
-        F.when(F.array_contains("_all", own), key_string()).alias("sale_key"),
-        F.when(F.size(alternates) > 0, alternates).alias("alt_keys"),
-        F.get(ranked, F.lit(0))["condition"].alias("nearest_grade"))
+    known = F.exists("_all", lambda e: e["key_condition"] == own)
+    graded = F.filter("_all", lambda e: (e["key_condition"] != "") & (e["key_condition"] != own))
+    ranked = F.array_sort(F.transform(graded, lambda e: _ladder_order(own, e["key_condition"])))
+    return joined.select(*lots.columns, *KEY, "_all", known.alias("_own"), ranked.alias("_ranked"))
+
+
+def _keys_of(stamped: DataFrame) -> DataFrame:
+    alternates = F.transform("_ranked", lambda r: F.concat_ws("|", F.col("key_title"), r["condition"]))
+    return (stamped.withColumn("sale_key", F.when(F.col("_own"), key_string()))
+            .withColumn("alt_keys", F.when(F.size("_ranked") > 0, alternates)))
+
+
+def join_sale_history(lots: DataFrame, index: DataFrame) -> DataFrame:
+    """Stamp ``sale_key`` (own history) and ``alt_keys`` (same title, other grades,
+    nearest first)."""
+    return _keys_of(_stamp(lots, index, with_weeks=False)).drop("_all", "_own", "_ranked")
 
 
 def sale_history_for_lot(lots: DataFrame, index: DataFrame) -> DataFrame:
-    """Each lot with the newest period of its own history, else of the nearest other
+    """Each lot with the periods of its own history, else of the nearest other
     grade, labelled with that grade. The two are never blended."""
-    stamped = join_sale_history(lots, index)
-    borrowed = F.col("sale_key").isNull() & F.col("alt_keys").isNotNull()
-    stamped = (stamped.withColumn("source_grade", F.when(borrowed, F.col("nearest_grade")))
-               .withColumn("_grade", F.when(F.col("sale_key").isNotNull(), F.col("key_condition"))
-                           .otherwise(F.col("nearest_grade"))))
-    weeks = index.select(F.col("key_title"), F.col("key_condition").alias("_grade"), "weeks")
-    return attach(stamped, weeks, ["key_title", "_grade"]).drop("_grade", "nearest_grade")
+    stamped = _keys_of(_stamp(lots, index, with_weeks=True))
+    nearest = F.get("_ranked", F.lit(0))["condition"]
+    grade = F.when(F.col("_own"), F.col("key_condition")).otherwise(nearest)
+    chosen = F.get(F.filter("_all", lambda e: e["key_condition"] == grade), F.lit(0))
+    return (stamped.withColumn("source_grade", F.when(~F.col("_own"), nearest))
+            .withColumn("weeks", chosen["weeks"]).drop("_all", "_own", "_ranked"))
 
 
 def sale_index_used(stamped: DataFrame, index: DataFrame) -> DataFrame:
