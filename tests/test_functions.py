@@ -17,7 +17,7 @@ def one(spark, column, **cols):
     ("EXCELLENT", "Excellent", ""),
     ("  brand new - sealed \r", "Brand New - Sealed", ""),
     ("Condition: NEW (ADJUSTED QUANTITY)\rIn packaging? Yes\rA kettle.", "New (Adjusted Quantity)", "A kettle."),
-    ("Condition: ON-SITE BAT'S PICK", "On-Site Bat's Pick", ""),
+    ("Condition: ON-SITE CAT'S PICK", "On-Site Cat's Pick", ""),
     ("Condition: SELECT CONDITION HERE\nplain words", None, "plain words"),
     ("MYSTERY", None, "MYSTERY"),
     ("Est. Retail Price: 249.00\r\nCondition: GOOD\r\n\r\nFirst line\nSecond line", "Good", "First line\nSecond line"),

@@ -10,7 +10,7 @@ import compare
 FOLDER = os.environ.get("LOTLENS_TEST_DATA", "/root/testdata/sf0.001")
 NAMES = sorted(entry_points.queries())
 # Thresholds that the smallest tables do not reach.
-MAY_BE_EMPTY = {"category_dominance", "audit_seed_lift", "top_terms", "gate_slim", "search_fuzzy"}
+MAY_BE_EMPTY = {"browse", "category_dominance", "audit_seed_lift", "top_terms", "gate_slim", "search_fuzzy"}
 
 
 @pytest.fixture(scope="module")
