@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, values, vocab
 from .common import as_key, latest
+from .skew import attach
 
 
 def listings_by_key(lots: DataFrame, columns: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
@@ -32,7 +33,7 @@ def match_labels(labels: DataFrame, lots: DataFrame, columns: Sequence[str],
                  scope: Sequence[str] = ()) -> DataFrame:
     """Labels with the lot they name in ``_lot`` (NULL for an orphan) and ``matched_by``."""
     keyed = labels.withColumn("_key", as_key(F.col("lot_number")))
-    return keyed.join(listings_by_key(lots, columns, scope), [*scope, "_key"], "left").drop("_key")
+    return attach(keyed, listings_by_key(lots, columns, scope), [*scope, "_key"]).drop("_key")
 
 
 def join_labels_raw(labels: DataFrame, lots: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
