@@ -16,7 +16,7 @@ import re
 import numpy as np
 import regex
 
-GENERATION, LONGEST_RUN = 400_000, 48
+GENERATION, LONGEST_RUN = 800_000, 48
 _SPACED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 #: Anything but a line end and the printable characters that every version of Unicode classes alike.
@@ -62,8 +62,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = _alphabet()
         self.as_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.young: dict[str, bytes] = {}  # of runs that follow a space
-        self.old: dict[str, bytes] = {}
+        self.runs = Runs(self)
         self.pieces: dict[str, bytes] = {}
 
     def _plainly(self, texts: list[str]) -> list[bytes]:
@@ -83,39 +82,35 @@ class Encoder:
                 self.pieces[piece] = ids
         return ids
 
-    def _learn(self, runs: set[str]) -> dict[str, bytes]:
-        """Of runs that the younger generation lacks: first from the older, then by the library."""
-        if len(self.young) > GENERATION:
-            self.old, self.young = self.young, {}
-        if len(self.pieces) > GENERATION:
-            self.pieces = {}
-        got, unsure, old, piece = {}, [], self.old, self._piece
-        for r in runs:
-            ids = old.get(r)
-            if ids is None:
-                if len(r) > LONGEST_RUN or _UNSURE.search(r):
-                    unsure.append(r)
-                    continue
-                ids = b"".join(map(piece, PIECES.findall(" " + r)))
-            got[r] = ids
-        self.young.update(got)
-        if unsure:
-            ids = dict(zip(unsure, self._plainly([" " + r for r in unsure]), strict=True))
-            self.young.update((r, x) for r, x in ids.items() if len(r) <= LONGEST_RUN)
-            got.update(ids)
-        return got
+    def run(self, run: str) -> bytes:
+        """The ids of a run that follows a space."""
+        if len(run) > LONGEST_RUN or _UNSURE.search(run):
+            return self._plainly([" " + run])[0]
+        return b"".join(map(self._piece, PIECES.findall(" " + run)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [(_CUT.split(t) if _SPACED.search(t) else t.split(" ")) for t in texts]
         heads = self._plainly([runs[0] for runs in cut])
-        found = [list(map(self.young.get, runs)) for runs in cut]
-        lacking = set()
-        for runs, ids in zip(cut, found, strict=True):
-            ids[0] = b""
-            if None in ids:
-                lacking.update([r for r, x in zip(runs, ids, strict=True) if x is None])
-        new = self._learn(lacking) if lacking else {}
-        for runs, ids in zip(cut, found, strict=True):
-            if None in ids:
-                ids[:] = [new[r] if x is None else x for r, x in zip(runs, ids, strict=True)]
-        return [head + b"".join(ids) for head, ids in zip(heads, found, strict=True)]
+        out = []
+        for head, runs in zip(heads, cut, strict=True):
+            out.append(head + b"".join(map(self.runs.__getitem__, runs[1:])))
+            if len(self.runs) > GENERATION:
+                self.runs = Runs(self, self.runs)
+                self.pieces.clear()
+        return out
+
+
+class Runs(dict):
+    """Ids of runs that follow a space; what is missing comes from the generation before, or from the encoder."""
+
+    def __init__(self, encoder: Encoder, before: Runs | None = None):
+        super().__init__()
+        self.encoder, self.before = encoder, dict(before or ())  # and forgets what stood before that
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.before.get(run)
+        if ids is None:
+            ids = self.encoder.run(run)
+        if len(run) <= LONGEST_RUN:
+            self[run] = ids
+        return ids
