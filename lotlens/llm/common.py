@@ -160,7 +160,7 @@ def batches(schema: pa.Schema, rows: Iterator[Sequence], most: int = 5_000, most
 
     for row in rows:
         held.append(row)
-        size += sum(len(x) for x in row if isinstance(x, bytes)) + 64
+        size += sum(len(x) for x in row if isinstance(x, (bytes, str))) + 64
         if len(held) >= most or size >= most_bytes:
             yield out()
             held, size = [], 0

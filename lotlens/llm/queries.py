@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idfile, packing, secrets, topk, toxicity
+from . import (crossentropy, decontamination, idfile, licences, ngram_join, packing, secrets, substrings, topk,
+               toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return idfile.roundtrip(table(spark, folder, "documents"))
 
 
+@query("op3_licences", licences.oracle())
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.digests(licences.scan(table(spark, folder, "documents")))
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, folder, "documents")))
@@ -54,6 +60,26 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.digests(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op6_spaced_seeds")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_cross_entropy_difference")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return crossentropy.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op8_linked_secrets")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, folder, "documents")))
+
+
+@query("op9_repeated_windows")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digests(substrings.deduplicated(table(spark, folder, "documents")))
+
+
+@query("op10_ngram_jaccard")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.digests(ngram_join.groups(table(spark, folder, "documents")))

@@ -1,10 +1,61 @@
-"""The stages of the corpus pipeline: each takes (spark, docs, folder) and applies one operator to all of ``docs``."""
+"""The stages of the corpus pipeline: each takes (spark, docs, folder) and applies one operator to all of ``docs``.
+
+All but the last return rows with the columns that they got. A row is known by its id and the hash of its text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import common, decontamination, ngram_join
 from . import packing as pack
+from . import secrets as secret_scan
+from . import toxicity as toxic
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Whole rows of documents (so that no name of theirs can clash) beside the key that the operators know them by."""
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc.alias("k_doc"),
+                       F.xxhash64(F.lit(7), doc, text).alias("k_hash"))
+
+
+def _met() -> Column:
+    """A keyed document is the one that doc_id and _h name."""
+    return F.col("k_doc").eqNullSafe(F.col("doc_id")) & (F.col("k_hash") == F.col("_h"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Operator 5: documents that score below the threshold stay."""
+    name = "score"
+    while name in docs.columns:
+        name = f"_{name}"
+    model = toxic.train(docs, common.table(spark, folder, "labels"))
+    return toxic.score(docs, model, name).where(F.col(name) < toxic.THRESHOLD).drop(name)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Operator 10: of each class of linked documents the one with the least id stays, once."""
+    first = (F.col("_h") == F.col("class_h")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    heads = ngram_join.groups(docs).where(first).select("doc_id", "_h").distinct()
+    return (_keyed(docs).join(heads, _met(), "left_semi").groupBy("k_doc", "k_hash")
+            .agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Operator 6: documents that overlap no benchmark item stay."""
+    found, _ = decontamination.overlaps(docs, common.table(spark, folder, "benchmark"))
+    leaks = common.saved(found.select("doc_id", "_h").distinct(), "leaks")
+    return _keyed(docs).join(leaks, _met(), "left_anti").select("row.*")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Operator 8: every document stays; its secrets are replaced by their kind in brackets."""
+    found = common.saved(secret_scan.scan(docs).where(F.size("spans") > 0).distinct(), "spans")
+    both = _keyed(docs).join(found, _met(), "left")
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(secret_scan.redacted(F.col("row.text"), F.col("spans")))
+    return both.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -7,40 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 200_000   # rows one key may bring to a task
-HOT_KEYS = 1_000     # keys worth splitting; any other key has under 0.1% of the rows
-PARTS = 64           # parts a hot key is split into
+ROWS_PER_PART = 1_000_000   # rows one key may bring to a task
+_UNMATCHED_PARTS = 4096     # rows with a null in the key meet nothing, but must not pile up
 
 
-def hot_keys(counts: DataFrame, on: Sequence[str], at_least: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys, a thousand at most, from (key..., n) counts."""
-    return (counts.where(F.col("n") >= at_least).orderBy(F.desc("n"), *on).limit(HOT_KEYS)
-            .select(*on, F.lit(True).alias("_hot")))
+def hot_keys(counts: DataFrame, on: Sequence[str], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Keys with more rows than a task should get, and how many parts to split them into, from (key..., n) counts."""
+    return (counts.where(F.col("n") > rows_per_part)
+            .select(*on, F.ceil(F.col("n") / rows_per_part).cast("int").alias("_parts")))
 
 
 def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-           counts: DataFrame | None = None, at_least: int | None = None) -> DataFrame:
+           counts: DataFrame | None = None, rows_per_part: int | None = None) -> DataFrame:
     """Join a table with one row per key to a table that may repeat keys without limit.
 
-    Rows of a hot key are spread over parts and its one right row is copied to
-    each part, so no task gets the whole key. Adaptive skew handling alone would
-    not do: it leaves joins alone whose right side comes out of an aggregation.
-    The list of hot keys is bounded by construction, so broadcasting it is safe;
+    Rows of a hot key are spread over as many parts as its count asks for and its
+    one right row is copied to each part, so no task gets the whole key. Adaptive
+    skew handling alone would not do: it leaves joins alone whose right side comes
+    out of an aggregation. There is at most one hot key for every
+    ``rows_per_part`` left rows, which bounds the list that is broadcast;
     ``counts`` (key..., n) spares the counting pass where they are known already.
     """
     on = list(on)
     if counts is None:
         counts = left.groupBy(*on).agg(F.count("*").alias("n"))
-    hot = F.broadcast(hot_keys(counts, on, HOT_ROWS if at_least is None else at_least))
+    hot = F.broadcast(hot_keys(counts, on, rows_per_part or ROWS_PER_PART))
     unmatched = F.lit(False)
     for k in on:
-        unmatched = unmatched | F.col(k).isNull()  # never matches, but must not pile up either
-    part = F.pmod(F.xxhash64(*left.columns), F.lit(PARTS))
+        unmatched = unmatched | F.col(k).isNull()
+    parts = F.when(unmatched, F.lit(_UNMATCHED_PARTS)).otherwise(F.coalesce("_parts", F.lit(1)))
     spread = (left.join(hot, on, "left")
-              .withColumn("_part", F.when(F.col("_hot") | unmatched, part).otherwise(F.lit(0)).cast("int"))
-              .drop("_hot"))
-    every = F.sequence(F.lit(0), F.lit(PARTS - 1))
+              .withColumn("_part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("_parts"))
     copied = (right.join(hot, on, "left")
-              .withColumn("_part", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
-              .drop("_hot"))
+              .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+              .drop("_parts"))
     return spread.join(copied, [*on, "_part"], how).drop("_part")
