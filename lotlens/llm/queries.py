@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (crossentropy, decontamination, idfile, licences, ngram_join, packing, secrets, substrings, topk,
-               toxicity)
+from . import (crossentropy, decontamination, idfile, licences, ngram_join, oracles, packing, secrets, substrings,
+               topk, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,18 +23,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_exact_top_k", """
-with v as (select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as e
-           from embeddings
-           where vec_id is not null and embedding is not null and len(embedding) > 0
-             and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
-scored as (select q.vec_id as query_id, v.vec_id,
-                  cast(list_sum([p[1] * p[2] for p in list_zip(q.e, v.e)]) as bigint) as score
-           from v as q join v on len(q.e) = len(v.e) and q.vec_id <> v.vec_id
-           where q.vec_id % 20 = 0),
-ranked as (select query_id, vec_id, score,
-                  row_number() over (partition by query_id order by score desc, vec_id) as n from scored)
-select query_id, cast(n as integer) as rank, vec_id, score from ranked where n <= 20""")
+@query("op1_exact_top_k", oracles.TOP_K)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return topk.search(vectors.where("vec_id % 20 = 0"), vectors, k=20, scale=64.0)
@@ -60,7 +49,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.digests(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query("op6_spaced_seeds")
+@query("op6_spaced_seeds", oracles.benchmark_overlaps())
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -70,16 +59,16 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return crossentropy.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query("op8_linked_secrets")
+@query("op8_linked_secrets", oracles.linked_secrets())
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, folder, "documents")))
 
 
-@query("op9_repeated_windows")
+@query("op9_repeated_windows", oracles.repeated_windows(substrings.SPAN))
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digests(substrings.deduplicated(table(spark, folder, "documents")))
 
 
-@query("op10_ngram_jaccard")
+@query("op10_ngram_jaccard", oracles.jaccard_groups(ngram_join.WIDTH, ngram_join.THRESHOLD))
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.digests(ngram_join.groups(table(spark, folder, "documents")))

@@ -23,6 +23,7 @@ _CUT = re.compile(r"(?<=\S) ")
 _UNSURE = re.compile("[^\n\x21-\x7e\xa1-\u024f]")
 #: How byte-level BPE cuts a text into pieces (the published pattern; a fixed value).
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+_MARKS = frozenset(".,;:!?")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -62,6 +63,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = _alphabet()
         self.as_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.mark = {m: self._plainly([m])[0] for m in _MARKS}
         self.runs = Runs(self)
         self.pieces: dict[str, bytes] = {}
 
@@ -84,6 +86,9 @@ class Encoder:
 
     def run(self, run: str) -> bytes:
         """The ids of a run that follows a space."""
+        if run.isascii() and run.isalpha() and len(run) <= LONGEST_RUN:  # one piece
+            as_bytes = self.as_bytes
+            return b"".join([as_bytes[x.id] for x in self.model.tokenize("\u0120" + run)])
         if len(run) > LONGEST_RUN or _UNSURE.search(run):
             return self._plainly([" " + run])[0]
         return b"".join(map(self._piece, PIECES.findall(" " + run)))
@@ -110,7 +115,10 @@ class Runs(dict):
     def __missing__(self, run: str) -> bytes:
         ids = self.before.get(run)
         if ids is None:
-            ids = self.encoder.run(run)
+            if run[-1:] in _MARKS and run[:-1].isalpha() and run.isascii():
+                ids = self[run[:-1]] + self.encoder.mark[run[-1]]  # a mark after a word is a piece of its own
+            else:
+                ids = self.encoder.run(run)
         if len(run) <= LONGEST_RUN:
             self[run] = ids
         return ids
