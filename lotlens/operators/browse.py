@@ -66,9 +66,10 @@ def in_bucket(bucket: str | None, subtype: str | None = None) -> Column:
 
 
 def filter_tab(lots: DataFrame, tab: str, watched: DataFrame | None = None,
-               bucket: str | None = None, subtype: str | None = None) -> DataFrame:
+               bucket: str | None = None, subtype: str | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """Lots of a tab. A watched lot is its number within ``scope``."""
     if tab == "watched":
-        return lots.join(watched.select("lot_number"), "lot_number", "left_semi")
+        return lots.join(watched.select(*scope, "lot_number"), [*scope, "lot_number"], "left_semi")
     if tab == "flagged":
         return lots.where(in_bucket(bucket, subtype))
     return lots
@@ -92,10 +93,10 @@ def browse(lots: DataFrame, *, tab: str = "all", watched: DataFrame | None = Non
            category: Sequence[str] = (), personal_only: bool = False, potential_only: bool = False,
            confidence: str = "all", outlook: str = "all", conditions: Sequence[str] = (),
            excluded_scrapes: Sequence[int] = (), hide_ended_at: Column | None = None,
-           query: str = "", fuzzy: bool = False, sort: str | None = "lot") -> DataFrame:
+           query: str = "", fuzzy: bool = False, sort: str | None = "lot", scope: Sequence[str] = ()) -> DataFrame:
     """All filters, then search inside them, then the order. One scan: Catalyst
     collapses the chain."""
-    view = filter_tab(lots, tab, watched, bucket, subtype)
+    view = filter_tab(lots, tab, watched, bucket, subtype, scope)
     if tab != "watched":
         view = view.where(day_is(day))
     if tab == "all":

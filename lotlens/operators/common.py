@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Column | str, first: bool = False) -> DataFrame:
     """One row per key: the last by ``order`` (or the first). ``order`` must not tie."""
@@ -41,3 +44,29 @@ def keep(df: DataFrame, condition: Column) -> DataFrame:
     """
     one = F.explode(F.when(condition, F.array(F.lit(True)))).alias("_kept")
     return df.select("*", one).drop("_kept")
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back, where one plan would derive it many times."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Every row with its place (from 1) in an order that doesn't tie.
+
+    Rows are dealt out by range and written once, so that the ranges which are
+    counted are the ranges which are ranked; a row's place is its rank in its
+    range after all rows of the ranges before. No task sees more than one range.
+    """
+    path = shared_dir(df.sparkSession, "order")
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = df.sparkSession.read.parquet(path)
+    # One row for each range.
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = (dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+              .select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    rank = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return (dealt.withColumn("_rank", rank).join(before, "_range")
+            .withColumn(name, F.col("_before") + F.col("_rank")).drop("_range", "_rank", "_before"))

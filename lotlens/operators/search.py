@@ -89,7 +89,8 @@ def resolve_lot_refs(refs: DataFrame, lots: DataFrame, in_view: DataFrame | None
     """Resolve spoken references ('1042', 's1042', 'm 1042') to one lot each.
 
     Without a letter the candidates are S-, M- and the bare number, in that order;
-    a lot of the current view wins over one outside it.
+    a lot of the current view wins over one outside it. References that name no lot
+    stay, without one.
     """
     spoken = F.upper(text.strip(F.col("ref")))
     pattern = r"^([SM])?[^A-Z0-9_]*(\d+)$"
@@ -106,4 +107,5 @@ def resolve_lot_refs(refs: DataFrame, lots: DataFrame, in_view: DataFrame | None
     else:
         found = found.withColumn("_out", F.lit(0))
     rank = F.struct(F.coalesce("_out", F.lit(1)), "_pos")
-    return found.groupBy("ref").agg(F.min_by("lot_number", rank).alias("lot_number"))
+    best = found.groupBy("ref").agg(F.min_by("lot_number", rank).alias("lot_number"))
+    return refs.select("ref").distinct().join(best, "ref", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..operators import browse as view
 from ..operators import chunks, facets, scrapes, search
+from ..operators.common import positions
 from . import shapes
 from .registry import Tables, query
 from .shapes import SCOPE, joined
@@ -35,32 +36,32 @@ _filter("filter_hide_ended", f"close_ts is null or close_ts > timestamp '{NOW}'"
 
 
 @query("filter_tab", """
-select 'bucket' as tab, lot_number from published where is_flagged and list_contains(split(buckets_csv, ','), 'Machinery') and subtype = 'machinery  items'
-union all select 'watched', lot from bid_history group by lot
-union all select 'all', lot_number from published""")
+select 'bucket' as tab, auction_id, lot_number from published where is_flagged and list_contains(split(buckets_csv, ','), 'Machinery') and subtype = 'machinery  items'
+union all select 'watched', cast(date as bigint), lot from bid_history group by date, lot
+union all select 'all', auction_id, lot_number from published""")
 def filter_tab(t: Tables):
-    lots = shapes.published(t).select("lot_number", "is_flagged", "buckets", "subtype")
-    watched = t["bid_history"].select(F.col("lot").alias("lot_number"))
+    lots = shapes.published(t).select("auction_id", "lot_number", "is_flagged", "buckets", "subtype")
+    watched = t["bid_history"].select(F.col("date").cast("bigint").alias("auction_id"), F.col("lot").alias("lot_number"))
     parts = [view.filter_tab(lots, "flagged", bucket="Machinery", subtype="machinery  items").withColumn("tab", F.lit("bucket")),
-             view.filter_tab(lots, "watched", watched).withColumn("tab", F.lit("watched")),
+             view.filter_tab(lots, "watched", watched, scope=SCOPE).withColumn("tab", F.lit("watched")),
              view.filter_tab(lots, "all").withColumn("tab", F.lit("all")),
              view.filter_tab(lots, "flagged").withColumn("tab", F.lit("no bucket"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("tab", "lot_number")
+    return out.select("tab", "auction_id", "lot_number")
 
 
 # --- orders ---------------------------------------------------------------------------------------
 
 def _sorted(t: Tables, key: str):
-    """The first thousand rows of an order, with their position."""
-    rows = shapes.published(t).orderBy(*view.sort_columns(key)).limit(1000).select("lot_number")
-    return rows.withColumn("position", F.monotonically_increasing_id() + 1)
+    """Every lot with its place in an order."""
+    rows = shapes.published(t).select("lot_number", "is_flagged", "day", "close_ts", "est_low", "est_high")
+    return positions(rows, view.sort_columns(key)).select("lot_number", "position")
 
 
 def _sort_query(name: str, key: str, order: str):
-    @query(name, f"select lot_number, row_number() over (order by {order}) as position from published qualify position <= 1000")
+    @query(name, f"select lot_number, row_number() over (order by {order}) as position from published")
     def run(t: Tables):
         return _sorted(t, key)
 
@@ -148,7 +149,7 @@ with asked as (select distinct case when user_id % 3 = 0 then cast(event_id as s
     cast(event_id as string) as n, user_id % 3 as kind from events),
 options as (select ref, 0 as pos, 'S-' || n as lot_number from asked where kind = 0 union all select ref, 1, 'M-' || n from asked where kind = 0
   union all select ref, 2, n from asked where kind = 0 union all select ref, 0, case when kind = 1 then 'S-' else 'M-' end || n from asked where kind <> 0)
-select ref, arg_min(o.lot_number, (case when l.status = 'P' then 0 else 1 end, pos)) as lot_number from options o join lots l on l.lot_number = o.lot_number group by 1""")
+select ref, arg_min(l.lot_number, (case when l.status = 'P' then 0 else 1 end, pos)) as lot_number from options o left join lots l on l.lot_number = o.lot_number group by 1""")
 def resolve_lot_refs(t: Tables):
     n = F.col("event_id").cast("string")
     kind = F.col("user_id") % 3
@@ -170,13 +171,13 @@ def category_tree(t: Tables):
 
 
 @query("label_nav", """
-with rows as (select lot_number, nullif(subtype, '') as subtype, unnest(split(buckets_csv, ',')) as bucket from published where is_flagged and buckets_csv <> ''),
+with rows as (select auction_id, lot_number, nullif(subtype, '') as subtype, unnest(split(buckets_csv, ',')) as bucket from published where is_flagged and buckets_csv <> ''),
 grouped as (select r.*, coalesce(d.bucket_group, 'Other') as bucket_group, coalesce(d.group_pos, 2147483647) as group_pos from rows r left join dim_buckets d using (bucket))
-select 1 as level, group_pos, bucket_group, null as bucket, null as subtype, count(distinct lot_number) as lots from grouped group by all
-union all select 2, group_pos, bucket_group, bucket, null, count(distinct lot_number) from grouped group by all
-union all select 3, group_pos, bucket_group, bucket, subtype, count(distinct lot_number) from grouped where subtype is not null group by all""")
+select 1 as level, group_pos, bucket_group, null as bucket, null as subtype, count(distinct (auction_id, lot_number)) as lots from grouped group by all
+union all select 2, group_pos, bucket_group, bucket, null, count(distinct (auction_id, lot_number)) from grouped group by all
+union all select 3, group_pos, bucket_group, bucket, subtype, count(distinct (auction_id, lot_number)) from grouped where subtype is not null group by all""")
 def label_nav(t: Tables):
-    return facets.label_nav(shapes.published(t), shapes.bucket_dim(t))
+    return facets.label_nav(shapes.published(t), shapes.bucket_dim(t), SCOPE)
 
 
 @query("available_conditions", """

@@ -30,20 +30,6 @@ def _needed(names: list[str]) -> list[str]:
     return out
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a table that arrives in fewer splits than there are cores.
-
-    A large table has more splits than cores and passes through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
-
-
-# Tables whose rows get heavy per-row text work.
-FACTS = ("orders", "documents")
-
-
 class Tables:
     """Driver tables and derived views of one data folder, looked up by name."""
 
@@ -60,7 +46,6 @@ class Tables:
                 df = self.spark.sql(VIEWS[n])
             else:
                 df = self.spark.read.parquet(f"{self.folder}/{n}.parquet")
-                df = spread(df) if n in FACTS else df
             df.createOrReplaceTempView(n)
             self._ready.add(n)
         return self.spark.table(name)
