@@ -29,15 +29,15 @@ def category_tree(lots: DataFrame) -> DataFrame:
     return named.withColumn("sibling_rank", F.row_number().over(order)).drop("_parent")
 
 
-def label_nav(lots: DataFrame, bucket_dim: DataFrame) -> DataFrame:
-    """Distinct flagged lots per group, bucket and subtype.
+def label_nav(lots: DataFrame, bucket_dim: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Distinct flagged lots per group, bucket and subtype; a lot is its number within ``scope``.
 
     Each lot is expanded to the nodes it belongs to and duplicates are removed on
     (node, lot), so a node with most of the lots is counted in many tasks.
     """
-    dim = F.broadcast(bucket_dim.select("bucket", "bucket_group", "group_pos"))  # configured buckets
+    dim = bucket_dim.select("bucket", "bucket_group", "group_pos")
     rows = (lots.where("is_flagged")
-            .select("lot_number", non_empty(F.col("subtype")).alias("subtype"), F.explode("buckets").alias("bucket"))
+            .select(*scope, "lot_number", non_empty(F.col("subtype")).alias("subtype"), F.explode("buckets").alias("bucket"))
             .join(dim, "bucket", "left"))
     group = F.coalesce("bucket_group", F.lit(vocab.UNGROUPED))
     pos = F.coalesce("group_pos", F.lit(2**31 - 1))
@@ -48,7 +48,7 @@ def label_nav(lots: DataFrame, bucket_dim: DataFrame) -> DataFrame:
     nodes = F.array_compact(F.array(
         node(1, none, none), node(2, F.col("bucket"), none),
         F.when(F.col("subtype").isNotNull(), node(3, F.col("bucket"), F.col("subtype")))))
-    return (rows.select("lot_number", F.explode(nodes).alias("n")).distinct()
+    return (rows.select(*scope, "lot_number", F.explode(nodes).alias("n")).distinct()
             .groupBy("n").agg(F.count("*").alias("lots")).select("n.*", "lots"))
 
 
@@ -70,10 +70,10 @@ def field_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return once.select(F.explode(entry).alias("e")).select("e.*")
 
 
-def fidelity_report(lots: DataFrame) -> DataFrame:
+def fidelity_report(lots: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Coverage of the fields a listing cannot do without."""
     has = lambda c: F.count_if(F.coalesce(F.col(c) != "", F.lit(False)))
-    return lots.agg(
+    return lots.groupBy(*scope).agg(
         F.count("*").alias("lots"), has("title").alias("titled"), has("image_url").alias("imaged"),
         F.count_if(F.size("category_path") > 0).alias("categorised"), has("condition").alias("conditioned"))
 

@@ -1,7 +1,9 @@
 """Checks that return their violations and stop a write.
 
-A gate is a table (check, problem, n, fatal); require() raises when it holds a
-fatal row.
+A gate is a table (scope..., check, problem, n, fatal); require() raises when it
+holds a fatal row. ``scope`` names the columns a lot number is unique in (the
+auction, the week): shares, limits and comparisons hold for each scope by itself,
+so that one bad auction cannot hide in the average of all.
 """
 
 from __future__ import annotations
@@ -25,22 +27,23 @@ def require(violations: DataFrame, name: str) -> None:
         raise GateError(f"{name}: " + "; ".join(f"{r['check']}: {r['problem']} ({r['n']})" for r in bad))
 
 
-def _report(df: DataFrame, rules: Sequence[tuple[str, Column, Column, Column, bool]]) -> DataFrame:
-    """Turn one row of measures into rows for the rules that fail:
+def _report(df: DataFrame, rules: Sequence[tuple[str, Column, Column, Column, bool]],
+            scope: Sequence[str] = ()) -> DataFrame:
+    """Turn a row of measures for each scope into rows for the rules that fail:
     (check, failed?, problem text, how many, fatal)."""
     entries = F.array(*[
         F.when(failed, F.struct(F.lit(check).alias("check"), problem.alias("problem"),
                                 n.cast("bigint").alias("n"), F.lit(fatal).alias("fatal")))
         for check, failed, problem, n, fatal in rules])
-    return df.select(F.explode(F.array_compact(entries)).alias("v")).select("v.*")
+    return df.select(*scope, F.explode(F.array_compact(entries)).alias("v")).select(*scope, "v.*")
 
 
-def gate_closed(lots: DataFrame) -> DataFrame:
+def gate_closed(lots: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Every lot must be CLOSED before prices are taken from it."""
     status = F.upper(text.strip(F.coalesce("status", F.lit(""))))
-    return (lots.select(status.alias("problem")).where(F.col("problem") != "CLOSED").groupBy("problem")
+    return (lots.select(*scope, status.alias("problem")).where(F.col("problem") != "CLOSED").groupBy(*scope, "problem")
             .agg(F.count("*").alias("n"))
-            .select(F.lit("closed").alias("check"), "problem", "n", F.lit(True).alias("fatal")))
+            .select(*scope, F.lit("closed").alias("check"), "problem", "n", F.lit(True).alias("fatal")))
 
 
 def lot_violations(lots: DataFrame) -> Column:
@@ -59,114 +62,142 @@ def lot_violations(lots: DataFrame) -> Column:
     return F.array_compact(F.array(*[F.when(failed, F.lit(name)) for name, failed in checks]))
 
 
-def gate_lot_schema(lots: DataFrame) -> DataFrame:
+def lot_schema_rows(lots: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """The rows that do not conform, with the fields they break, in vocabulary order."""
+    return (lots.select(*scope, "lot_number", lot_violations(lots).alias("fields"))
+            .where(F.size("fields") > 0))
+
+
+def gate_lot_schema(lots: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Rows that do not conform, counted per offending field."""
-    return (lots.select(F.explode(lot_violations(lots)).alias("problem")).groupBy("problem")
+    return (lots.select(*scope, F.explode(lot_violations(lots)).alias("problem")).groupBy(*scope, "problem")
             .agg(F.count("*").alias("n"))
-            .select(F.lit("lot schema").alias("check"), "problem", "n", F.lit(True).alias("fatal")))
+            .select(*scope, F.lit("lot schema").alias("check"), "problem", "n", F.lit(True).alias("fatal")))
 
 
-def gate_slim(slim: DataFrame) -> DataFrame:
+def gate_slim(slim: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Required fields on every row, a condition on at least half."""
     filled = lambda c: F.count_if(F.coalesce(F.col(c) != "", F.lit(False)))
-    m = slim.agg(F.count("*").alias("total"), *[filled(c).alias(c) for c in ("lot_number", "title", "category", "condition")])
+    m = slim.groupBy(*scope).agg(F.count("*").alias("total"), *[filled(c).alias(c) for c in ("lot_number", "title", "category", "condition")])
     missing = lambda c: F.col("total") - F.col(c)
     return _report(m, [
         *[("required field", missing(c) > 0, F.lit(c), missing(c), True) for c in ("lot_number", "title", "category")],
-        ("condition coverage", F.col("condition") < 0.5 * F.col("total"), F.lit("condition"), missing("condition"), True)])
+        ("condition coverage", F.col("condition") < 0.5 * F.col("total"), F.lit("condition"), missing("condition"), True)], scope)
 
 
 def gate_prefilter(sizes: DataFrame, shortlisted: DataFrame, buckets: Sequence[Bucket],
-                   max_share: float = vocab.MAX_BUCKET_SHARE, max_rows: int = vocab.MAX_SHORTLIST_ROWS) -> DataFrame:
-    """A bucket or a shortlist that grew out of hand, stale gates, empty buckets."""
+                   max_share: float = vocab.MAX_BUCKET_SHARE, max_rows: int = vocab.MAX_SHORTLIST_ROWS,
+                   scope: Sequence[str] = ()) -> DataFrame:
+    """A bucket or a shortlist that grew out of hand, stale gates, empty buckets.
+
+    ``max_rows`` is what one scope (a week of one auction) may shortlist.
+    """
     wide = (sizes.where(F.col("share") > max_share)
-            .select(F.lit("bucket share").alias("check"), F.col("bucket").alias("problem"),
+            .select(*scope, F.lit("bucket share").alias("check"), F.col("bucket").alias("problem"),
                     F.col("lots").alias("n"), F.lit(True).alias("fatal")))
-    rows = shortlisted.agg(F.count_if((F.size("cand") > 0) | (F.size("profile") > 0)).alias("rows"))
-    rows = _report(rows, [("rows", F.col("rows") > max_rows, F.lit("shortlist"), F.col("rows"), True)])
-    spark = sizes.sparkSession
-    configured = spark.createDataFrame([(b.name,) for b in buckets if b.configured] or [], "problem string")
-    empty = (configured.join(sizes.select(F.col("bucket").alias("problem")), "problem", "left_anti")
-             .select(F.lit("empty bucket").alias("check"), "problem", F.lit(0).cast("bigint").alias("n"),
+    rows = shortlisted.groupBy(*scope).agg(F.count_if((F.size("cand") > 0) | (F.size("profile") > 0)).alias("rows"))
+    over = _report(rows, [("rows", F.col("rows") > max_rows, F.lit("shortlist"), F.col("rows"), True)], scope)
+    names = F.array(*[F.lit(b.name) for b in buckets if b.configured]).cast("array<string>")
+    configured = rows.select(*scope, F.explode(names).alias("problem"))
+    empty = (configured.join(sizes.select(*scope, F.col("bucket").alias("problem")), [*scope, "problem"], "left_anti")
+             .select(*scope, F.lit("empty bucket").alias("check"), "problem", F.lit(0).cast("bigint").alias("n"),
                      F.lit(False).alias("fatal")))
     stale = [(f"{b.name}: {c}",) for b in buckets for c in b.condition_in if c not in vocab.CONDITIONS]
-    stale = spark.createDataFrame(stale, "problem string").select(
-        F.lit("stale condition").alias("check"), "problem", F.lit(1).cast("bigint").alias("n"), F.lit(True).alias("fatal"))
-    return wide.unionByName(rows).unionByName(empty).unionByName(stale)
+    keys = [F.lit(None).cast(t).alias(c) for c, t in sizes.dtypes if c in scope]  # a rule is stale everywhere
+    stale = sizes.sparkSession.createDataFrame(stale, "problem string").select(
+        *keys, F.lit("stale condition").alias("check"), "problem", F.lit(1).cast("bigint").alias("n"), F.lit(True).alias("fatal"))
+    return wide.unionByName(over).unionByName(empty).unionByName(stale)
 
 
 FORBIDDEN_KEYS = ("label_category", "label_subcategory", "category", "subcategory", "reasoning", "confidence")
 REQUIRED_KEYS = ("lot_number", "is_flagged", "buckets", "personal_match")
 
 
-def gate_responses(chunks: DataFrame, responses: DataFrame) -> DataFrame:
-    """Reconcile returned label rows with the chunks they answer.
+def gate_coverage(chunks: DataFrame, products: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Chunks must cover every product (``rep_lot``) once: a chunk that is missing,
+    or was cut anew after the run, leaves some out."""
+    keys = [*scope, "lot_number"]
+    cut = chunks.groupBy(*keys).agg(F.count("*").alias("_n"))
+    all_reps = products.select(*scope, F.col("rep_lot").alias("lot_number")).distinct().withColumn("_in", F.lit(True))
+    m = cut.join(all_reps, keys, "full").groupBy(*scope).agg(
+        F.count_if(F.col("_n").isNull()).alias("absent"), F.count_if(F.col("_in").isNull()).alias("foreign"),
+        F.count_if(F.col("_n") > 1).alias("twice"))
+    rule = lambda c, text: ("coverage", F.col(c) > 0, F.lit(text), F.col(c), True)
+    return _report(m, [rule("absent", "products in no chunk"), rule("foreign", "chunk rows of no product"),
+                       rule("twice", "products in two chunks")], scope)
+
+
+def gate_responses(chunks: DataFrame, responses: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Reconcile returned label rows with the chunks they answer, for each scope.
 
     ``chunks``: chunk, lot_number, is_last. ``responses``: chunk, pos, lot_number,
     is_flagged, buckets, personal_match, chunk_complete (end marker) and ``keys``,
     the names present in the returned object.
     """
-    last = chunks.groupBy("chunk").agg(F.max(F.when(F.col("is_last"), F.col("lot_number"))).alias("last_lot"))
+    at = [*scope, "chunk"]
+    last = chunks.groupBy(*at).agg(F.max(F.when(F.col("is_last"), F.col("lot_number"))).alias("last_lot"))
     marker = F.col("chunk_complete").isNotNull()
-    shape = (responses.groupBy("chunk")
+    shape = (responses.groupBy(*at)
              .agg(F.count("*").alias("rows"), F.max("pos").alias("end"),
                   F.max(F.when(marker, F.col("pos"))).alias("marker_pos"),
                   F.max_by("chunk_complete", F.when(marker, F.col("pos"))).alias("marker")))
-    shape = last.join(shape, "chunk", "left")
+    shape = last.join(shape, at, "left")
     one = F.lit(1)
     whole = [
         ("empty", F.col("rows").isNull(), one),
         ("no end marker", F.col("rows").isNotNull() & F.col("marker_pos").isNull(), one),
         ("end marker not last", F.col("marker_pos") < F.col("end"), one),
         ("wrong end marker", F.col("marker") != F.col("last_lot"), one)]
-    shape_rows = shape.select("chunk", F.explode(F.array_compact(F.array(*[
+    shape_rows = shape.select(*at, F.explode(F.array_compact(F.array(*[
         F.when(failed, F.struct(F.lit(p).alias("problem"), n.cast("bigint").alias("n"))) for p, failed, n in whole]))).alias("v")
-    ).select("chunk", "v.*")
+    ).select(*at, "v.*")
 
     rows = responses.where(~marker)
     forbidden = F.arrays_overlap("keys", F.array(*[F.lit(k) for k in FORBIDDEN_KEYS]))
     missing = F.size(F.array_except(F.array(*[F.lit(k) for k in REQUIRED_KEYS]), F.col("keys"))) > 0
     broken = F.coalesce(F.col("is_flagged"), F.lit(False)) != (F.size(F.coalesce(
         "buckets", F.array().cast("array<string>"))) > 0)
-    known = chunks.select("chunk", "lot_number", F.lit(True).alias("_known"))
-    judged = rows.join(known, ["chunk", "lot_number"], "left")
+    known = chunks.select(*at, "lot_number").distinct().withColumn("_known", F.lit(True))
+    judged = rows.join(known, [*at, "lot_number"], "left")
     verdict = (F.when(forbidden, "forbidden key").when(missing, "missing key")
                .when(F.col("_known").isNull(), "foreign lot").otherwise("ok"))
     judged = judged.withColumn("problem", verdict).withColumn("_broken", broken)
-    single = (judged.where("problem <> 'ok'").groupBy("chunk", "problem").agg(F.count("*").alias("n")))
+    single = (judged.where("problem <> 'ok'").groupBy(*at, "problem").agg(F.count("*").alias("n")))
     # The first acceptable row of a lot is its answer and every later row a repeat;
     # a broken row before it is only broken.
-    per_lot = (judged.where("problem = 'ok'").groupBy("chunk", "lot_number")
+    per_lot = (judged.where("problem = 'ok'").groupBy(*at, "lot_number")
                .agg(F.min(F.when(~F.col("_broken"), F.col("pos"))).alias("first_good")))
-    seen = judged.where("problem = 'ok'").join(per_lot.select("chunk", "lot_number", "first_good"), ["chunk", "lot_number"])
+    seen = judged.where("problem = 'ok'").join(per_lot.select(*at, "lot_number", "first_good"), [*at, "lot_number"])
     repeat = F.col("pos") > F.col("first_good")
-    ordered = seen.select("chunk", F.when(repeat, "returned twice").when(F.col("_broken"), "flag without bucket").alias("problem"))
-    ordered = ordered.where("problem is not null").groupBy("chunk", "problem").agg(F.count("*").alias("n"))
-    good = per_lot.where("first_good is not null").select("chunk", "lot_number")
-    opened = good.groupBy("lot_number").agg(F.min("chunk").alias("_first"))
-    twice = (good.join(opened, "lot_number").where(F.col("chunk") > F.col("_first"))
-             .groupBy("chunk").agg(F.count("*").alias("n")).withColumn("problem", F.lit("judged in two chunks")))
+    ordered = seen.select(*at, F.when(repeat, "returned twice").when(F.col("_broken"), "flag without bucket").alias("problem"))
+    ordered = ordered.where("problem is not null").groupBy(*at, "problem").agg(F.count("*").alias("n"))
+    good = per_lot.where("first_good is not null").select(*at, "lot_number")
+    opened = good.groupBy(*scope, "lot_number").agg(F.min("chunk").alias("_first"))
+    twice = (good.join(opened, [*scope, "lot_number"]).where(F.col("chunk") > F.col("_first"))
+             .groupBy(*at).agg(F.count("*").alias("n")).withColumn("problem", F.lit("judged in two chunks")))
     out = shape_rows.unionByName(single).unionByName(ordered).unionByName(twice)
-    return out.select("chunk", F.lit("responses").alias("check"), "problem", "n", F.lit(True).alias("fatal"))
+    return out.select(*at, F.lit("responses").alias("check"), "problem", "n", F.lit(True).alias("fatal"))
 
 
-def gate_fanout(products: DataFrame, lots: DataFrame) -> DataFrame:
+def gate_fanout(products: DataFrame, lots: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Copies of all products must add up to the lots."""
-    m = products.agg(F.coalesce(F.sum("qty"), F.lit(0)).alias("covered")).select(
-        "covered", lots.agg(F.count("*")).scalar().alias("lots"))
+    both = products.select(*scope, F.col("qty").alias("_c"), F.lit(0).alias("_l")).unionByName(
+        lots.select(*scope, F.lit(0).alias("_c"), F.lit(1).alias("_l")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    m = both.groupBy(*scope).agg(total("_c").alias("covered"), total("_l").alias("lots"))
     return _report(m, [("fan-out", F.col("covered") != F.col("lots"), F.lit("lots not covered once"),
-                        F.abs(F.col("lots") - F.col("covered")), True)])
+                        F.abs(F.col("lots") - F.col("covered")), True)], scope)
 
 
-def label_measures(labels: DataFrame, buckets: Sequence[Bucket]) -> DataFrame:
-    """All label measures in one pass."""
+def label_measures(labels: DataFrame, buckets: Sequence[Bucket], scope: Sequence[str] = ()) -> DataFrame:
+    """All label measures in one pass, a row for each scope."""
     names = F.array(*[F.lit(b.name) for b in buckets])
     flagged = F.size("buckets") > 0
     subtype = F.coalesce(F.col("subtype") != "", F.lit(False))
     pick = F.coalesce(F.col("personal_match"), F.lit(False))
     explained = F.coalesce(F.col("personal_reasoning") != "", F.lit(False))
     older = F.col("has_label_category") if "has_label_category" in labels.columns else F.lit(False)
-    return labels.agg(
+    return labels.groupBy(*scope).agg(
         F.count("*").alias("rows"), F.count_if(older).alias("older_shape"),
         F.coalesce(F.sum(F.size(F.filter("buckets", lambda b: ~F.array_contains(names, b)))), F.lit(0))
         .cast("bigint").alias("unknown_buckets"),
@@ -175,17 +206,17 @@ def label_measures(labels: DataFrame, buckets: Sequence[Bucket]) -> DataFrame:
         F.count_if(pick).alias("picks"), F.count_if(pick & explained).alias("explained"))
 
 
-def gate_labels(labels: DataFrame, buckets: Sequence[Bucket]) -> DataFrame:
+def gate_labels(labels: DataFrame, buckets: Sequence[Bucket], scope: Sequence[str] = ()) -> DataFrame:
     c = F.col
     short = lambda part, whole, pct: (c(whole) > 0) & (100 * c(part) / c(whole) < pct)
-    return _report(label_measures(labels, buckets), [
+    return _report(label_measures(labels, buckets, scope), [
         ("label shape", c("older_shape") > 0, F.lit("older label shape"), c("older_shape"), True),
         ("buckets", c("unknown_buckets") > 0, F.lit("unknown buckets"), c("unknown_buckets"), True),
         ("flag", c("broken_flag") > 0, F.lit("flag without bucket"), c("broken_flag"), True),
         ("subtypes", short("with_subtype", "flagged", vocab.SUBTYPE_MIN_PCT), F.lit("subtype missing"),
          c("flagged") - c("with_subtype"), True),
         ("reasons", short("explained", "picks", vocab.REASONING_MIN_PCT), F.lit("reason missing"),
-         c("picks") - c("explained"), True)])
+         c("picks") - c("explained"), True)], scope)
 
 
 def vocabulary_strays(labels: DataFrame, buckets: Sequence[Bucket], tags: Sequence[str]) -> DataFrame:
@@ -237,32 +268,38 @@ def lot_set_compare(rows: DataFrame, lots: DataFrame, scope: Sequence[str] = ())
         F.count_if(F.col("_n").isNull()).alias("absent"))
 
 
-def gate_lot_sets(rows: DataFrame, lots: DataFrame, required: Sequence[str], complete: bool) -> DataFrame:
-    """A label or valuation table against the current lots. ``complete`` demands a row
-    for every lot."""
+def gate_lot_sets(rows: DataFrame, lots: DataFrame, required: Sequence[str], complete: bool,
+                  scope: Sequence[str] = ()) -> DataFrame:
+    """A label or valuation table against the current lots of each scope. ``complete``
+    demands a row for every lot."""
     missing = [c for c in required if c not in rows.columns]
     c = F.col
-    report = _report(lot_set_compare(rows, lots), [
+    report = _report(lot_set_compare(rows, lots, scope), [
         *[("required field", F.lit(True), F.lit(m), F.lit(1), True) for m in missing],
         ("duplicates", c("duplicates") > 0, F.lit("repeated lots"), c("duplicates"), True),
         ("unknown", c("unknown") > 0, F.lit("lots not in this set"), c("unknown"), True),
-        ("absent", c("absent") > 0, F.lit("lots without a row"), c("absent"), complete)])
+        ("absent", c("absent") > 0, F.lit("lots without a row"), c("absent"), complete)], scope)
     if not complete:
         return report
-    same = (lot_set_sha(rows).select(c("lot_set_sha").alias("_a"), c("lots").alias("n"))
-            .select("n", (c("_a") == lot_set_sha(lots).select("lot_set_sha").scalar()).alias("_same")))
-    return report.unionByName(_report(same, [("fingerprint", ~c("_same"), F.lit("another lot set"), c("n"), True)]))
+    # One row for each scope and side: the fingerprints agree, or the sets differ.
+    prints = (lot_set_sha(rows, scope).withColumn("_side", F.lit(0))
+              .unionByName(lot_set_sha(lots, scope).withColumn("_side", F.lit(1))))
+    same = prints.groupBy(*scope).agg(
+        (F.count_distinct("lot_set_sha") == 1).alias("_one"), (F.count("*") == 2).alias("_both"),
+        F.coalesce(F.max(F.when(c("_side") == 0, c("lots"))), F.lit(0)).alias("n"))
+    return report.unionByName(_report(same, [
+        ("fingerprint", ~(c("_one") & c("_both")), F.lit("another lot set"), c("n"), True)], scope))
 
 
-def gate_stale_pairing(summary: DataFrame, limit: float = 0.01) -> DataFrame:
+def gate_stale_pairing(summary: DataFrame, limit: float = 0.01, scope: Sequence[str] = ()) -> DataFrame:
     """Refuse a backtest whose labels do not belong to these lots."""
     return _report(summary, [("pairing", F.col("unmatched_share") > limit, F.lit("labels of another lot set"),
-                              F.col("unmatched"), True)])
+                              F.col("unmatched"), True)], scope)
 
 
-def gate_bundle(fidelity: DataFrame) -> DataFrame:
+def gate_bundle(fidelity: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     c = F.col
     return _report(fidelity, [
         ("rows", c("lots") == 0, F.lit("no lots"), F.lit(0), True),
         ("title", c("titled") < c("lots"), F.lit("lots without a title"), c("lots") - c("titled"), True),
-        ("image", c("imaged") < 0.95 * c("lots"), F.lit("image coverage below 95%"), c("lots") - c("imaged"), False)])
+        ("image", c("imaged") < 0.95 * c("lots"), F.lit("image coverage below 95%"), c("lots") - c("imaged"), False)], scope)

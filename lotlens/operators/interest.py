@@ -11,7 +11,7 @@ from ..functions import text
 from ..sources.config import Bucket, Interest
 from .common import keep, share
 from .sales import with_product_key
-from .shortlist import bucket_rows, shortlist_lots
+from .shortlist import admitted, bucket_rows, shortlist_lots
 from .skew import attach
 
 NOISY_SUPPLY = 50
@@ -56,24 +56,23 @@ def taxonomy_gap(tracked: DataFrame) -> DataFrame:
         F.round(F.avg(none.cast("double")), 6).alias("gap_share"))
 
 
-def _per_bucket(shortlisted: DataFrame, name: str) -> DataFrame:
-    return bucket_rows(shortlisted).groupBy("bucket").agg(F.count("*").alias(name))
-
-
-def interest_lift(tracked: DataFrame, supply_gated: DataFrame, supply_open: DataFrame) -> DataFrame:
+def interest_lift(tracked: DataFrame, supply: DataFrame, buckets: Sequence[Bucket]) -> DataFrame:
     """Share of tracked lots over share of supply, per bucket.
 
-    The denominator is what the shortlist would have shown: a bucket with a
-    condition gate is divided by its gated supply. The ungated lift is kept beside it.
+    Both tables come shortlisted without the condition gate. The denominator is
+    what the shortlist would have shown: a bucket with a condition gate is divided
+    by its gated supply. The ungated lift is kept beside it.
     """
     n_tracked = tracked.agg(F.count("*")).scalar()
-    n_supply = supply_open.agg(F.count("*")).scalar()
-    joined = (_per_bucket(supply_gated, "supply")
-              .join(_per_bucket(supply_open, "supply_ungated"), "bucket", "full")
-              .join(_per_bucket(tracked, "tracked"), "bucket", "full"))
+    n_supply = supply.agg(F.count("*")).scalar()
+    shown = F.transform(admitted("cand", F.col("condition"), buckets), lambda c: c["bucket"])
+    both = F.transform("cand", lambda c: F.struct(c["bucket"].alias("bucket"), F.array_contains(F.col("_shown"), c["bucket"]).alias("shown")))
+    on_offer = (supply.withColumn("_shown", shown).select(F.explode(both).alias("c")).select("c.*").groupBy("bucket")
+                .agg(F.count_if("shown").alias("supply"), F.count("*").alias("supply_ungated")))
+    followed = bucket_rows(tracked).groupBy("bucket").agg(F.count("*").alias("tracked"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     rate = lambda c: F.round(share(zero("tracked") / n_tracked, zero(c) / n_supply), 6)
-    return joined.select(
+    return on_offer.join(followed, "bucket", "full").select(
         "bucket", zero("tracked").alias("tracked"), zero("supply").alias("supply"),
         zero("supply_ungated").alias("supply_ungated"), rate("supply").alias("lift"),
         rate("supply_ungated").alias("lift_ungated"), (zero("supply") < NOISY_SUPPLY).alias("noisy"))
@@ -110,9 +109,9 @@ def gate_recall(history: DataFrame, lots: DataFrame, buckets: Sequence[Bucket],
                 interests: Sequence[Interest] = ()) -> DataFrame:
     """Shortlist recall against real bids with the condition gate on and off."""
     bids = history.where(F.col("signal") == "bid")
-    on = tracked_lots(bids, lots, buckets, True, interests)
-    both = shortlist_lots(on.withColumnsRenamed({"cand": "cand_on", "profile": "profile_on"}),
-                          buckets, interests, gate=False)
+    both = tracked_lots(bids, lots, buckets, False, interests)
+    both = (both.withColumn("cand_on", admitted("cand", F.col("condition"), buckets))
+            .withColumn("profile_on", admitted("profile", F.col("condition"), [i.as_rule() for i in interests])))
     hit = lambda c, p: (F.size(c) > 0) | (F.size(p) > 0)
     return both.agg(F.count("*").alias("bids"),
                     F.count_if(hit("cand_on", "profile_on")).alias("hit_gate_on"),

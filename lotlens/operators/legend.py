@@ -36,9 +36,10 @@ def term_hits(lots: DataFrame, terms: Sequence[str], scope: Sequence[str] = ())
             .select(*scope, "lot_number", *keep, "_t.*"))
 
 
-def legend_counts(lots: DataFrame, terms: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Lots per legend term; terms that find nothing stay with zero."""
-    counted = (term_hits(lots, names).groupBy(F.col("term").alias("_t")).agg(F.countDistinct("lot_number").alias("lots")))
+def legend_counts(lots: DataFrame, terms: DataFrame, names: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+    """Lots per legend term; terms that find nothing stay with zero. A lot is its number within ``scope``."""
+    once = term_hits(lots, names, scope).select(*scope, "lot_number", F.col("term").alias("_t")).distinct()
+    counted = once.groupBy("_t").agg(F.count("*").alias("lots"))
     return (terms.join(counted, F.lower("term") == F.col("_t"), "left")
             .select("term_group", "term", F.coalesce("lots", F.lit(0)).alias("lots")))
 

@@ -13,49 +13,53 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, text, vocab
 from ..sources.config import Bucket
+from .common import written_once
 from .skew import attach
 
 
 def labelled_products(products: DataFrame, labels: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Products with the buckets of their representative's label."""
+    """Products with the buckets of their representative's label, written once: every check reads them."""
     given = labels.select(*scope, F.col("lot_number").alias("rep_lot"), "buckets")
-    return (products.join(given, [*scope, "rep_lot"], "left")
-            .withColumn("buckets", F.coalesce("buckets", F.array().cast("array<string>")))
-            .withColumn("category", F.coalesce("category", F.lit(""))))
-
-
-def category_dominance(labelled: DataFrame) -> DataFrame:
-    """Categories where one bucket holds at least 60% of 15 lots or more."""
-    lots = labelled.groupBy("category").agg(F.sum("qty").alias("lots"))
-    per = (labelled.select("category", "qty", F.explode("buckets").alias("bucket"))
-           .groupBy("category", "bucket").agg(F.sum("qty").alias("bucket_lots")))
+    out = (products.join(given, [*scope, "rep_lot"], "left")
+           .withColumn("buckets", F.coalesce("buckets", F.array().cast("array<string>")))
+           .withColumn("category", F.coalesce("category", F.lit(""))))
+    return written_once(out, "labelled")
+
+
+def category_dominance(labelled: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Categories of a scope where one bucket holds at least 60% of 15 lots or more."""
+    at = [*scope, "category"]
+    lots = labelled.groupBy(*at).agg(F.sum("qty").alias("lots"))
+    per = (labelled.select(*at, "qty", F.explode("buckets").alias("bucket"))
+           .groupBy(*at, "bucket").agg(F.sum("qty").alias("bucket_lots")))
     # Buckets are few, so the best one per category is a plain reduction.
-    best = per.groupBy("category").agg(
+    best = per.groupBy(*at).agg(
         F.min_by(F.struct("bucket", "bucket_lots"), F.struct(-F.col("bucket_lots"), "bucket")).alias("_b"))
-    joined = best.join(lots, "category").select("category", "_b.bucket", "_b.bucket_lots", "lots")
+    joined = best.join(lots, at).select(*at, "_b.bucket", "_b.bucket_lots", "lots")
     return (joined.where((F.col("lots") >= vocab.MIN_CATEGORY_LOTS)
                          & (F.col("bucket_lots") / F.col("lots") >= vocab.DOMINANCE))
             .withColumn("share", F.round(F.col("bucket_lots") / F.col("lots"), 6)))
 
 
-def family_evidence(labelled: DataFrame) -> DataFrame:
-    """(words, family, bucket): flagged products of each title family.
+def family_evidence(labelled: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope..., words, family, bucket): flagged products of each title family.
 
     A two-word family only speaks for buckets that took at least 60% of its
     flagged lots. ``sibling`` is the most-copied flagged title.
     """
     flagged = labelled.where(F.size("buckets") > 0)
-    keyed = flagged.select("title", "qty", "buckets", F.explode(F.array(
+    keyed = flagged.select(*scope, "title", "qty", "buckets", F.explode(F.array(
         F.struct(F.lit(3).alias("words"), text.sibling_key(F.col("title"), 3).alias("family")),
         F.struct(F.lit(2).alias("words"), text.sibling_key(F.col("title"), 2).alias("family")))).alias("_k")
-    ).select("title", "qty", "buckets", "_k.*").where("family is not null")
-    totals = (keyed.where("words = 2").groupBy("words", "family").agg(F.sum("qty").alias("family_lots")))
-    per = (keyed.withColumn("bucket", F.explode("buckets")).groupBy("words", "family", "bucket")
+    ).select(*scope, "title", "qty", "buckets", "_k.*").where("family is not null")
+    at = [*scope, "words", "family"]
+    totals = (keyed.where("words = 2").groupBy(*at).agg(F.sum("qty").alias("family_lots")))
+    per = (keyed.withColumn("bucket", F.explode("buckets")).groupBy(*at, "bucket")
            .agg(F.sum("qty").alias("bucket_lots"),
                 F.max(F.struct("qty", "title")).alias("_best")))
-    out = per.join(totals, ["words", "family"], "left")
+    out = per.join(totals, at, "left")
     ok = (F.col("words") == 3) | (F.col("bucket_lots") / F.col("family_lots") >= vocab.DOMINANCE)
-    return out.where(ok).select("words", "family", "bucket", "bucket_lots",
+    return out.where(ok).select(*at, "bucket", "bucket_lots",
                                 F.col("_best.title").alias("sibling"), F.col("_best.qty").alias("sibling_lots"))
 
 
@@ -81,21 +85,22 @@ def suspect_evidence(labelled: DataFrame, buckets: Sequence[Bucket], scope: Sequ
     """(product, bucket, evidence) of unflagged products; the strongest kind per bucket.
 
     Family and category tables are folded to one row per key first, so both
-    joins are many-to-one however large a family is.
+    joins are many-to-one however large a family is. A scope's suspects follow from
+    its own flags alone.
     """
-    families = family_evidence(labelled)
-    by_family = families.groupBy("words", "family").agg(
+    families = family_evidence(labelled, scope)
+    by_family = families.groupBy(*scope, "words", "family").agg(
         F.collect_list(F.struct("bucket", "sibling", "sibling_lots")).alias("_rel"))
-    dominant = category_dominance(labelled).select("category", F.col("bucket").alias("_dom"), F.col("share").alias("_share"))
+    dominant = category_dominance(labelled, scope).select(*scope, "category", F.col("bucket").alias("_dom"), F.col("share").alias("_share"))
     quiet = labelled.where(F.size("buckets") == 0).select(
         *scope, "rep_lot", "title", "category", "qty",
         text.sibling_key(F.col("title"), 3).alias("_f3"), text.sibling_key(F.col("title"), 2).alias("_f2"))
     rel = lambda n: by_family.where(F.col("words") == n).select(
-        F.col("family").alias(f"_f{n}"), F.col("_rel").alias(f"_rel{n}"))
+        *scope, F.col("family").alias(f"_f{n}"), F.col("_rel").alias(f"_rel{n}"))
     joined = quiet
     for key, table in (("_f3", rel(3)), ("_f2", rel(2)), ("category", dominant)):
         # Counted on the narrow input, not on what the joins before produced.
-        joined = attach(joined, table, [key], counts=quiet.groupBy(key).agg(F.count("*").alias("n")))
+        joined = attach(joined, table, [*scope, key], counts=quiet.groupBy(*scope, key).agg(F.count("*").alias("n")))
     empty = F.array().cast("array<struct<bucket:string,sibling:string,sibling_lots:bigint>>")
     entry = lambda kind, c: F.transform(F.coalesce(c, empty), lambda r: F.struct(
         F.lit(kind).alias("kind"), r["bucket"].alias("bucket"), r["sibling"].alias("sibling"),

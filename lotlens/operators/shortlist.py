@@ -77,6 +77,18 @@ def shortlist_lots(lots: DataFrame, buckets: Sequence[Bucket], interests: Sequen
         for kind, listed in rules.items()])
 
 
+def admitted(hits: str, condition: Column, rules: Sequence[Bucket]) -> Column:
+    """Of hits found without the condition gate those that pass it; the rules are not matched again."""
+    gated = {r.name: r.condition_in for r in rules if r.condition_in}
+    if not gated:
+        return F.col(hits)
+    allowed = F.create_map(*[F.lit(x) for n, v in gated.items() for x in (n, ",".join(sorted(v)))])
+    # A condition holds no comma, so membership is a search in the list with commas around.
+    wrap = lambda c: F.concat(F.lit(","), c, F.lit(","))
+    return F.filter(hits, lambda h: condition.isNull() | F.try_element_at(allowed, h["bucket"]).isNull()
+                    | F.contains(wrap(F.try_element_at(allowed, h["bucket"])), wrap(condition)))
+
+
 def _candidates(shortlisted: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     # Exploding a derived array rather than the column itself: for a bare column the
     # optimizer adds a filter on its size, which would match every pattern twice.
@@ -91,15 +103,19 @@ def bucket_rows(shortlisted: DataFrame, *columns: str) -> DataFrame:
     return shortlisted.select(*columns, F.explode(names).alias("bucket"))
 
 
-def bucket_sizes(shortlisted: DataFrame, top: int = 3) -> DataFrame:
-    """Lots per bucket, their share of all lots, and the most productive seeds."""
-    counted = (_candidates(shortlisted).groupBy("bucket", "reason").agg(F.count("*").alias("n")))
-    order = W.partitionBy("bucket").orderBy(F.desc("n"), "reason")
+def bucket_sizes(shortlisted: DataFrame, top: int = 3, scope: Sequence[str] = ()) -> DataFrame:
+    """Lots per bucket, their share of all lots of the scope, and the most productive seeds."""
+    counted = (_candidates(shortlisted, scope).groupBy(*scope, "bucket", "reason").agg(F.count("*").alias("n")))
+    order = W.partitionBy(*scope, "bucket").orderBy(F.desc("n"), "reason")
     ranked = counted.withColumn("rn", F.row_number().over(order))
-    total = shortlisted.agg(F.count("*")).scalar()
     best = F.array_sort(F.collect_list(F.when(F.col("rn") <= top, F.struct("rn", "reason", "n"))))
-    return (ranked.groupBy("bucket").agg(F.sum("n").alias("lots"), best.alias("top_seeds"))
-            .withColumn("share", F.round(F.col("lots") / total, 6)))
+    sizes = ranked.groupBy(*scope, "bucket").agg(F.sum("n").alias("lots"), best.alias("top_seeds"))
+    if scope:
+        total = shortlisted.groupBy(*scope).agg(F.count("*").alias("_total"))
+        sizes = sizes.join(total, list(scope))
+    else:
+        sizes = sizes.withColumn("_total", shortlisted.agg(F.count("*")).scalar())
+    return sizes.withColumn("share", F.round(F.col("lots") / F.col("_total"), 6)).drop("_total")
 
 
 def top_seeds(shortlisted: DataFrame, top: int = 3) -> DataFrame:
@@ -161,23 +177,23 @@ def scored_labels(labels: DataFrame, lots: DataFrame, buckets: Sequence[Bucket],
         "known", F.coalesce("known", F.lit(False)))
 
 
-def backtest_buckets(scored: DataFrame, buckets: Sequence[Bucket]) -> DataFrame:
+def backtest_buckets(scored: DataFrame, buckets: Sequence[Bucket], scope: Sequence[str] = ()) -> DataFrame:
     """Pair recall per bucket, old bucket names mapped forward."""
-    pairs = (scored.where("known").select("cand_names", F.explode("buckets").alias("_b"))
+    pairs = (scored.where("known").select(*scope, "cand_names", F.explode("buckets").alias("_b"))
              .withColumn("bucket", _renamed(F.col("_b"), buckets)))
     hit = F.array_contains("cand_names", F.col("bucket"))
-    return (pairs.groupBy("bucket").agg(F.count_if(hit).alias("hit"), F.count("*").alias("total"))
+    return (pairs.groupBy(*scope, "bucket").agg(F.count_if(hit).alias("hit"), F.count("*").alias("total"))
             .withColumn("recall", F.round(F.col("hit") / F.col("total"), 6))
             .withColumn("weak", (F.col("total") >= 10) & (F.col("hit") / F.col("total") < 0.9)))
 
 
-def backtest_summary(scored: DataFrame, buckets: Sequence[Bucket]) -> DataFrame:
+def backtest_summary(scored: DataFrame, buckets: Sequence[Bucket], scope: Sequence[str] = ()) -> DataFrame:
     """Overall pair recall, lot recall, and the share of labels without a lot."""
     names = F.transform("buckets", lambda b: _renamed(b, buckets))
     pair_hits = F.size(F.filter(names, lambda b: F.array_contains("cand_names", b)))
     known = F.col("known")
     flagged = known & (F.size("buckets") > 0)
-    sums = scored.agg(
+    sums = scored.groupBy(*scope).agg(
         F.count("*").alias("labels"),
         F.count_if(~known).alias("unmatched"),
         F.coalesce(F.sum(F.when(known, F.size("buckets"))), F.lit(0)).cast("bigint").alias("pairs"),

@@ -9,6 +9,7 @@ from ..operators.shortlist import shortlist_lots
 from ..sources.config import term_table
 from . import shapes
 from .registry import Tables, query
+from .shapes import SCOPE
 from .shortlist import BODIES, rules
 from .views import BUCKETS, INTERESTS, LEGEND, TERMS
 
@@ -79,8 +80,7 @@ select bucket, coalesce(tracked, 0) as tracked, coalesce(supply, 0) as supply, c
   coalesce(supply, 0) < 50 as noisy
 from a full join b using (bucket) full join c using (bucket), n""")
 def interest_lift(t: Tables):
-    gated = shortlist_lots(_supply(t), BUCKETS)
-    return interest.interest_lift(_tracked(t, False), gated, shortlist_lots(_supply(t), BUCKETS, gate=False))
+    return interest.interest_lift(_tracked(t, False), shortlist_lots(_supply(t), BUCKETS, gate=False), BUCKETS)
 
 
 @query("bid_conversion", _TRACKED + """
@@ -151,7 +151,7 @@ def term_hits(t: Tables):
 @query("legend_counts", _HITS + """
 select term_group, d.term, count(h.lot_number) as lots from dim_terms d left join hits h on h.term = d.term group by 1, 2""")
 def legend_counts(t: Tables):
-    return legend.legend_counts(_texts(t), term_table(t.spark, LEGEND), TERMS)
+    return legend.legend_counts(_texts(t), term_table(t.spark, LEGEND), TERMS, SCOPE)
 
 
 @query("term_stats", _HITS + """,

@@ -207,17 +207,17 @@ keyed as (select *, case when len(w) >= 3 and len(list_filter(w[1:3], lambda x:
     case when len(w) >= 2 and regexp_full_match(w[1], '[A-Z]+') and (length(w[2]) <= 2 or regexp_matches(w[2], '[0-9]')) then array_to_string(w[1:2], ' ') end as f2
   from labelled),
 flagged as (select *, unnest(split(buckets_csv, ',')) as bucket from keyed where buckets_csv <> ''),
-dominance as (select category, bucket, bucket_lots, lots from (
-    select category, bucket, cast(sum(qty) as bigint) as bucket_lots from flagged group by 1, 2) b
-  join (select category, cast(sum(qty) as bigint) as lots from labelled group by 1) c using (category)
-  qualify row_number() over (partition by category order by bucket_lots desc, bucket) = 1),
+dominance as (select auction_id, category, bucket, bucket_lots, lots from (
+    select auction_id, category, bucket, cast(sum(qty) as bigint) as bucket_lots from flagged group by 1, 2, 3) b
+  join (select auction_id, category, cast(sum(qty) as bigint) as lots from labelled group by 1, 2) c using (auction_id, category)
+  qualify row_number() over (partition by auction_id, category order by bucket_lots desc, bucket) = 1),
 dominant as (select *, round(bucket_lots / lots, 6) as share from dominance where lots >= 15 and bucket_lots / lots >= 0.6),
-totals as (select f2, sum(qty) as family_lots from keyed where buckets_csv <> '' group by 1),
+totals as (select auction_id, f2, sum(qty) as family_lots from keyed where buckets_csv <> '' group by 1, 2),
 families as (
-  select 3 as words, f3 as family, bucket, cast(sum(qty) as bigint) as bucket_lots, arg_max(title, (qty, title)) as sibling, max(qty) as sibling_lots
+  select auction_id, 3 as words, f3 as family, bucket, cast(sum(qty) as bigint) as bucket_lots, arg_max(title, (qty, title)) as sibling, max(qty) as sibling_lots
   from flagged where f3 is not null group by all
   union all
-  select 2, f2, bucket, cast(sum(qty) as bigint), arg_max(title, (qty, title)), max(qty) from flagged join totals using (f2) group by f2, bucket, family_lots
+  select auction_id, 2, f2, bucket, cast(sum(qty) as bigint), arg_max(title, (qty, title)), max(qty) from flagged join totals using (auction_id, f2) group by auction_id, f2, bucket, family_lots
   having sum(qty) / family_lots >= 0.6)"""
 
 
@@ -225,24 +225,24 @@ def _labelled(t: Tables):
     return recall.labelled_products(dedupe_products(t["shop_lots"], SCOPE), shapes.flags(t), SCOPE)
 
 
-@query("category_dominance", "with " + _GROUPED + " select category, bucket, bucket_lots, lots, share from dominant")
+@query("category_dominance", "with " + _GROUPED + " select auction_id, category, bucket, bucket_lots, lots, share from dominant")
 def category_dominance(t: Tables):
-    return recall.category_dominance(_labelled(t))
+    return recall.category_dominance(_labelled(t), SCOPE)
 
 
 @query("family_evidence", "with " + _GROUPED + " select * from families")
 def family_evidence(t: Tables):
-    return recall.family_evidence(_labelled(t))
+    return recall.family_evidence(_labelled(t), SCOPE)
 
 
 _SUSPECTS = "with " + _GROUPED + """,
 quiet as (select * from keyed where buckets_csv = ''),
 evidence as (
-  select rep_lot, title, qty, category, 1 as kind, bucket, sibling, sibling_lots, null as seed from quiet join families on words = 3 and family = f3
+  select rep_lot, title, qty, category, 1 as kind, bucket, sibling, sibling_lots, null as seed from quiet join families on words = 3 and family = f3 and families.auction_id = quiet.auction_id
   union all
-  select rep_lot, title, qty, category, 2, bucket, sibling, sibling_lots, null from quiet join families on words = 2 and family = f2
+  select rep_lot, title, qty, category, 2, bucket, sibling, sibling_lots, null from quiet join families on words = 2 and family = f2 and families.auction_id = quiet.auction_id
   union all
-  select q.rep_lot, q.title, q.qty, q.category, 3, d.bucket, null, null, s.seed from quiet q join dominant d on d.category = q.category
+  select q.rep_lot, q.title, q.qty, q.category, 3, d.bucket, null, null, s.seed from quiet q join dominant d on d.category = q.category and d.auction_id = q.auction_id
     join (select bucket, string_agg(concat(seed, case when closed then ' ' else '' end), '|') as pattern from dim_seeds where seed_len >= 4 group by 1) p on p.bucket = d.bucket,
     lateral (select regexp_extract(q.title, '(?i)(?:^|[^\\p{L}\\p{N}_])(' || p.pattern || ')', 1) as seed) s where s.seed <> ''),
 suspects as (select * from evidence e where not exists (
