@@ -96,36 +96,37 @@ def dedup_ordered(values: Column) -> Column:
     return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != "")))
 
 
+def fold_literal(s: str) -> str:
+    """Lower case without the accents U+0300 to U+036F; what else decomposes is put together again."""
+    decomposed = unicodedata.normalize("NFD", (s or "").lower())
+    return unicodedata.normalize("NFC", "".join(ch for ch in decomposed if not "\u0300" <= ch <= "\u036f"))
+
+
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
-    """(characters, replacements): accented letters to their base, marks to nothing."""
+    """(characters, replacements) of fold_literal: accented letters to their base, marks to nothing."""
     accented, base, marks = [], [], []
-    for code in range(0x80, 0xFFFF):
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
         ch = chr(code)
-        if unicodedata.combining(ch):
+        if ch != ch.lower():
+            continue  # lower case comes first
+        folded = fold_literal(ch)
+        if not folded:
             marks.append(ch)
-            continue
-        parts = unicodedata.normalize("NFD", ch)
-        if len(parts) > 1 and all(unicodedata.combining(p) for p in parts[1:]):
+        elif folded != ch and len(folded) == 1:
             accented.append(ch)
-            base.append(parts[0])
+            base.append(folded)
     return "".join(accented + marks), "".join(base)
 
 
 def fold_text(c: Column) -> Column:
-    """Lower case without accents."""
+    """fold_literal of a column."""
     accented, base = _accent_table()
     # Plain ASCII text, the usual case, skips the per-character lookup.
     return let(F.lower(F.coalesce(c, F.lit(""))), lambda v: F.when(
         v.rlike(r"[^\x00-\x7f]"), F.translate(v, accented, base)).otherwise(v))
 
 
-def fold_literal(s: str) -> str:
-    """Driver-side twin of fold_text for query strings."""
-    decomposed = unicodedata.normalize("NFD", (s or "").lower())
-    return "".join(ch for ch in decomposed if not unicodedata.combining(ch))
-
-
 def tokens_of(query: str) -> list[str]:
     return fold_literal(query.strip()).split()
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from ..functions import text, values
@@ -10,7 +13,6 @@ from ..operators import gates as checks
 from ..session import shared_dir
 from ..sources import landing as src
 from ..sources import sinks
-from ..sources.config import group_order
 from ..streaming import ingest as stream
 from . import shapes
 from .registry import Tables, query
@@ -84,12 +86,15 @@ group by all
 def src_sale_history(t: Tables):
     path = shared_dir(t.spark, "history")
     product = F.struct("title", "condition", "sold", "unsold", "median", "low", "high")
-    pages = (shapes.history(t).withColumn("page", F.pmod(F.xxhash64("title", "condition"), F.lit(64)))
+    # Pages of some five hundred products, however many an auction sold.
+    history = shapes.history(t)
+    sizes = history.groupBy("auction_id").agg(F.ceil(F.count("*") / 500).alias("pages"))
+    pages = (history.join(sizes, "auction_id").withColumn("page", F.pmod(F.xxhash64("title", "condition"), F.col("pages")))
              .groupBy("auction_id", "close_date", "page").agg(F.collect_list(product).alias("products")))
     good = pages.select(F.to_json(F.struct("auction_id", "close_date", "products")).alias("value"))
     bad = (pages.select("auction_id").distinct().select(F.explode(F.array(
         F.lit("cut off mid-"), F.to_json(F.struct("auction_id")))).alias("value")))
-    good.unionByName(bad).coalesce(8).write.text(path)
+    good.unionByName(bad).write.text(path)
     read = src.read_sale_history(t.spark, path + "/", multi_line=False)
     num = lambda c: values.to_price(F.col(c)).alias(c)
     return read.select(
@@ -112,15 +117,18 @@ from dim_buckets d left join dim_seeds s on s.bucket = d.bucket
 left join flags f on list_contains(split(f.buckets_csv, ','), d.bucket)
 group by all""")
 def src_config_dims(t: Tables):
-    from ..sources.config import bucket_table, check, seed_table
-
-    check(BUCKETS, INTERESTS)
-    seeds = seed_table(t.spark, BUCKETS).groupBy("bucket").agg(F.countDistinct("seed").alias("seeds"))
+    """Rules written to a file and read back as a user would keep them."""
+    from ..sources.config import bucket_table, load, seed_table
+
+    path = shared_dir(t.spark, "rules")
+    text = json.dumps({"buckets": [asdict(b) for b in BUCKETS], "interests": [asdict(i) for i in INTERESTS]})
+    t.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    buckets, _, _ = load(t.spark, path)
+    seeds = seed_table(t.spark, buckets).groupBy("bucket").agg(F.countDistinct("seed").alias("seeds"))
     used = (shapes.flags(t).select("lot_number", F.explode("buckets").alias("bucket"))
             .groupBy("bucket").agg(F.countDistinct("lot_number").alias("labelled")))
-    assert group_order(BUCKETS)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return (bucket_table(t.spark, BUCKETS).join(seeds, "bucket", "left").join(used, "bucket", "left")
+    return (bucket_table(t.spark, buckets).join(seeds, "bucket", "left").join(used, "bucket", "left")
             .select("bucket", "bucket_group", "group_pos", zero("seeds"), zero("labelled")))
 
 
@@ -132,7 +140,7 @@ def sink_tables(t: Tables):
     lots = shapes.lots(t).select("auction_id", "id", "lot_number", "title", "condition", "category", "current_bid")
     sinks.write_tables(
         {"lots": lots, "conditions": facets.available_conditions(lots)}, path,
-        gates={"slim": checks.gate_slim(lots)}, partition_by={"lots": ["auction_id"]})
+        gates={"slim": lambda written: checks.gate_slim(written["lots"], shapes.SCOPE)}, partition_by={"lots": ["auction_id"]})
     back = sinks.read_table(t.spark, path, "lots")
     return back.groupBy(F.col("auction_id").cast("bigint").alias("auction_id")).agg(
         F.count("*").alias("lots"), F.countDistinct("title").alias("titles"), F.round(F.sum("current_bid"), 2).alias("bids"))
@@ -203,7 +211,7 @@ from (select lots.*, coalesce(y.layer_no, 0) as layer_no, coalesce(y._ord, 0) as
       where priority <> '5-LOW') s
 group by all""")
 def ingest_stream(t: Tables):
-    """Two snapshots of every auction arrive one after the other."""
+    """Two snapshots of every auction arrive, each in several files and triggers."""
     arrivals, state = shared_dir(t.spark, "arrivals"), shared_dir(t.spark, "state")
     item = F.struct("id", "lotNumber", "lead", "description", "featuredPicture", "pictures", "lotState", "category")
     lots = t["lots"].select("id", "priority", "date")
@@ -216,11 +224,11 @@ def ingest_stream(t: Tables):
 
     for present, stamp in sets:
         (present.groupBy("auction_id", F.concat("date", F.lit(stamp)).alias("scraped_at"), F.floor(F.col("id") / 500).alias("page"))
-         .agg(F.collect_list(item).alias("items")).drop("page").write.mode("append").json(arrivals))
-        stream.start(t.spark, arrivals, state, layers, files_per_batch=1_000_000).awaitTermination()
-    last = F.lit(1)
-    shot = t.spark.read.parquet(f"{state}/snapshots").where(F.col("batch_id") == last)
-    labels = t.spark.read.parquet(f"{state}/labels").where(F.col("batch_id") == last)
+         .agg(F.collect_list(item).alias("items")).drop("page").repartition(2).write.mode("append").json(arrivals))
+        stream.start(t.spark, arrivals, state, layers, files_per_batch=1).awaitTermination()
+    second = F.col("scraped_at").contains("-02-02T")
+    shot = t.spark.read.parquet(f"{state}/snapshots").where(second)
+    labels = t.spark.read.parquet(f"{state}/labels").where(second)
     return (shot.select("auction_id", "lot_number", "first_seen", "is_new")
             .join(labels.select("auction_id", "lot_number", "buckets"), ["auction_id", "lot_number"])
             .select(F.col("auction_id").cast("bigint").alias("auction_id"), "lot_number", "first_seen", "is_new", shapes.joined("buckets")))

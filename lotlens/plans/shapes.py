@@ -27,7 +27,7 @@ def landing(t: Tables) -> DataFrame:
     shown = F.col("status") != "F"
     path = F.reverse(F.split("category", vocab.CRUMB))
     leaf = F.struct(F.get(path, F.lit(0)).alias("categoryName"), F.col("category").alias("fullCategory"))
-    upper = F.transform(F.slice(path, 2, 5), lambda n: F.struct(n.alias("categoryName"), n.alias("fullCategory")))
+    upper = F.transform(F.slice(path, F.lit(2), F.size(path)), lambda n: F.struct(n.alias("categoryName"), n.alias("fullCategory")))
     return t["landing_text"].select(
         "auction_id", "id", F.col("lot_number").alias("lotNumber"), F.col("title").alias("lead"),
         F.col("description_raw").alias("description"),

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, fields
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import vocab
 from ..functions.patterns import fold_hyphens
 
-# Lists longer than this are not configuration any more and must be tables.
+# Rules become literals in expressions. Longer lists than this are not configuration
+# any more, and are refused rather than cut; ``check`` takes another bound.
 MAX_TERMS = 20_000
 
 
@@ -64,24 +64,31 @@ def _build(kind, entry: dict):
                    for k, v in entry.items() if k in names and v is not None})
 
 
-def load(path: str, key: str, kind) -> list:
-    """Entries of one list in a JSON or YAML file."""
-    text = Path(path).read_text(encoding="utf-8")
+def _entries(data: dict, key: str, kind) -> list:
+    return [_build(kind, e) for e in (data or {}).get(key) or [] if (e or {}).get("name")]
+
+
+def load(spark: SparkSession, path: str) -> tuple[list[Bucket], list[Interest], list[TermGroup]]:
+    """Buckets, interests and legend of a JSON or YAML file in any store that Spark reads; checked."""
+    text = spark.read.text(path, wholetext=True).head()["value"]
     if path.endswith((".yaml", ".yml")):
         import yaml  # optional dependency, only for YAML files
 
         data = yaml.safe_load(text)
     else:
         data = json.loads(text)
-    return [_build(kind, e) for e in (data or {}).get(key) or [] if (e or {}).get("name")]
+    out = _entries(data, "buckets", Bucket), _entries(data, "interests", Interest), _entries(data, "legend", TermGroup)
+    check(*out)
+    return out
 
 
-def check(buckets: list[Bucket], interests: list[Interest] = (), legend: list[TermGroup] = ()) -> None:
+def check(buckets: list[Bucket], interests: list[Interest] = (), legend: list[TermGroup] = (),
+          max_terms: int = MAX_TERMS) -> None:
     """Refuse configuration that would silently shortlist the wrong things."""
     problems = []
     names = {b.name for b in buckets}
-    if sum(len(b.seeds) + len(b.exclude) for b in buckets) > MAX_TERMS:
-        problems.append(f"more than {MAX_TERMS} seeds")
+    if sum(len(b.seeds) + len(b.exclude) for b in buckets) > max_terms:
+        problems.append(f"more than {max_terms} seeds")
     for b in buckets:
         stale = sorted(set(b.condition_in) - set(vocab.CONDITIONS))
         if stale:
@@ -110,6 +117,7 @@ def group_order(buckets: list[Bucket]) -> list[str]:
 
 
 def bucket_table(spark: SparkSession, buckets: list[Bucket]) -> DataFrame:
+    check(buckets)
     order = group_order(buckets)
     rows = [(b.name, b.group, order.index(b.group)) for b in buckets]
     return spark.createDataFrame(rows, "bucket string, bucket_group string, group_pos int")

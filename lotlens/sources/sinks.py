@@ -3,23 +3,37 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.gates import GateError, require
 
+_MANIFEST = "run_no bigint, run string, tables array<string>"
 
-def write_tables(tables: dict[str, DataFrame], path: str, gates: dict[str, DataFrame] | None = None,
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _MANIFEST)
+
+
+def write_tables(tables: dict[str, DataFrame], path: str,
+                 gates: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None,
                  partition_by: dict[str, list[str]] | None = None) -> str:
-    """Write every table, then publish them together; returns the run id.
+    """Write every table, check what was written, then publish all together; returns the run id.
 
-    The gates run first and nothing is written when one fails. Tables land in a
-    folder of their own run; readers follow the manifest, whose one-row append
-    is the last step, so a lost job leaves the previous run in place.
+    Tables land in a folder of their own run. Gates are functions of the written
+    tables, so what is checked is what is read later; one that fails leaves the
+    run unpublished and readers with the one before. Readers follow the manifest,
+    whose one-row append is the last step; runs are counted, not timed.
     """
-    for name, violations in (gates or {}).items():
-        require(violations, name)
+    spark = next(iter(tables.values())).sparkSession
     run = uuid.uuid4().hex
     for name, df in tables.items():
         writer = df.write.mode("overwrite")
@@ -27,8 +41,11 @@ def write_tables(tables: dict[str, DataFrame], path: str, gates: dict[str, DataF
         if keys:
             writer = writer.partitionBy(*keys)
         writer.parquet(f"{path}/runs/{run}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    (spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("published_at"),
+    written = {name: spark.read.schema(df.schema).parquet(f"{path}/runs/{run}/{name}") for name, df in tables.items()}
+    for name, violations in (gates or {}).items():
+        require(violations(written), name)
+    last = _manifest(spark, path).agg(F.coalesce(F.max("run_no"), F.lit(0))).first()[0]
+    (spark.range(1).select(F.lit(last + 1).cast("bigint").alias("run_no"), F.lit(run).alias("run"),
                            F.array(*[F.lit(n) for n in tables]).alias("tables"))
      .coalesce(1).write.mode("append").parquet(f"{path}/manifest"))
     return run
@@ -36,7 +53,7 @@ def write_tables(tables: dict[str, DataFrame], path: str, gates: dict[str, DataF
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The table as of the last published run."""
-    last = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("published_at")).head()
+    last = _manifest(spark, path).orderBy(F.desc("run_no"), "run").head()
     if last is None or name not in last["tables"]:
         raise GateError(f"{name} was never published under {path}")
     return spark.read.parquet(f"{path}/runs/{last['run']}/{name}")
