@@ -80,7 +80,7 @@ def merge_precedence(matched: DataFrame, lot_columns: Sequence[str], label_colum
 def label_orphans(labels: DataFrame, lots: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Labels that name no lot, neither by id nor by display number."""
     keys = _keys(lots, scope)
-    return (labels.withColumn("_key", F.coalesce(as_key(F.col("lot_number")), F.lit("")))
+    return (labels.withColumn("_key", _dealt_key("lot_number", labels.columns))
             .join(keys, [*scope, "_key"], "left_anti").drop("_key"))
 
 
@@ -110,10 +110,16 @@ def diff_new(lots: DataFrame, labels: DataFrame, scope: Sequence[str] = ()) -> D
     return _without(lots, known, scope)
 
 
+def _dealt_key(column: str, columns: Sequence[str]) -> Column:
+    """A key for an anti join: rows without one get keys that no table holds, so that they don't meet in one task."""
+    part = F.pmod(F.xxhash64(*columns), F.lit(4096)).cast("string")
+    return F.coalesce(as_key(F.col(column)), F.concat(F.lit("\x00"), part))
+
+
 def _without(lots: DataFrame, known: DataFrame, scope: Sequence[str]) -> DataFrame:
     out = lots
     for column in ("id", "lot_number"):
-        out = (out.withColumn("_key", as_key(F.col(column)))
+        out = (out.withColumn("_key", _dealt_key(column, lots.columns))
                .join(known, [*scope, "_key"], "left_anti").drop("_key"))
     return out
 
@@ -193,7 +199,7 @@ def fold_layers(layers: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 def layer_report(layers: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Per layer: rows applied, rows dropped because the lot is gone."""
-    lots = layers.where("layer_no = 0").select(*scope, "lot_number")
+    lots = layers.where("layer_no = 0").select(*scope, "lot_number").distinct()
     return (layers.where("layer_no > 0")
             .join(lots.withColumn("_in", F.lit(True)), [*scope, "lot_number"], "left")
             .groupBy("layer_no")
@@ -239,9 +245,8 @@ def attach_bucket_groups(labels: DataFrame, bucket_dim: DataFrame) -> DataFrame:
     """(bucket, group, position, lots) of every bucket in use; unknown ones go to 'Other', last."""
     used = (labels.select(F.explode("buckets").alias("bucket"))
             .groupBy("bucket").agg(F.count("*").alias("uses")))
-    dim = F.broadcast(bucket_dim)  # one row per configured bucket
     known = F.col("bucket_group").isNotNull()
-    return used.join(dim, "bucket", "left").select(
+    return used.join(bucket_dim, "bucket", "left").select(
         "bucket", F.coalesce("bucket_group", F.lit(vocab.UNGROUPED)).alias("bucket_group"),
         F.coalesce("group_pos", F.lit(2**31 - 1)).alias("group_pos"), known.alias("is_known"), "uses")
 
@@ -318,5 +323,5 @@ def output_lots(merged: DataFrame) -> DataFrame:
             ("sale_key", "string"), ("alt_keys", "array<string>"),
             ("personal_match", "boolean"), ("personal_tags", "array<string>"),
             ("match_strength", "string"), ("match_types", "array<string>"),
-            ("personal_reasoning", "string"))],
+            ("personal_reasoning", "string"), ("scrape", "bigint"))],
     )

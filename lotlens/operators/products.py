@@ -75,12 +75,10 @@ def fanout_labels(members: DataFrame, answers: DataFrame, scope: Sequence[str] =
 
 
 def fanout_valuations(members: DataFrame, valuations: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Copy each product's valuation to its lots; valuations of unknown lots fall away."""
+    """Copy each product's last valuation (by ``_ord``) to its lots; valuations of unknown lots fall away."""
     fields = [f for f in vocab.VALUATION_FIELDS if f in valuations.columns]
-    given = valuations.select(*scope, F.trim("lot_number").alias("rep_lot"), *fields,
-                              *[c for c in ("_ord",) if c in valuations.columns])
-    if "_ord" in given.columns:
-        given = latest(given, [*scope, "rep_lot"], "_ord").drop("_ord")
+    given = valuations.select(*scope, F.trim("lot_number").alias("rep_lot"), *fields, "_ord")
+    given = latest(given, [*scope, "rep_lot"], "_ord").drop("_ord")
     return attach(members.select(*scope, "lot_number", "rep_lot"), given, [*scope, "rep_lot"], "inner", _copies(members, scope))
 
 
@@ -120,15 +118,17 @@ def regroup_plan(slim: DataFrame, old_reps: DataFrame, valuations: DataFrame,
 
 def regroup_apply(slim: DataFrame, old_reps: DataFrame, valuations: DataFrame, fixes: DataFrame,
                   scope: Sequence[str] = ()) -> DataFrame:
-    """One valuation per corrected product, re-keyed on its representative.
+    """One valuation per corrected product, re-keyed on its representative: the last of each key by ``_ord``.
 
     ``source`` is 'kept', 'fixed' or NULL; a NULL means the fix-up was cut short.
     """
     products = dedupe_products(slim, scope).select(*scope, "product_id", "rep_lot", "qty")
     kept = _reusable(slim, old_reps, valuations, scope)
     fields = [f for f in vocab.VALUATION_FIELDS if f in valuations.columns]
-    old = valuations.select(*scope, F.trim("lot_number").alias("old_rep"), F.struct(*fields).alias("_old"))
-    new = fixes.select(*scope, F.trim("lot_number").alias("rep_lot"), F.struct(*fields).alias("_new"))
+    old = latest(valuations.select(*scope, F.trim("lot_number").alias("old_rep"), F.struct(*fields).alias("_old"), "_ord"),
+                 [*scope, "old_rep"], "_ord").drop("_ord")
+    new = latest(fixes.select(*scope, F.trim("lot_number").alias("rep_lot"), F.struct(*fields).alias("_new"), "_ord"),
+                 [*scope, "rep_lot"], "_ord").drop("_ord")
     joined = (products.join(kept, [*scope, "product_id"], "left")
               .join(old, [*scope, "old_rep"], "left")
               .join(new, [*scope, "rep_lot"], "left"))

@@ -114,14 +114,18 @@ def sale_index(history: DataFrame) -> DataFrame:
 
 
 def _ladder_order(own: Column, candidate: Column) -> Column:
-    """Nearest grade first, the worse one on a tie, grades off the ladder last."""
-    ladder = F.array(*[F.lit(g) for g in vocab.PRICE_LADDER])
-    mine = F.array_position(ladder, own).cast("int")
-    theirs = F.array_position(ladder, candidate).cast("int")
-    worse_first = F.when(theirs > mine, 0).otherwise(1)
+    """A struct that sorts grades as substitutes for ``own``.
+
+    Grades off the ladder come after those on it, by name. Among the others the
+    steps between the two grades count (from the top of the ladder, if ``own`` is
+    off it), and of two as far away the worse grade goes first.
+    """
+    rungs = F.create_map(*[F.lit(x) for i, g in enumerate(vocab.PRICE_LADDER, 1) for x in (g, i)])
+    mine, theirs = F.try_element_at(rungs, own), F.try_element_at(rungs, candidate)
     return F.struct(
-        F.when(theirs == 0, 2).when(mine == 0, 1).otherwise(0).alias("kind"),
-        F.when(theirs == 0, 0).when(mine == 0, theirs).otherwise(F.abs(theirs - mine) * 2 + worse_first).alias("gap"),
+        theirs.isNull().alias("off_ladder"),
+        F.coalesce(F.abs(theirs - F.coalesce(mine, F.lit(0))), F.lit(0)).alias("steps"),
+        F.coalesce(theirs < mine, F.lit(False)).alias("is_better"),
         candidate.alias("condition"))
 
 
@@ -167,10 +171,12 @@ def sale_history_for_lot(lots: DataFrame, index: DataFrame) -> DataFrame:
 
 def sale_index_used(stamped: DataFrame, index: DataFrame) -> DataFrame:
     """History entries some lot refers to, by its own key or as an alternate."""
-    refs = F.array_union(F.array_compact(F.array("sale_key")),
-                         F.coalesce("alt_keys", F.array().cast("array<string>")))
-    used = stamped.select(F.explode(refs).alias("sale_key")).distinct()
-    return index.withColumn("sale_key", key_string()).join(used, "sale_key", "left_semi")
+    # A key is the lot's own title, a bar, and a condition; the title's length tells where the latter begins.
+    grade = lambda k: F.substr(k, F.length("key_title") + 2)
+    refs = F.array_union(F.array_compact(F.array(F.when(F.col("sale_key").isNotNull(), F.col("key_condition")))),
+                         F.coalesce(F.transform("alt_keys", grade), F.array().cast("array<string>")))
+    used = stamped.select("key_title", F.explode(refs).alias("key_condition")).distinct()
+    return index.join(used, list(KEY), "left_semi")
 
 
 def sale_coverage(stamped: DataFrame) -> DataFrame:

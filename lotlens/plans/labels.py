@@ -313,7 +313,7 @@ left join (select trim(lot_number) as k, est_low from valuations qualify row_num
 left join fixes f on f.lot_number = g.rep_lot""")
 def regroup_apply(t: Tables):
     fixes = (shapes.products(t).where("auction_id <> 1998")
-             .select("auction_id", F.col("rep_lot").alias("lot_number"), (F.col("qty") * 1.5).alias("est_low"))
+             .select("auction_id", F.col("rep_lot").alias("lot_number"), (F.col("qty") * 1.5).alias("est_low"), F.lit(0).alias("_ord"))
              .select("*", *[F.lit(None).cast("string").alias(f) for f in vocab.VALUATION_FIELDS if f not in ("est_low", "est_high")],
                      F.lit(None).cast("double").alias("est_high")))
     out = prod.regroup_apply(shapes.slim(t), _old_reps(t), _valued(t), fixes, SCOPE)

@@ -21,12 +21,12 @@ _STAMPED = _HISTORY + """,
 own as (select l.*, upper(trim(l.title)) as key_title, upper(trim(coalesce(l.condition, ''))) as key_condition,
     coalesce(g.rung, 0) as rung from lots l left join dim_grades g on g.grade = upper(trim(l.condition))),
 offers as (select o.id, k.key_title, k.key_condition as alt_condition,
-    case when g.rung is null then 2 when o.rung = 0 then 1 else 0 end as kind,
-    case when g.rung is null then 0 when o.rung = 0 then g.rung else abs(g.rung - o.rung) * 2 + case when g.rung > o.rung then 0 else 1 end end as gap
+    row_number() over (partition by o.id order by case when g.rung is not null then 0 else 1 end,
+      case when g.rung >= o.rung then g.rung - o.rung else o.rung - g.rung end, g.rung desc, k.key_condition) as choice
   from own o join keys k on k.key_title = o.key_title and k.key_condition <> o.key_condition and k.key_condition <> ''
   left join dim_grades g on g.grade = k.key_condition),
-alternates as (select id, string_agg(concat(key_title, '|', alt_condition), ';' order by kind, gap, alt_condition) as alt_keys,
-    arg_min(alt_condition, (kind, gap, alt_condition)) as nearest from offers group by id),
+alternates as (select id, string_agg(concat(key_title, '|', alt_condition), ';' order by choice) as alt_keys,
+    arg_min(alt_condition, choice) as nearest from offers group by id),
 stamped as (select o.*, case when k.key_title is not null then concat(o.key_title, '|', o.key_condition) end as sale_key, alt_keys, nearest
   from own o left join keys k on k.key_title = o.key_title and k.key_condition = o.key_condition left join alternates a on a.id = o.id)"""
 

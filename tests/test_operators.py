@@ -146,24 +146,15 @@ def test_products_cover_every_lot_once(spark):
 
 
 def _chunks_by_hand(items, target, drift):
-    keys = [(c, " ".join(t.upper().split()[:2])) for c, t, _ in items]
-    out, start = [], 0
-    while start < len(items):
-        end = start + target
-        if end >= len(items):
-            out.append(items[start:])
-            break
-        if keys[end - 1] == keys[end]:
-            for d in range(1, drift + 1):
-                if end + d < len(items) and keys[end + d - 1] != keys[end + d]:
-                    end += d
-                    break
-                if end - d > start and keys[end - d - 1] != keys[end - d]:
-                    end -= d
-                    break
-        out.append(items[start:end])
-        start = end
-    return out
+    """Each cut tries every row: the run boundary nearest to the wanted place, the later of two, else the place itself."""
+    family = [(c, tuple(t.upper().split()[:2])) for c, t, _ in items]
+    edges = {n for n in range(1, len(items)) if family[n] != family[n - 1]}
+    cuts = [0]
+    while len(items) - cuts[-1] > target:
+        wanted = cuts[-1] + target
+        reach = [n for n in edges if n > cuts[-1] and -drift <= n - wanted <= drift]
+        cuts.append(sorted(reach, key=lambda n: (abs(n - wanted), -n))[0] if reach else wanted)
+    return [items[a:b] for a, b in zip(cuts, [*cuts[1:], len(items)])]
 
 
 @pytest.mark.parametrize("target, drift, words", [(20, 2, 12), (20, 1, 2), (7, 3, 30), (500, 50, 5)])
@@ -258,7 +249,13 @@ def test_lot_references(spark):
     lots = spark.createDataFrame([("S-1042",), ("M-1042",), ("77",)], "lot_number string")
     refs = spark.createDataFrame([(r,) for r in ("1042", "s1042", " m 1042", "77", "x9", "S#9")], "ref string")
     view = lots.where("lot_number like 'M%'")
-    assert rows(search.resolve_lot_refs(refs, lots, view)) == [(" m 1042", "M-1042"), ("1042", "M-1042"), ("77", "77"), ("s1042", "S-1042")]
+    assert rows(search.resolve_lot_refs(refs, lots, view)) == [(" m 1042", "M-1042"), ("1042", "M-1042"), ("77", "77"), ("S#9", None), ("s1042", "S-1042"), ("x9", None)]
+
+
+def test_hangul_is_found(spark):
+    lots = spark.createDataFrame([("1", "한국 차"), ("2", "Ａｎ ñandú")], "lot_number string, title string")
+    hit = lambda q: [r.lot_number for r in search.search(lots, q).collect()]
+    assert hit("한국") == ["1"] and hit("nandu") == ["2"]
 
 
 def test_flagged_tab_without_a_bucket_shows_nothing(spark):
@@ -279,11 +276,14 @@ def test_category_tree_counts_every_level(spark):
 def test_write_is_all_or_nothing(spark):
     path = shared_dir(spark, "sink")
     good = spark.createDataFrame([("1", "t", "c", "Good")], "lot_number string, title string, category string, condition string")
-    sinks.write_tables({"lots": good}, path, {"slim": gates.gate_slim(good)})
+    slim = {"slim": lambda written: gates.gate_slim(written["lots"])}
+    sinks.write_tables({"lots": good}, path, slim)
     bad = good.withColumn("title", F.lit(""))
     with pytest.raises(gates.GateError, match="title"):
-        sinks.write_tables({"lots": bad}, path, {"slim": gates.gate_slim(bad)})
+        sinks.write_tables({"lots": bad}, path, slim)
     assert sinks.read_table(spark, path, "lots").head().title == "t"
+    sinks.write_tables({"lots": good.withColumn("title", F.lit("later"))}, path, slim)
+    assert sinks.read_table(spark, path, "lots").head().title == "later"
 
 
 def test_sources_skip_what_they_cannot_read(spark, tmp_path):
@@ -292,7 +292,7 @@ def test_sources_skip_what_they_cannot_read(spark, tmp_path):
     (folder / "b.json").write_text(json.dumps({"close_date": "2026-01-02", "products": [{"title": "x", "sold": "many"}]}))
     (folder / "c.json").write_text('{"close_date": "2026-')
     (folder / "d.json").write_text(json.dumps([{"title": "no envelope"}]))
-    assert rows(landing.read_sale_history(spark, str(folder)), "_file", "title", "sold") == [("b.json", "x", "many")]
+    assert rows(landing.read_sale_history(spark, str(folder)), "title", "sold") == [("x", "many")]
     assert landing.read_sale_history(spark, str(tmp_path / "none")).count() == 0
     items = tmp_path / "items"
     items.mkdir()
@@ -301,7 +301,28 @@ def test_sources_skip_what_they_cannot_read(spark, tmp_path):
     (items / "broken.json").write_text('{"items": [')
     read = landing.read_snapshot(spark, str(items))
     assert rows(landing.usable(read, "id"), "id", "auction_id") == [(1, 4), (2, 4), (3, None)]
-    assert rows(landing.rejects(read), "_file") == [("broken.json",)]
+    assert [r._file.rsplit("/", 1)[1] for r in landing.rejects(read).collect()] == ["broken.json"]
+
+
+def test_the_later_file_wins_whatever_its_size(spark, tmp_path):
+    """Spark packs files by size; the order that rules need is the order of paths and places."""
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps({"auction_id": 1, "items": [{"id": 1, "title": "old"}]}))
+    (folder / "b.json").write_text(json.dumps({"auction_id": 1, "items": [{"id": 1, "title": "new"}] + [{"id": k, "title": "x" * 500} for k in range(2, 400)]}))
+    read = landing.usable(landing.read_snapshot(spark, str(folder)), "id")
+    from lotlens.operators.common import latest
+    assert latest(read.select("id", "title", "_ord"), ["id"], "_ord").where("id = 1").head().title == "new"
+
+
+def test_rules_come_from_a_checked_file(spark, tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text(json.dumps({"buckets": [{"name": "A", "group": "g", "seeds": ["x", "y"]}], "interests": [{"name": "I", "buckets": ["A"]}]}))
+    buckets, interests, legend = config.load(spark, str(path))
+    assert buckets == [Bucket("A", "g", seeds=("x", "y"))] and interests == [Interest("I", buckets=("A",))] and legend == []
+    path.write_text(json.dumps({"buckets": [{"name": "A", "condition_in": ["Nearly New"]}]}))
+    with pytest.raises(ValueError, match="unknown conditions"):
+        config.load(spark, str(path))
 
 
 def test_stale_configuration_is_refused():
@@ -318,7 +339,7 @@ def test_a_lot_that_returns_is_new_again(spark):
         page = [(7, f"t{n}", [(i,) for i in ids])]
         spark.createDataFrame(page, "auction_id long, scraped_at string, items array<struct<id:long>>").coalesce(1).write.mode("append").json(arrivals)
         stream.start(spark, arrivals, state, files_per_batch=1000).awaitTermination()
-        shot = spark.read.parquet(f"{state}/snapshots").where(F.col("batch_id") == n)
+        shot = spark.read.parquet(f"{state}/snapshots").where(F.col("scraped_at") == f"t{n}")
         seen.append(rows(shot, "id", "first_seen", "is_new"))
     assert seen == [[(1, "t0", True), (2, "t0", True)], [(1, "t0", False)], [(1, "t0", False), (2, "t2", True)]]
     # A batch that runs again leaves the same state.
@@ -329,7 +350,92 @@ def test_a_lot_that_returns_is_new_again(spark):
         if f.name != "id":
             batch = batch.withColumn(f.name, F.lit(None).cast(f.dataType))
     stream.process_batch(batch, 2, state)
-    assert rows(spark.read.parquet(f"{state}/snapshots").where("batch_id = 2"), "id", "first_seen", "is_new") == seen[2]
+    assert rows(spark.read.parquet(f"{state}/snapshots").where("scraped_at = 't2'"), "id", "first_seen", "is_new") == seen[2]
+
+
+def test_a_snapshot_may_come_in_files_and_two_in_one_trigger(spark):
+    def land(arrivals, stamp, ids):
+        page = [(7, stamp, [(i,) for i in ids])]
+        spark.createDataFrame(page, "auction_id long, scraped_at string, items array<struct<id:long>>").coalesce(1).write.mode("append").json(arrivals)
+
+    want = [(1, "t0", False), (2, "t0", False), (3, "t1", True), (4, "t1", True)]
+    for reader in ({"files_per_batch": 1}, {}):
+        arrivals, state = shared_dir(spark, "arrivals"), shared_dir(spark, "state")
+        for stamp, ids in (("t0", [1]), ("t0", [2]), ("t1", [1, 3]), ("t1", [2, 4])):
+            land(arrivals, stamp, ids)
+        spark.createDataFrame([('{"auction_id": 7, "items": [{"id"',)], "value string").coalesce(1).write.mode("append").text(arrivals)
+        stream.start(spark, arrivals, state, **reader).awaitTermination()
+        shot = spark.read.parquet(f"{state}/snapshots").where("scraped_at = 't1'")
+        assert rows(shot, "id", "first_seen", "is_new") == want
+        assert spark.read.parquet(f"{state}/rejects").count() == 1
+
+
+# --- auctions that reuse lot numbers, keys that repeat --------------------------------------------------
+
+AT = ("auction_id",)
+
+
+def test_lots_of_two_auctions_are_not_mixed_up(spark):
+    lots = spark.createDataFrame([(1, "7"), (2, "7"), (2, "8")], "auction_id long, lot_number string")
+    flags = lots.withColumn("buckets", F.array(F.lit("A"))).withColumn("is_flagged", F.lit(True)).withColumn("subtype", F.lit(None).cast("string"))
+    assert gates.gate_lot_sets(flags, lots, ["lot_number"], True, AT).count() == 0
+    other = gates.gate_lot_sets(flags.where("auction_id = 1"), lots, ["lot_number"], True, AT)
+    assert rows(other, "auction_id", "check", "n") == [(2, "absent", 2), (2, "fingerprint", 0)]
+    dim = spark.createDataFrame([("A", "g", 0)], "bucket string, bucket_group string, group_pos int")
+    assert {r.lots for r in facets.label_nav(flags, dim, AT).collect()} == {3}
+    watched = spark.createDataFrame([(2, "7")], "auction_id long, lot_number string")
+    assert rows(browse.filter_tab(lots, "watched", watched, scope=AT), "auction_id", "lot_number") == [(2, "7")]
+    short = spark.createDataFrame([(1, "7", [("A", "x")], []), (2, "7", [], []), (2, "8", [], [])],
+                                  "auction_id long, lot_number string, cand array<struct<bucket:string,reason:string>>, profile array<string>")
+    from lotlens.operators.shortlist import bucket_sizes
+    assert rows(bucket_sizes(short, scope=AT), "auction_id", "lots", "share") == [(1, 1, 1.0)]
+
+
+def test_chunks_of_two_auctions_answer_for_themselves(spark):
+    chunks_of = spark.createDataFrame([(a, 1, "7", True) for a in (1, 2)], "auction_id long, chunk int, lot_number string, is_last boolean")
+    answer = [(a, 1, 0, "7", False, [], False, None, list(gates.REQUIRED_KEYS)) for a in (1, 2)]
+    marker = [(a, 1, 9, None, None, [], None, "7", ["chunk_complete"]) for a in (1, 2)]
+    responses = spark.createDataFrame(answer + marker, "auction_id long, chunk int, pos int, lot_number string, is_flagged boolean, "
+                                      "buckets array<string>, personal_match boolean, chunk_complete string, keys array<string>")
+    assert gates.gate_responses(chunks_of, responses, AT).count() == 0
+    reps = spark.createDataFrame([(1, "7"), (2, "7"), (2, "9")], "auction_id long, rep_lot string")
+    assert rows(gates.gate_coverage(chunks_of, reps, AT), "auction_id", "problem", "n") == [(2, "products in no chunk", 1)]
+
+
+def test_suspects_follow_from_their_own_auction(spark):
+    labelled = spark.createDataFrame(
+        [(1, "1", "Acme steel rod", "Tools", 2, ["Rods"]), (1, "2", "Acme steel rod kit", "Tools", 1, []), (2, "2", "Acme steel rod kit", "Tools", 1, [])],
+        "auction_id long, rep_lot string, title string, category string, qty long, buckets array<string>")
+    assert rows(recall.recall_suspects(labelled, [Bucket("Rods")], AT), "auction_id", "rep_lot") == [(1, "2")]
+
+
+def test_repeated_valuations_multiply_nothing(spark):
+    lots = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", "b")], "lot_number string, title string")
+    prods = products.dedupe_products(lots)
+    twice = spark.createDataFrame([("1", 1.0, 1), ("1", 2.0, 2), ("3", 5.0, 1)], "lot_number string, est_low double, _ord int")
+    out = products.fanout_valuations(products.product_members(lots, prods), twice)
+    assert rows(out, "lot_number", "est_low") == [("1", 2.0), ("2", 2.0), ("3", 5.0)]
+    old = spark.createDataFrame([("1", 1)], "lot_number string, _ord int")
+    fixes = spark.createDataFrame([("3", 7.0, 1), ("3", 8.0, 2)], "lot_number string, est_low double, _ord int")
+    out = products.regroup_apply(lots, old, twice.where("lot_number = '1'"), fixes)
+    assert rows(out, "lot_number", "source", "est_low") == [("1", "kept", 2.0), ("3", "fixed", 8.0)]
+    layers = spark.createDataFrame([("1", 0), ("1", 0), ("1", 1), ("9", 1)], "lot_number string, layer_no int")
+    assert rows(labels.layer_report(layers), "layer_no", "applied", "dropped") == [(1, 1, 1)]
+
+
+def test_whole_orders_have_a_place_for_every_row(spark):
+    from lotlens.operators.common import positions
+    data = [(i, i * 7919 % 100) for i in range(5000)]
+    df = spark.createDataFrame(data, "id long, v long").repartition(7)
+    want = sorted((n, i) for n, (_, i) in enumerate(sorted((-v, i) for i, v in data), 1))
+    assert sorted(rows(positions(df, [F.col("v").desc(), F.col("id").asc()]), "position", "id")) == want
+
+
+def test_a_bar_in_a_title_is_no_key(spark):
+    index = spark.createDataFrame([("A|B", "C", []), ("A", "B|C", [])], "key_title string, key_condition string, weeks array<string>")
+    lots = spark.createDataFrame([("1", "a|b", "c")], "lot_number string, title string, condition string")
+    used = sales.sale_index_used(sales.join_sale_history(lots, index), index)
+    assert rows(used, "key_title", "key_condition") == [("A|B", "C")]
 
 
 def test_fingerprint_ignores_order_and_counts_repeats(spark):
@@ -346,21 +452,31 @@ def test_hot_key_is_split(spark):
     try:
         left = spark.range(30000).select("id", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"))
         right = left.where("k is not null").groupBy("k").agg(F.min("id").alias("low"))
-        out = attach(left, right, ["k"], at_least=5000)
+        out = attach(left, right, ["k"], rows_per_part=300)
         placed = out.withColumn("p", F.spark_partition_id())
         assert placed.count() == 30000
         assert placed.where("k = 'hot'").agg(F.count("*"), F.min("low"), F.max("low"), F.count_distinct("p")).head()[:] == (20000, 1, 1, 8)
         biggest = placed.groupBy("p").count().agg(F.max("count")).head()[0]
         assert biggest < 30000 / 8 * 1.5
         assert out.where("k is null").count() == 5000 and out.where("k like 'k%' and low = id").count() == 5000
-        assert attach(left, right, ["k"], "inner", at_least=5000).count() == 25000
+        assert attach(left, right, ["k"], "inner", rows_per_part=5000).count() == 25000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_every_hot_key_is_split(spark):
+    """Two thousand keys over the limit, and one far over it: none is left whole."""
+    left = spark.range(40000).select("id", F.when(F.col("id") < 20000, F.col("id") % 2000).otherwise(F.lit(-1)).alias("k"))
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    parts = {r.k: r._parts for r in skew.hot_keys(counts, ["k"], 5).collect()}
+    assert len(parts) == 2001 and parts[-1] == 4000 and set(parts[k] for k in parts if k >= 0) == {2}
+    out = attach(left, counts, ["k"], rows_per_part=5)
+    assert out.count() == 40000 and out.where("k = -1 and n = 20000").count() == 20000
+
+
 def test_products_with_a_hot_key(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    monkeypatch.setattr(skew, "ROWS_PER_PART", 50)
     test_products_cover_every_lot_once(spark)
     slim = spark.createDataFrame([(f"L{i:03d}", "Hot" if i % 3 else f"t{i}") for i in range(300)], "lot_number string, title string")
     prods = products.dedupe_products(slim)
