@@ -130,7 +130,7 @@ def _blocks(shards: DataFrame, freq: DataFrame) -> DataFrame:
             docs, bodies = [], []
             for part in parts:
                 for s, start, doc, n, body, _ in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if docs and (s != shard or start != at or at - first >= 32 * rans.BLOCK):
+                    if docs and (s != shard or start != at or at - first >= rans.AT_ONCE * rans.BLOCK):
                         yield from out(shard, first, docs, bodies)
                         docs, bodies = [], []
                     if not docs:
@@ -171,8 +171,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for part in parts:
-                for lo in range(0, part.num_rows, 32):
-                    some = list(zip(*(c.to_pylist() for c in part.slice(lo, 32).columns), strict=True))
+                for lo in range(0, part.num_rows, rans.AT_ONCE):
+                    some = list(zip(*(c.to_pylist() for c in part.slice(lo, rans.AT_ONCE).columns), strict=True))
                     for b in some:
                         if zlib.crc32(b[6]) != b[7]:
                             raise ValueError(f"block {b[0]}:{b[1]} is damaged")

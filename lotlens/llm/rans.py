@@ -13,6 +13,7 @@ import numpy as np
 
 LANES, STRIDE, STEPS = 32, 256, 1024
 BLOCK = LANES * STEPS
+AT_ONCE = 64  # blocks that are coded side by side
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
 
 
@@ -43,8 +44,8 @@ def encode(table: Table, codes: np.ndarray) -> list[tuple[int, bytes, bytes, byt
     """Blocks (symbols, states, places, words) of an array of symbols; ``states`` and ``places`` hold the checkpoints."""
     out = []
     whole = len(codes) // BLOCK
-    for lo in range(0, whole, 32):
-        n = min(32, whole - lo)
+    for lo in range(0, whole, AT_ONCE):
+        n = min(AT_ONCE, whole - lo)
         out += _encode(table, codes[lo * BLOCK:(lo + n) * BLOCK].reshape(n, STEPS, LANES), [BLOCK] * n)
     if rest := len(codes) - whole * BLOCK:
         steps = -(-rest // LANES)

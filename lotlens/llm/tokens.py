@@ -41,11 +41,11 @@ def encoder(path: str | None = None) -> Encoder:
     return _ENCODERS[path]
 
 
-def _alphabet() -> dict[int, int]:
+def _alphabet() -> list[str]:
     """The character that stands for each byte: itself if it prints, else the next one from 256 on."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in prints]
-    return {b: 256 + n for n, b in enumerate(rest)}
+    return [chr(b if b in prints else 256 + rest.index(b)) for b in range(256)]
 
 
 class Encoder:
@@ -71,26 +71,29 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _word(self, letters: str) -> bytes:
+        """Ids of a piece whose bytes are written as letters."""
+        as_bytes = self.as_bytes
+        return b"".join([as_bytes[x.id] for x in self.model.tokenize(letters)])
+
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if piece.isascii() and piece.isprintable():
-                letters = "\u0120" + piece[1:] if piece[0] == " " else piece
-            else:
-                letters = piece.encode().decode("latin-1").translate(self.letters)
-            as_bytes = self.as_bytes
-            ids = b"".join([as_bytes[x.id] for x in self.model.tokenize(letters)])
+            ids = self._word("".join(map(self.letters.__getitem__, piece.encode())))
             if len(piece) <= 4:
                 self.pieces[piece] = ids
         return ids
 
     def run(self, run: str) -> bytes:
         """The ids of a run that follows a space."""
-        if run.isascii() and run.isalpha() and len(run) <= LONGEST_RUN:  # one piece
-            as_bytes = self.as_bytes
-            return b"".join([as_bytes[x.id] for x in self.model.tokenize("\u0120" + run)])
-        if len(run) > LONGEST_RUN or _UNSURE.search(run):
+        if not run or len(run) > LONGEST_RUN or not run.isascii() and _UNSURE.search(run):
+            return self._plainly([" " + run])[0]
+        if run.isalpha():  # one piece
+            return self._word("\u0120" + (run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))))
+        if _UNSURE.search(run):
             return self._plainly([" " + run])[0]
+        if run[-1] in _MARKS and run[:-1].isalpha():  # a mark after a word is a piece of its own
+            return self.runs[run[:-1]] + self.mark[run[-1]]
         return b"".join(map(self._piece, PIECES.findall(" " + run)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -115,10 +118,7 @@ class Runs(dict):
     def __missing__(self, run: str) -> bytes:
         ids = self.before.get(run)
         if ids is None:
-            if run[-1:] in _MARKS and run[:-1].isalpha() and run.isascii():
-                ids = self[run[:-1]] + self.encoder.mark[run[-1]]  # a mark after a word is a piece of its own
-            else:
-                ids = self.encoder.run(run)
+            ids = self.encoder.run(run)
         if len(run) <= LONGEST_RUN:
             self[run] = ids
         return ids
