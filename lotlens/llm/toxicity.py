@@ -2,7 +2,7 @@
 
 A document's features are the n-grams of LENGTHS characters that occur in its lower-case text, hashed to BUCKETS. Over
 all labelled training rows Spark counts in how many toxic and how many clean documents each bucket occurs; the log of
-the ratio of the two smoothed shares scales the feature. The FEATURES buckets with the strongest evidence are kept, and
+the ratio of the two smoothed shares scales the feature. Buckets with enough evidence are kept, FEATURES at most, and
 a logistic regression over the scaled features is fitted on a bounded sample: at most ``most_rows`` training rows, by
 hash, not by place. Counts cover all rows; only the sample's kept features (MOST_ROWS * FEATURES numbers at most, in
 practice a few hundred a row) and the counts (BUCKETS numbers) pass through the driver.
@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from .common import batches, saved
 
 LENGTHS, BUCKETS, FEATURES, MOST_ROWS, THRESHOLD = (3, 4, 5), 1 << 20, 8192, 8192, 0.3
+#: Standard errors between a bucket's two shares that make it a feature; the surest LEAST_FEATURES always are.
+EVIDENCE, LEAST_FEATURES = 5.0, 100
 _BITS, _RANGE = 20, 1 << 14
 _COUNTS = pa.schema([("range", pa.int32()), ("rows", pa.binary())])
 _SAMPLE = pa.schema([("row", pa.int64()), ("toxic", pa.int32()), ("features", pa.binary())])
@@ -202,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, smooth
     pooled = (counts.sum(0) + smooth) / (sizes.sum() + 2 * smooth)
     sure = np.abs(toxic - clean) / np.sqrt(pooled * (1 - pooled) * (1 / sizes[0] + 1 / sizes[1]))
     sure[counts.sum(0) < 3] = 0
-    best = np.sort(np.lexsort((np.arange(BUCKETS), -sure))[:FEATURES])
+    order = np.lexsort((np.arange(BUCKETS), -sure))
+    best = np.sort(order[:min(FEATURES, max(LEAST_FEATURES, int((sure > EVIDENCE).sum())))])
     best = best[sure[best] > 0]
     model = Model(best, ratio[best], 0.0)
     part = most_rows / float(sizes.sum())
