@@ -97,7 +97,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("_toxic")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.where(~held_out(F.col("doc_id")))
-    # Labels cover a share of the documents, so they are sorted together at any size.
+    # Labels cover a share of the documents, so both are shuffled at any size: one plan, whose cost follows the input.
     return (rows.join(known.hint("merge"), "doc_id")
             .select("text", F.col("_toxic").alias("toxic"), F.xxhash64(F.lit(5), "doc_id", "text").alias("row")))
 
