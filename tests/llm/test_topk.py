@@ -18,9 +18,9 @@ def search(spark, rows, k):
 def test_same_as_sorting(spark, k, monkeypatch):
     monkeypatch.setattr(topk, "CHUNK", 64)
     r = np.random.default_rng(4)
-    rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(300)]
+    rows = [(i, [float(np.float32(x)) for x in r.normal(size=6)]) for i in range(300)]
     rows += [(i, [0.25] * 6) for i in range(300, 420)]      # a third ties with itself
-    rows += [(500, None), (520, []), (540, [1.0, None, 0, 0, 0, 0]), (560, [float("nan")] * 6), (580, [float("inf")] * 6)]
+    rows += [(500, None), (520, []), (540, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (560, [float("nan")] * 6), (580, [float("inf")] * 6)]
     rows += [(600, [0.5, 0.25]), (601, [1.0, 1.0]), (None, [1.0] * 6), (-20, [3.0] * 6)]
     assert search(spark, rows, k) == brute.top(rows, k)
 
