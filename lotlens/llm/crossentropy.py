@@ -140,7 +140,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background (means in nats) and score of every document."""
     good = (labels.where("doc_id is not null and quality > 0").select(F.col("doc_id").cast("long").alias("g_doc")).distinct())
     rows = text_rows(docs).select("doc_id", "text")
-    marked = rows.join(good, rows["doc_id"] == good["g_doc"], "left").select("text", F.col("g_doc").isNotNull().alias("target"))
+    # Labels cover a share of the documents, so both are shuffled at any size: one plan, whose cost follows the input.
+    marked = rows.join(good.hint("merge"), F.col("doc_id") == F.col("g_doc"), "left").select("text", F.col("g_doc").isNotNull().alias("target"))
     common, (target, background) = models(rows, marked)
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64())])
 
