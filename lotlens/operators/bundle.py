@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import facets, gates, labels, sales, scrapes
+from .common import written_once
 
 TABLES = ("lots", "bucket_groups", "groups", "scrapes", "sale_history")
 
@@ -28,8 +29,9 @@ def bundle_lots(raw: DataFrame, label_rows: DataFrame, valuations: DataFrame, in
 
 def bundle_tables(raw: DataFrame, label_rows: DataFrame, valuations: DataFrame, index: DataFrame, bucket_dim: DataFrame,
                   stamp: Column, scope: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """The five tables of a bundle."""
-    lots = bundle_lots(raw, label_rows, valuations, index, stamp, scope)
+    """The five tables of a bundle; the history and the lots are written once, as every table reads them."""
+    index = written_once(index, "index")
+    lots = written_once(bundle_lots(raw, label_rows, valuations, index, stamp, scope), "bundle_lots")
     used = labels.attach_bucket_groups(lots, bucket_dim)
     groups = used.groupBy("bucket_group").agg(F.min("group_pos").alias("group_pos"), F.sum("uses").alias("uses"))
     runs = scrapes.run_stamps(raw, stamp, scope)
