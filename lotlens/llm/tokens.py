@@ -16,7 +16,7 @@ import re
 import numpy as np
 import regex
 
-GENERATION, LONGEST_RUN = 800_000, 48
+GENERATION, LONGEST_RUN = 350_000, 48
 _SPACED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 #: Anything but a line end and the printable characters that every version of Unicode classes alike.
