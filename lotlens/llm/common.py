@@ -49,6 +49,13 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (buf[off[0]:off[-1]], off - off[0]) if len(column) else (buf[:0], np.zeros(1, np.int64))
 
 
+def slices(parts: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that copies of a column stay small."""
+    for part in parts:
+        for lo in range(0, part.num_rows, rows):
+            yield part.slice(lo, rows)
+
+
 def rounds(off: np.ndarray, most: int = ROUND_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes each; a longer row comes alone."""
     lo, n = 0, len(off) - 1

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import gathered, holds
-from .common import PLAIN, batches, mix, powers, rounds, saved, text_rows, texts, words
+from .common import PLAIN, batches, mix, powers, rounds, saved, slices, text_rows, texts, words
 
 #: 1: the word counts; 0: any word may stand there.
 MASKS = ("11111", "110111", "111011", "1101011", "1100111")
@@ -96,7 +96,7 @@ def _regions(docs: DataFrame, known: np.ndarray, longest: int) -> DataFrame:
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for part in parts:
+            for part in slices(parts):
                 ids, keys = part.column("doc_id").to_pylist(), part.column("_h").to_pylist()
                 buf, off = texts(pc.utf8_lower(part.column("text")))
                 for lo, hi in rounds(off):

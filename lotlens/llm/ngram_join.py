@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import attach
-from .common import PLAIN, batches, grams, rounds, saved, text_rows, texts, words
+from .common import PLAIN, batches, grams, rounds, saved, slices, text_rows, texts, words
 from .components import components
 
 WIDTH, THRESHOLD, ROWS, BANDS, SLICE, TOLERANCE = 5, 0.8, 4, 24, 32, 1e-6
@@ -77,7 +77,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, _h, set_id (null without words), size and MinHash signature of every document."""
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for part in parts:
+            for part in slices(parts):
                 keys = zip(part.column("doc_id").to_pylist(), part.column("_h").to_pylist(), strict=True)
                 for (doc, h), runs in zip(keys, _sets(part.column("text")), strict=True):
                     if len(runs):
@@ -379,7 +379,7 @@ def _with_runs(docs: DataFrame, asked: DataFrame) -> DataFrame:
     kept = [c for c in both.columns if c != "text"]
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             runs = [r.astype("<u4").tobytes() + (r >> np.uint64(32)).astype("<u2").tobytes() for r in _sets(part.column("text"))]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(runs, pa.binary())], [*kept, "runs"])
 
