@@ -1,16 +1,21 @@
 """Operator 7: language-model scores by cross-entropy difference.
 
 Two word bigram models of one form are counted on two matched corpora: the target (documents labelled as good) and the
-background (all documents). They share one vocabulary, the words seen at least MIN_COUNT times in all documents, each
-known by a hash in VOCABULARY slots; every other word is one unknown word. Bigrams are counted in BIGRAMS slots. A model
-mixes its bigram and unigram shares, both smoothed by one:
+background (all documents). They share one vocabulary, the words seen at least MIN_COUNT times in all documents; every
+other word is one unknown word. A model mixes its bigram and unigram shares, both smoothed by one:
 
     p(w | v) = MIX * (c(v, w) + 1) / (c(v) + BIGRAMS / VOCABULARY + 1) + (1 - MIX) * (c(w) + 1) / (N + VOCABULARY)
 
+VOCABULARY and BIGRAMS only smooth; where more words than VOCABULARY are known, their number stands in N + VOCABULARY.
 Each document's first word follows a mark. Its score is the mean over its words of the background's loss less the
-target's, in nats: above 0 the document is more like the target. Counts cover every word of all documents and are added
-up in shuffles of fixed-size tables, a piece at a time; what is broadcast has the size of the tables, whatever the
-input. Background counts are scaled down to the target's number of words, so the models are smoothed alike.
+target's, in nats: above 0 the document is more like the target. Background counts are scaled down to the target's
+number of words, so the models are smoothed alike.
+
+Words and bigrams are known by full 64-bit hashes and counted one by one, whatever their number: words are added up in
+tasks, then in a shuffle, and written as a table. Each document gets the counts of its words by a join. Its bigrams go
+to buckets of hashes, where all rows of a bigram meet: they are counted there and their losses added up by document.
+Words with 1 / HOT of all words and bigrams with 1 / HOT_PAIRS of them, of which there are no more than HOT and
+HOT_PAIRS, are broadcast with their counts instead, so no key brings many rows to a task.
 
 Words are letters, digits and non-ASCII characters in lower case. Null and empty texts score 0 with no word. Rows of
 ``labels`` with a null take no part; a document is in the target if any label says so. Without a target every score is
@@ -20,6 +25,7 @@ that of an empty target model.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,138 +33,307 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, batches, mix, rounds, text_rows, texts, words
+from .common import PLAIN, mix, rounds, saved, text_rows, texts, words
 
 VOCABULARY, BIGRAMS, MIN_COUNT, MIX = 1 << 18, 1 << 21, 2, 0.6
-_RANGE = 1 << 15
-_COUNTS = pa.schema([("model", pa.int32()), ("range", pa.int32()), ("counts", pa.binary())])
-_START = np.uint64(0x5851F42D4C957F2D)
+HOT, HOT_PAIRS = 1 << 16, 1 << 14
+#: Words whose bigrams one bucket takes, about; bytes of text whose bigrams are sent together; counts a task holds.
+BUCKET, ROUND, HELD = 1 << 21, 1 << 22, 1 << 20
+_UNKNOWN, _MARK = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_COUNTS = pa.schema([("h", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
+_PARCELS = pa.schema([("bucket", pa.int32()), ("size", pa.int64()), ("data", pa.binary())])
+_SUMS = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("l0", pa.float64()), ("l1", pa.float64())])
+
+
+def _rounds(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row range, word hashes and row offsets of each round of texts."""
+    buf, off = texts(pc.utf8_lower(column))
+    for lo, hi in rounds(off, ROUND):
+        h, _, _, w = words(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], PLAIN)
+        yield lo, hi, h, w
 
 
-def _slots(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, word slots and row offsets of each round of texts."""
-    for lo, hi in rounds(off):
-        h, _, _, w = words(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], PLAIN)
-        yield lo, (h % np.uint64(VOCABULARY)).astype(np.int64), w
+def _flags(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.to_numpy(zero_copy_only=False)).astype(bool)
+
+
+def _edges(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a new value starts."""
+    new = np.zeros(len(sorted_by[0]), bool)
+    new[:1] = True
+    for x in sorted_by:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _summed(h: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(h):
+        return h, n0, n1
+    order = np.argsort(h)
+    h = h[order]
+    at = _edges(h)
+    return h[at], np.add.reduceat(n0[order], at), np.add.reduceat(n1[order], at)
+
 
+def _tallied(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Counts by hash, added up as far as a task may hold them."""
+    held, size = [], 0
 
-def _bigrams(slots: np.ndarray, w: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words and those before them (unknown ones as slot VOCABULARY, the mark as VOCABULARY + 1), and bigram slots."""
-    word = np.where(common[slots], slots, VOCABULARY)
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[w[:-1][np.diff(w) > 0]] = VOCABULARY + 1
-    pair = mix(before.astype(np.uint64) * np.uint64(1 << 20) + word.astype(np.uint64) + _START)
-    return word, before, (pair % np.uint64(BIGRAMS)).astype(np.int64)
+    def out(h: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(h), 50_000):
+            some = slice(lo, lo + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(n0[some]), pa.array(n1[some])], schema=_COUNTS)
 
+    for h, n0, n1 in found:
+        held.append(_summed(h, n0.astype(np.int64), n1.astype(np.int64)))
+        size += len(held[-1][0])
+        if size > HELD:
+            one = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, size = [one], len(one[0])
+            if size > HELD // 2:
+                yield from out(*one)
+                held, size = [], 0
+    if held:
+        yield from out(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
-def _summed(rows: DataFrame) -> DataFrame:
-    """Counts of each model and range, added up."""
-    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Iterator[tuple]:
-            now, total = None, None
+
+def _counted(rows: DataFrame, work) -> DataFrame:
+    return rows.mapInArrow(work, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _word_counts(marked: DataFrame) -> DataFrame:
+    """Counts of each word in the target (n0) and in all documents (n1); at the mark, documents that have words."""
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
             for part in parts:
-                for model, r, counts in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    counts = np.frombuffer(counts, "<u4").astype(np.int64) if len(counts) == 4 * _RANGE else np.frombuffer(counts, "<i8")
-                    if now != (model, r):
-                        if now:
-                            yield *now, total.tobytes()
-                        now, total = (model, r), counts.copy()
-                    else:
-                        total += counts
-            if now:
-                yield *now, total.tobytes()
+                good = _flags(part.column(1))
+                for lo, hi, h, w in _rounds(part.column(0)):
+                    n = np.diff(w)
+                    yield h, np.repeat(good[lo:hi], n), np.ones(len(h))
+                    yield np.array([_MARK]), np.array([(good[lo:hi] & (n > 0)).sum()]), np.array([(n > 0).sum()])
 
-        yield from batches(_COUNTS, out(), most=16)
+        yield from _tallied(found())
 
-    ddl = "model int, range int, counts binary"
-    return rows.repartition("model", "range").sortWithinPartitions("model", "range").mapInArrow(add, ddl)
+    return _counted(marked.select("text", "target"), count)
 
 
-def _pieces(model: int, counts: np.ndarray) -> Iterator[tuple]:
-    padded = np.zeros(-(-len(counts) // _RANGE) * _RANGE, np.int64)
-    padded[:len(counts)] = counts
-    for r, some in enumerate(padded.reshape(-1, _RANGE)):
-        if some.any():
-            yield model, r, some.astype("<u4" if some.max() < 1 << 32 else "<i8").tobytes()
+def _hashes(column) -> np.ndarray:
+    return np.array(column, np.int64).view(np.uint64)
 
 
-def _gathered(rows: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
-    """Tables of fixed size from their summed pieces."""
-    out = {m: np.zeros(-(-n // _RANGE) * _RANGE, np.int64) for m, n in sizes.items()}
-    for model, r, counts in _summed(rows).collect():
-        out[model][r * _RANGE:(r + 1) * _RANGE] = np.frombuffer(counts, "<i8")
-    return {m: x[:sizes[m]] for m, x in out.items()}
+def _sorted(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order and their two counts, of collected rows."""
+    h = _hashes([r.h for r in rows])
+    order = np.argsort(h)
+    return h[order], np.array([(r.n0, r.n1) for r in rows], np.int64).reshape(-1, 2)[order]
 
 
-def models(docs: DataFrame, target: DataFrame) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, float]]]:
-    """Which slots are of the vocabulary, and the unigram and bigram counts and scale of the target and the background.
+def _found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes in sorted keys, and which are there."""
+    at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+    return at, keys[at] == h if len(keys) else np.zeros(len(h), bool)
 
-    ``docs`` has text and target (boolean).
-    """
-    ddl = "model int, range int, counts binary"
 
-    def unigrams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(VOCABULARY, np.int64)
+def _rare(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """The words of each row that are not broadcast: row, h."""
+    out = pa.schema([("row", pa.int64()), ("h", pa.int64())])
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for _, slots, _ in _slots(*texts(pc.utf8_lower(part.column(0)))):
-                total += np.bincount(slots, minlength=VOCABULARY)
-        yield from batches(_COUNTS, _pieces(0, total), most=16)
+            keys = part.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi, h, w in _rounds(part.column(1)):
+                u, back = np.unique(h, return_inverse=True)
+                cold = np.flatnonzero(~_found(hot, u)[1][back])
+                row = np.repeat(np.arange(lo, hi), np.diff(w))[cold]
+                order = np.lexsort((h[cold], row))
+                row, some = row[order], h[cold][order]
+                at = _edges(row, some)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row[at]], pa.int64()), pa.array(some[at].view(np.int64))], schema=out)
+
+    return docs.select("_h", "text").mapInArrow(work, "row long, h long")
+
+
+class Words:
+    """Counts of words: those of broadcast words, of the unknown word and of the mark; each document brings its others."""
+
+    def __init__(self, hot: tuple[np.ndarray, np.ndarray], unknown: tuple[int, int], mark: tuple[int, int], n: tuple[int, int], known: int):
+        self.hot, self.unknown, self.mark, self.n = hot, np.array(unknown, np.int64), np.array(mark, np.int64), n
+        self.min_count, self.ratio, self.size, self.share = MIN_COUNT, BIGRAMS / VOCABULARY, max(VOCABULARY, known), MIX
+        self.scale = (1.0, n[0] / n[1] if n[0] and n[1] else 1.0)
+
+    def bigrams(self, h: np.ndarray, w: np.ndarray, rare: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of a round's bigrams and the counts of their words: (before 0, before 1, word 0, word 1)."""
+        u, back = np.unique(h, return_inverse=True)
+        count, have = np.zeros((len(u), 2), np.int64), np.zeros(len(u), bool)
+        for keys, counts in (self.hot, rare):
+            at, there = _found(keys, u)
+            count[there] = counts[at[there]]
+            have |= there
+        if not have.all():
+            raise ValueError("a word without a count")
+        seen = count[:, 1] >= self.min_count
+        u, count = np.where(seen, u, _UNKNOWN), np.where(seen[:, None], count, self.unknown)
+        word, last = u[back], count[back]
+        before, first = np.empty_like(word), np.empty_like(last)
+        before[1:], first[1:] = word[:-1], last[:-1]
+        begin = w[:-1][np.diff(w) > 0]
+        before[begin], first[begin] = _MARK, self.mark
+        return mix((before + _ODD) * _ODD + mix(word)), np.concatenate([first, last], 1)
+
+    def losses(self, pairs: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """Losses of bigrams in both models from their own counts (n, 2) and those of their words."""
+        out = []
+        for m, s in enumerate(self.scale):
+            bigram = (s * pairs[:, m] + 1) / (s * counts[:, m] + self.ratio + 1)
+            unigram = (s * counts[:, 2 + m] + 1) / (s * self.n[m] + self.size)
+            out.append(-np.log(self.share * np.minimum(bigram, 1.0) + (1 - self.share) * unigram))
+        return out
+
+
+def _told(part: pa.RecordBatch) -> Iterator[tuple]:
+    """Row keys, target flags, hashes, offsets and the counts of rare words of each round of (_h, target, text, rare)."""
+    key, good, rare = part.column(0).to_numpy(zero_copy_only=False), _flags(part.column(1)), part.column(3)
+    for lo, hi, h, w in _rounds(part.column(2)):
+        some = rare.slice(lo, hi - lo).flatten()
+        k, n0, n1 = (np.asarray(x.to_numpy(zero_copy_only=False)).astype(np.int64) for x in some.flatten())
+        k, at = np.unique(k.view(np.uint64), return_index=True)
+        yield key[lo:hi], good[lo:hi], h, w, (k, np.stack([n0[at], n1[at]], 1))
+
+
+def _common_pairs(told: DataFrame, model: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Bigrams with 1 / HOT_PAIRS of all words and their counts. Both words of such a one are that common."""
+    most, total = HOT_PAIRS, model.n[1]
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            for part in parts:
+                for _, good, h, w, rare in _told(part):
+                    pair, counts = model.bigrams(h, w, rare)
+                    often = np.minimum(counts[:, 1], counts[:, 3]) >= total / most
+                    yield pair[often], np.repeat(good, np.diff(w))[often], np.ones(int(often.sum()))
 
-    common = _gathered(docs.select("text").mapInArrow(unigrams, ddl), {0: VOCABULARY})[0] >= MIN_COUNT
+        yield from _tallied(found())
 
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = np.zeros((2, VOCABULARY + 2), np.int64), np.zeros((2, BIGRAMS), np.int64)
+    return _sorted(_counted(told, work).where(F.col("n1") >= total / most).collect())
+
+
+def _parcel(bucket: int, head: tuple[int, int, int], *arrays: np.ndarray) -> tuple:
+    data = b"".join([np.array(head, "<i8").tobytes(), *(np.ascontiguousarray(x).tobytes() for x in arrays)])
+    return bucket, len(data), pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _sent(told: DataFrame, model: Words, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """Parcels of bigrams for each bucket, and of the losses that are known already."""
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for key, good, h, w, rare in _told(part):
+                pair, counts = model.bigrams(h, w, rare)
+                n = np.diff(w)
+                doc = np.repeat(np.arange(len(n)), n)
+                at, often = _found(hot[0], pair)
+                done = model.losses(hot[1][at[often]], counts[often])
+                sums = [np.bincount(doc[often], x, len(n)) for x in done]
+                rows = [_parcel(int(np.uint64(key[0].astype(np.uint64)) % np.uint64(buckets)), (-1, 0, len(n)), key.astype("<i8"), n.astype("<i8"), *sums)]
+                left = np.flatnonzero(~often)
+                left = left[np.argsort(pair[left], kind="stable")]
+                p, d = pair[left], doc[left]
+                entry = _edges(p, d)
+                times = np.diff(np.append(entry, len(p)))
+                ep, ed = p[entry], d[entry]
+                first = _edges(ep)
+                up, uc = ep[first], counts[left[entry[first]]]
+                bucket = ((up >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                begin = _edges(bucket)
+                stop = np.append(first, len(ep))
+                for a, b in pairwise([*begin.tolist(), len(up)]):
+                    x, y = stop[a], stop[b]
+                    docs, place = np.unique(ed[x:y], return_inverse=True)
+                    rows.append(_parcel(int(bucket[a]), (b - a, y - x, len(docs)), up[a:b], uc[a:b].T.astype("<i8"),
+                                        np.diff(stop[a:b + 1]).astype("<i4"), place.astype("<i4"), times[x:y].astype("<i4"),
+                                        key[docs].astype("<i8"), good[docs].astype("i1")))
+                for lo in range(0, len(rows), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in
+                                                      zip(zip(*rows[lo:lo + 256], strict=True), _PARCELS, strict=True)], schema=_PARCELS)
+
+    return told.mapInArrow(work, "bucket int, size long, data binary")
+
+
+def _opened(size: int, data: bytes) -> tuple[tuple[int, int, int], list[np.ndarray]]:
+    raw = pa.decompress(data, size, codec="zstd", asbytes=True)
+    pairs, entries, docs = head = tuple(np.frombuffer(raw, "<i8", 3).tolist())
+    kinds = ([("<i8", docs), ("<i8", docs), ("<f8", docs), ("<f8", docs)] if pairs < 0 else
+             [("<u8", pairs), ("<i8", 4 * pairs), ("<i4", pairs), ("<i4", entries), ("<i4", entries), ("<i8", docs), ("i1", docs)])
+    out, at = [], 24
+    for kind, n in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return head, out
+
+
+def _lost(parcels: DataFrame, model: Words) -> DataFrame:
+    """Words (n) and losses of rows, in parts: every bigram counted over its whole bucket."""
+    def batch(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _SUMS, strict=True)], schema=_SUMS)
+
+    def done(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        every, first, back = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
+        counts = np.concatenate([x[1].reshape(4, -1).T for x in held])[first]
+        total, at = np.zeros((len(every), 2)), 0
+        for pairs, _, reps, docs, times, _, good in held:
+            mine = np.repeat(back[at:at + len(pairs)], reps)
+            total[:, 0] += np.bincount(mine, times * good[docs], len(every))
+            total[:, 1] += np.bincount(mine, times, len(every))
+            at += len(pairs)
+        lost, at = model.losses(total, counts), 0
+        for pairs, _, reps, docs, times, keys, _ in held:
+            mine = np.repeat(back[at:at + len(pairs)], reps)
+            yield batch(keys, np.zeros(len(keys), np.int64), *(np.bincount(docs, x[mine] * times, len(keys)) for x in lost))
+            at += len(pairs)
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for part in parts:
-            good = np.asarray(part.column(1).to_numpy(zero_copy_only=False)).astype(bool)
-            for lo, slots, w in _slots(*texts(pc.utf8_lower(part.column(0)))):
-                word, before, pair = _bigrams(slots, w, common)
-                mine = np.repeat(good[lo:lo + len(w) - 1], np.diff(w))
-                for model, some in ((0, mine), (1, slice(None))):
-                    one[model] += np.bincount(word[some], minlength=VOCABULARY + 2)
-                    one[model, VOCABULARY + 1] += int((before[some] == VOCABULARY + 1).sum())
-                    two[model] += np.bincount(pair[some], minlength=BIGRAMS)
-        rows = (row for model in (0, 1) for kind, x in ((0, one), (2, two)) for row in _pieces(kind + model, x[model]))
-        yield from batches(_COUNTS, rows, most=16)
-
-    sizes = {0: VOCABULARY + 2, 1: VOCABULARY + 2, 2: BIGRAMS, 3: BIGRAMS}
-    got = _gathered(target.select("text", "target").mapInArrow(count, ddl), sizes)
-    n = [max(int(got[m][:VOCABULARY + 1].sum()), 0) for m in (0, 1)]
-    scale = [1.0, n[0] / n[1] if n[0] and n[1] else 1.0]
-    return common, [(got[m], got[2 + m], scale[m]) for m in (0, 1)]
-
-
-def losses(model: tuple[np.ndarray, np.ndarray, float], word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    one, two, scale = model
-    total = scale * one[:VOCABULARY + 1].sum()
-    bigram = (scale * two[pair] + 1) / (scale * one[before] + BIGRAMS / VOCABULARY + 1)
-    unigram = (scale * one[word] + 1) / (total + VOCABULARY)
-    return -np.log(MIX * np.minimum(bigram, 1.0) + (1 - MIX) * unigram)
+            for bucket, size, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if bucket != now:
+                    yield from done(held)
+                    now, held = bucket, []
+                head, arrays = _opened(size, data)
+                if head[0] < 0:
+                    yield batch(*arrays)
+                else:
+                    held.append(arrays)
+        yield from done(held)
+
+    return parcels.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "h long, n long, l0 double, l1 double")
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background (means in nats) and score of every document."""
     good = (labels.where("doc_id is not null and quality > 0").select(F.col("doc_id").cast("long").alias("g_doc")).distinct())
-    rows = text_rows(docs).select("doc_id", "text")
+    rows = text_rows(docs).select("doc_id", "text", "_h")
     # Labels cover a share of the documents, so both are shuffled at any size: one plan, whose cost follows the input.
-    marked = rows.join(good.hint("merge"), F.col("doc_id") == F.col("g_doc"), "left").select("text", F.col("g_doc").isNotNull().alias("target"))
-    common, (target, background) = models(rows, marked)
-    out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64())])
-
-    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            found = []
-            for _, slots, w in _slots(*texts(pc.utf8_lower(part.column(1)))):
-                grams = _bigrams(slots, w, common)
-                n = np.diff(w)
-                sums = [np.zeros(len(n)), np.zeros(len(n))]
-                if len(slots):
-                    have = n > 0
-                    for total, model in zip(sums, (target, background), strict=True):
-                        total[have] = np.add.reduceat(losses(model, *grams), w[:-1][have]) / n[have]
-                found.append((n, *sums))
-            n, a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], schema=out)
-
-    return rows.mapInArrow(work, "doc_id long, n_words long, loss_target double, loss_background double").withColumn(
-        "score", F.col("loss_background") - F.col("loss_target"))
+    marked = saved(rows.join(good.hint("merge"), F.col("doc_id") == F.col("g_doc"), "left").select(
+        "doc_id", "_h", "text", F.col("g_doc").isNotNull().alias("target")), "marked")
+
+    every = saved(_word_counts(marked), "words")
+    real, known = every.where(F.col("h") != int(_MARK.view(np.int64))), F.col("n1") >= MIN_COUNT
+    sums = real.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n0", "n1")), *(F.coalesce(F.sum(F.when(~known, F.col(x))), F.lit(0)) for x in ("n0", "n1")),
+                    F.count(F.when(known, 1))).first()
+    mark = every.where(F.col("h") == int(_MARK.view(np.int64))).first() or (0, 0, 0)
+    n, often = tuple(sums[:2]), F.col("n1") * HOT >= int(sums[1])
+    model = Words(_sorted(real.where(often).collect()), tuple(sums[2:4]), tuple(mark[1:]), n, sums[4] + 1)
+
+    rare = _rare(marked, model.hot[0]).join(real.where(~often).hint("merge"), "h").groupBy("row").agg(F.collect_set(F.struct("h", "n0", "n1")).alias("rare"))
+    told = saved(marked.join(rare.hint("merge"), F.col("_h") == F.col("row"), "left").select(
+        "doc_id", "_h", "target", "text", F.coalesce("rare", F.array().cast("array<struct<h:bigint,n0:bigint,n1:bigint>>")).alias("rare")), "told")
+    part = told.select("_h", "target", "text", "rare")
+    parcels = _sent(part, model, _common_pairs(part, model), max(1, -(-n[1] // BUCKET)))
+    # Rows that agree in id and text share a key: their words and losses are added up alike, so the means are theirs.
+    lost = _lost(parcels, model).groupBy("h").agg(F.max("n").alias("n_words"), F.sum("n").alias("n"), F.sum("l0").alias("l0"), F.sum("l1").alias("l1"))
+    mean = lambda x: F.when(F.col("n") > 0, F.col(x) / F.col("n")).otherwise(0.0)
+    return told.select("doc_id", "_h").join(lost.hint("merge"), F.col("_h") == F.col("h"), "left").select(
+        "doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), mean("l0").alias("loss_target"), mean("l1").alias("loss_background")
+    ).withColumn("score", F.col("loss_background") - F.col("loss_target"))

@@ -176,3 +176,34 @@ def test_cross_entropy_of_odd_tables(spark, documents):
     got = crossentropy.score(documents(ODD), none).collect()
     assert len(got) == len(ODD) and all(np.isfinite(r.score) for r in got)
     assert crossentropy.score(documents([]), none).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 4])
+def test_cross_entropy_counts_every_word_and_bigram(spark, documents, monkeypatch, hot):
+    from collections import Counter
+    monkeypatch.setattr(crossentropy, "VOCABULARY", 16)     # far fewer than there are words and bigrams
+    monkeypatch.setattr(crossentropy, "BIGRAMS", 64)
+    for name in ("HOT", "HOT_PAIRS"):
+        monkeypatch.setattr(crossentropy, name, hot, raising=False)
+    monkeypatch.setattr(crossentropy, "BUCKET", 500, raising=False)
+    r = random.Random(9)
+    rows = [(k, " ".join("the" if r.random() < 0.4 else f"w{int(r.paretovariate(0.5)) % 3000}" for _ in range(r.randint(1, 60)))) for k in range(200)]
+    rows += [(300, "alone"), (301, None), (7, rows[7][1]), (None, "the the")]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    count = Counter(w for _, t in rows for w in brute.plain_words(t))
+    seen = {w for w, n in count.items() if n >= crossentropy.MIN_COUNT}
+    one, two, n, lines = [Counter(), Counter()], [Counter(), Counter()], [0, 0], []
+    for i, t in rows:
+        w = ["<s>", *(w if w in seen else "<u>" for w in brute.plain_words(t))]
+        lines.append((i, w))
+        for m in ([0, 1] if i is not None and i < 200 and i % 3 == 0 else [1]):
+            one[m].update(w if len(w) > 1 else [])
+            two[m].update(zip(w, w[1:]))
+            n[m] += len(w) - 1
+    scale, size, want = [1.0, n[0] / n[1]], max(16, len(seen) + 1), []
+    for i, w in lines:
+        loss = [[-np.log(0.6 * min(1, (s * two[m][a, b] + 1) / (s * one[m][a] + 64 / 16 + 1)) + 0.4 * (s * one[m][b] + 1) / (s * n[m] + size))
+                 for a, b in zip(w, w[1:])] for m, s in enumerate(scale)]
+        want.append((-1 if i is None else i, len(w) - 1, *(np.mean(x) if x else 0 for x in loss)))
+    got = [(-1 if x.doc_id is None else x.doc_id, x.n_words, x.loss_target, x.loss_background) for x in crossentropy.score(documents(rows), labels).collect()]
+    assert np.allclose(sorted(got), sorted(want), atol=1e-9)
