@@ -91,7 +91,45 @@ RULES = (
     ("CC0-1.0", ("cc0-line",)),
 )
 
-_END, _WRAP, _OTHER = r"([.!?;:])[ \t]+", r"[ \t]*\r?\n[ \t]*", r"[^a-z0-9.+]+"
+_GNU = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation"
+
+# Official wordings as the cutter leaves them, one identifier for each of their sentences.
+CUT_SENTENCES = {
+    "this program is free software": "gpl-free",
+    "this library is free software": "lgpl-free",
+    _GNU.format(""): "gpl-terms",
+    _GNU.format("lesser "): "lgpl-terms",
+    "either version 3 of the license or at your option any later version": "v3-later",
+    "either version 2 of the license or at your option any later version": "v2-later",
+    "either version 2.1 of the license or at your option any later version": "v2.1-later",
+    _GNU.format("") + " either version 3 of the license or at your option any later version": "gpl3-grant",
+    _GNU.format("") + " either version 2 of the license or at your option any later version": "gpl2-grant",
+    _GNU.format("lesser ") + " either version 2.1 of the license or at your option any later version": "lgpl21-grant",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-warranty",
+    "this library is distributed in the hope that it will be useful but without any warranty": "gpl-warranty",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-implied",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0": "mpl2-copy",
+    "spdx license identifier gpl 3.0 or later": "gpl3-later-line",
+}
+
+# The sequences of these, to go before all other rules.
+CUT_RULES = tuple((name, (*grant, "gpl-warranty", "gpl-implied", details)) for name, grant, details in (
+    ("GPL-3.0-or-later", ("gpl3-grant",), "gpl-details"),
+    ("GPL-3.0-or-later", ("gpl-terms", "v3-later"), "gpl-details"),
+    ("GPL-2.0-or-later", ("gpl2-grant",), "gpl-details"),
+    ("GPL-2.0-or-later", ("gpl-terms", "v2-later"), "gpl-details"),
+    ("LGPL-2.1-or-later", ("lgpl21-grant",), "lgpl-details"),
+    ("LGPL-2.1-or-later", ("lgpl-terms", "v2.1-later"), "lgpl-details"),
+)) + (
+    ("GPL-3.0-or-later", ("gpl-terms", "v3-later")),
+    ("GPL-2.0-or-later", ("gpl-terms", "v2-later")),
+    ("LGPL-2.1-or-later", ("lgpl-terms", "v2.1-later")),
+    ("GPL-3.0-or-later", ("gpl3-later-line",)),
+)
+
+#: A sentence ends at a mark and a blank, but not within 'v. 2.0' or after the key of an SPDX line.
+_END = r"(?i)((?<![ \t]v)\.|\.(?=[ \t]+[^0-9 \t])|(?<!spdx-license-identifier):|[!?;])[ \t]+"
+_WRAP, _OTHER = r"[ \t]*\r?\n[ \t]*", r"[^a-z0-9.+]+"
 
 
 def _identified(text: Column, known: Column) -> Column:
@@ -111,7 +149,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: tuple
 
     Columns of those names are replaced. ``licences`` is in the order of the rules, each once.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
+    sentences, rules = sentences or SENTENCES | CUT_SENTENCES, rules or CUT_RULES + RULES
     known = F.create_map(*(F.lit(x) for pair in sentences.items() for x in pair))
     names = [c for c in docs.columns if c not in ("sentence_ids", "licences")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -139,7 +177,7 @@ def digests(rows: DataFrame) -> DataFrame:
 
 
 def oracle(table: str = "documents") -> str:
-    """The same scan as DuckDB SQL."""
+    """The scan as DuckDB SQL, without what the cutter's own sentences and rules add."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in SENTENCES.items())
     plain = (r"trim(regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g')), '^[0-9]+\. |[. ]+$', '', 'g'))")

@@ -53,6 +53,57 @@ def test_a_longer_rule_goes_first(documents):
     assert {r.doc_id: r.licences for r in got.collect()} == {1: ["long"], 2: ["long"], 3: ["long", "short"]}
 
 
+GPL = ("This {0} is free software{1} you can redistribute it and/or modify\nit under the terms of the GNU {2}General Public License as published by\n"
+       "the Free Software Foundation{3} either version {4} of the License, or\n(at your option) any later version.\n\nThis {0} is distributed in "
+       "the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A "
+       "PARTICULAR PURPOSE.  See the GNU\n{2}General Public License for more details.\n")
+BSD = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are "
+       "met:\n\n1. Redistributions of source code must retain the above copyright notice,\n   this list of conditions and the following "
+       "disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright\n   notice, this list of conditions and the following "
+       "disclaimer in the\n   documentation and/or other materials provided with the distribution.\n\n{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT "
+       "HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF "
+       "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.\n")
+ENDORSE = ("3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n"
+           "   this software without specific prior written permission.\n\n")
+APACHE = ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou "
+          "may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in "
+          "writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either "
+          "express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.\n")
+MPL = ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\n"
+       "file, You can obtain one at https://mozilla.org/MPL/2.0/.\n")
+ISC = ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the "
+       "above\ncopyright notice and this permission notice appear in all copies.\n")
+OFFICIAL = [
+    ("MIT", MIT), ("MIT", MIT[:MIT.index("THE SOFTWARE IS")]), ("MIT", "Released under the MIT License."), ("MIT", "/* SPDX-License-Identifier: MIT */\ncode"),
+    ("BSD-3-Clause", BSD.format(ENDORSE)), ("BSD-2-Clause", BSD.format("")), ("Apache-2.0", APACHE[:APACHE.index("You may ob")]),
+    ("Apache-2.0", APACHE[:APACHE.index("you may not")]), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0\ncode"),
+    ("GPL-3.0-or-later", GPL.format("program", ":", "", ",", 3)), ("GPL-3.0-or-later", GPL.format("program", ";", "", ";", 3)),
+    ("GPL-2.0-or-later", GPL.format("program", ";", "", ";", 2)), ("GPL-2.0-or-later", GPL.format("program", ";", "", ",", 2)),
+    ("LGPL-2.1-or-later", GPL.format("library", ";", "Lesser ", ";", 2.1)), ("LGPL-2.1-or-later", GPL.format("library", ";", "Lesser ", ",", 2.1)),
+    *((n, GPL.format("program", *x).split("\n\n")[0]) for n, x in (("GPL-3.0-or-later", (":", "", ",", 3)), ("GPL-2.0-or-later", (";", "", ";", 2)),
+                                                                  ("LGPL-2.1-or-later", (";", "Lesser ", ";", 2.1)))),
+    ("GPL-3.0-or-later", "# SPDX-License-Identifier: GPL-3.0-or-later\ncode"), ("MPL-2.0", MPL), ("MPL-2.0", MPL[:MPL.index(" If a")]), ("ISC", ISC),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."), ("BSD", "Licensed under the BSD license."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."), ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
+]
+
+
+def test_every_licence_by_its_official_text(documents):
+    got = {r.doc_id: r for r in licences.scan(documents([(k, t) for k, (_, t) in enumerate(OFFICIAL)])).collect()}
+    assert [got[k].licences for k in range(len(OFFICIAL))] == [[n] for n, _ in OFFICIAL]
+    assert {n for n, _ in OFFICIAL} == {n for n, _ in licences.RULES}
+    for name, ids in licences.CUT_RULES:
+        assert any(n == name and "|" + "|".join(ids) + "|" in got[k].sentence_ids for k, (n, _) in enumerate(OFFICIAL)), (name, ids)
+
+
+def test_abbreviations_end_sentences_elsewhere(documents):
+    rows = [(1, "See part v. Released under the MIT License. Done"), (2, "Licence: Released under the MIT License. Done")]
+    assert [r.licences for r in licences.scan(documents(rows)).collect()] == [["MIT"]] * 2
+
+
 def secret_rows():
     r = random.Random(6)
     words = ["password", "Secret", "token", "API_KEY", "apikey", "passwd", "AKIA", "AKIAABCDEFGH1234567", "=", ": ", "= '", "\"", " ", "\n",
