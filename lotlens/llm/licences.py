@@ -1,7 +1,7 @@
 """Operator 3: licence scans by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences twice: with its line ends as blanks (licence texts are wrapped) and line by line (one-line
-notices stand without a full stop). Each normalised sentence (lower case, runs of other characters than letters, digits,
+A text is cut into sentences twice: with its line ends as blanks (licence texts are wrapped), but for those of blank lines,
+and line by line (one-line notices stand without a full stop). Each normalised sentence (lower case, runs of other characters than letters, digits,
 point and plus as one blank) that is a known licence sentence becomes its identifier. Ordered rules then take sequences
 of neighbouring identifiers out of the list: the first rule that fits wins its sentences, so longer rules stand first.
 
@@ -129,7 +129,8 @@ CUT_RULES = tuple((name, (*grant, "gpl-warranty", "gpl-implied", details)) for n
 
 #: A sentence ends at a mark and a blank, but not within 'v. 2.0' or after the key of an SPDX line.
 _END = r"(?i)((?<![ \t]v)\.|\.(?=[ \t]+[^0-9 \t])|(?<!spdx-license-identifier):|[!?;])[ \t]+"
-_WRAP, _OTHER = r"[ \t]*\r?\n[ \t]*", r"[^a-z0-9.+]+"
+#: A single line end is a blank; one before a line without words (comment marks, rules) ends the paragraph and its sentence.
+_WRAP, _OTHER = r"\r?\n(?![ \t#*/;%-]*\r?\n)", r"[^a-z0-9.+]+"
 
 
 def _identified(text: Column, known: Column) -> Column:
@@ -177,7 +178,7 @@ def digests(rows: DataFrame) -> DataFrame:
 
 
 def oracle(table: str = "documents") -> str:
-    """The scan as DuckDB SQL, without what the cutter's own sentences and rules add."""
+    """The scan as DuckDB SQL, without what the cutter's own sentences and rules and ends of paragraphs add."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in SENTENCES.items())
     plain = (r"trim(regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g')), '^[0-9]+\. |[. ]+$', '', 'g'))")

@@ -104,6 +104,18 @@ def test_abbreviations_end_sentences_elsewhere(documents):
     assert [r.licences for r in licences.scan(documents(rows)).collect()] == [["MIT"]] * 2
 
 
+def test_whole_licence_files(documents):
+    line = "Copyright (c) 2020 Some Body"
+    rows = [(1, f"MIT License\n\n{line}\n\n{MIT}"), (2, f"MIT License\r\n \r\n{line}\r\n\r\n" + MIT.replace("\n", "\r\n")), (3, f"ISC License\n\n{line}\n\n{ISC}"),
+            (4, f"{line}\n\n" + BSD.format(ENDORSE)), (5, f"{line}\n\n" + BSD.format("")),
+            (6, "".join(f"# {x}".rstrip() + "\n" for x in f"The MIT License\n\n{line}\n\n{MIT}".split("\n"))), (7, f"{line}\n\n{APACHE}"),
+            (8, "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in f"{line}\n\n{APACHE}".split("\n")) + " */\ncode")]
+    got = {r.doc_id: r for r in licences.scan(documents(rows)).collect()}
+    assert [got[k].licences for k in range(1, 9)] == [["MIT"], ["MIT"], ["ISC"], ["BSD-3-Clause"], ["BSD-2-Clause"], ["MIT"], ["Apache-2.0"], ["Apache-2.0"]]
+    for k in (7, 8):
+        assert "|apache-header|apache-compliance|apache-warranty|apache-language|" in got[k].sentence_ids
+
+
 def secret_rows():
     r = random.Random(6)
     words = ["password", "Secret", "token", "API_KEY", "apikey", "passwd", "AKIA", "AKIAABCDEFGH1234567", "=", ": ", "= '", "\"", " ", "\n",
