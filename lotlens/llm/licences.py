@@ -5,8 +5,8 @@ and line by line (one-line notices stand without a full stop). Each normalised s
 point and plus as one blank) that is a known licence sentence becomes its identifier. Ordered rules then take sequences
 of neighbouring identifiers out of the list: the first rule that fits wins its sentences, so longer rules stand first.
 
-Only texts with a word that every known sentence has one of are cut at all. Null and empty texts have no licence. Each
-row is scanned for itself, so ties, copies and clashing column names don't matter, and nothing is shuffled.
+Every text is cut, as no word stands in every known sentence. Null and empty texts have no licence. Each row
+is scanned for itself, so ties, copies and clashing column names don't matter, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Only the SQL twin looks at texts with such a word alone.
 HINT = r"(?i)licen[cs]e|copyright|permission|redistribution|warrant|liable|public domain|spdx|lesser general"
 
 # Sentences of public licences in normalised form, with the identifier of each.
@@ -156,7 +157,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: tuple
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     wrapped = _identified(F.regexp_replace(text, _WRAP, " "), known)
     lines = _identified(text, known)
-    both = F.when(text.rlike(HINT), F.concat(_joined(wrapped), F.lit("#"), _joined(lines))).otherwise("|#|")
+    both = F.concat(_joined(wrapped), F.lit("#"), _joined(lines))
     table = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("|" + "|".join(ids) + "|").alias("ids")) for name, ids in rules))
     begin = F.struct(F.col("sentence_ids").alias("left"), F.array().cast("array<string>").alias("found"))
 
@@ -178,7 +179,7 @@ def digests(rows: DataFrame) -> DataFrame:
 
 
 def oracle(table: str = "documents") -> str:
-    """The scan as DuckDB SQL, without what the cutter's own sentences and rules and ends of paragraphs add."""
+    """The scan as DuckDB SQL, without what the cutter's own sentences and rules, ends of paragraphs and texts without HINT add."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in SENTENCES.items())
     plain = (r"trim(regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g')), '^[0-9]+\. |[. ]+$', '', 'g'))")

@@ -116,6 +116,16 @@ def test_whole_licence_files(documents):
         assert "|apache-header|apache-compliance|apache-warranty|apache-language|" in got[k].sentence_ids
 
 
+def test_every_known_sentence_is_found_alone(documents):
+    known = licences.SENTENCES | licences.CUT_SENTENCES
+    keys = [s for s in known if not s.startswith("spdx") and " v. " not in s]
+    got = {r.doc_id: r.sentence_ids for r in licences.scan(documents([*enumerate(k.capitalize() + "." for k in keys)])).collect()}
+    assert got == {k: f"|{known[s]}|#|{known[s]}|" for k, s in enumerate(keys)}
+    rows = [(1, "All rights reserved."), (2, "You said: All rights\nreserved. So")]
+    assert [(r.doc_id, r.n_sentences, r.sentence_ids) for r in licences.digests(licences.scan(documents(rows))).orderBy("doc_id").collect()] == [
+        (1, 1, "|reserved|#|reserved|"), (2, 0, "|reserved|#|")]
+
+
 def secret_rows():
     r = random.Random(6)
     words = ["password", "Secret", "token", "API_KEY", "apikey", "passwd", "AKIA", "AKIAABCDEFGH1234567", "=", ": ", "= '", "\"", " ", "\n",
