@@ -267,8 +267,10 @@ def _compared(members: DataFrame, threshold: float, tolerance: float) -> DataFra
         yield from batches(_OUT, out())
 
     def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(band: int | None, held: list[Block]) -> Iterator[tuple]:
-            yield from rows_of(held[0], held[-1], len(held) == 1, band)
+        def done(now: tuple, band: int | None, held: list[Block]) -> Iterator[tuple]:
+            same = now[1] == now[2]
+            if same or len(held) > 1:  # the other block of a pair may be empty
+                yield from rows_of(held[0], held[-1], same, band)
 
         def out() -> Iterator[tuple]:
             now, held, band = None, [], None
@@ -277,11 +279,11 @@ def _compared(members: DataFrame, threshold: float, tolerance: float) -> DataFra
                     row = {n: c[k].as_py() for n, c in zip(part.schema.names, part.columns, strict=True)}
                     if now != (row["grp"], row["i"], row["j"]):
                         if now:
-                            yield from done(band, held)
+                            yield from done(now, band, held)
                         now, held, band = (row["grp"], row["i"], row["j"]), [], row["band"]
                     held.append(Block(row))
             if now:
-                yield from done(band, held)
+                yield from done(now, band, held)
 
         yield from batches(_OUT, out())
 

@@ -121,6 +121,12 @@ def test_jaccard_groups(documents, copied, rows, monkeypatch):
     assert len({c for c, _, _ in got.values()}) < len(got) - 60
 
 
+def test_jaccard_groups_with_empty_blocks(documents, copied, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_RUNS", 40)     # more blocks than rows, so some are empty
+    got = {r.doc_id: (r.class_id, r.copy_id, r.n_links) for r in ngram_join.digests(ngram_join.groups(documents(copied))).collect()}
+    assert got == brute.jaccard_groups(copied)
+
+
 def test_jaccard_of_repeated_rows(documents):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words of that id"), (None, "a b c d e f"), (None, None), (2, "")]
     got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in ngram_join.groups(documents(rows)).collect())
