@@ -17,6 +17,54 @@ ranked as (select query_id, vec_id, score,
                   row_number() over (partition by query_id order by score desc, vec_id) as n from scored)
 select query_id, cast(n as integer) as rank, vec_id, score from ranked where n <= 20"""
 
+HARD_NEGATIVES = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+             [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as e
+           from embeddings
+           where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+             and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+anchors as (select row_number() over () as a, * from (select distinct * from v where vec_id % 50 = 0)),
+scored as (select a, q.vec_id as anchor_id, v.vec_id, q.label = v.label as same,
+                  cast(list_sum([p[1] * p[2] for p in list_zip(q.e, v.e)]) as bigint) as score
+           from anchors as q join v on len(q.e) = len(v.e) and q.vec_id <> v.vec_id),
+positives as (select a, anchor_id, vec_id as positive_id, score as positive_score,
+                row_number() over (partition by a order by score desc, vec_id) as n from scored where same
+              qualify n <= 5),
+negatives as (select p.*, s.vec_id as negative_id, s.score as negative_score,
+                row_number() over (partition by p.a, p.n order by s.score desc, s.vec_id) as m
+              from positives p join scored s on s.a = p.a and not s.same
+              where 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score)
+select anchor_id, positive_id, cast(m as integer) as rank, negative_id, positive_score, negative_score from negatives where m <= 3"""
+
+
+def spelling_variants() -> str:
+    """Checksums bit by bit as their definition has it; near words by what is left when one letter is taken away."""
+    table = "cast(range(0, 256) as ubigint[])"
+    for _ in range(8):
+        table = f"list_transform({table}, lambda c: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1))"
+    return rf"""
+with recursive crc as (select {table} as t),
+runs as (select coalesce(cast(doc_id as varchar), '') as id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents),
+lowered as (select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from runs group by all),
+bytes as (select id, run, n, hex(encode(id || ':' || run)) as x from lowered where length(run) >= 6),
+summed as (select id, run, n, xor(4294967295::ubigint, list_reduce(
+    list_prepend(4294967295::ubigint, list_transform(range(0, length(x) // 2), lambda i: cast('0x' || substr(x, cast(2 * i + 1 as int), 2) as ubigint))),
+    lambda c, b: xor(t[cast(xor(c, b) & 255 as int) + 1], c >> 8))) as h from bytes, crc),
+counted as (select case when h % 199 = 0 then substr(run, 1, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end as word, n from summed),
+words as (select word, cast(sum(n) as bigint) as n, length(word) as l from counted where length(word) >= 6 group by word having sum(n) >= 5),
+places as (select word, n, l, unnest(range(1, l + 1)) as i from words),
+cut as (select word, n, i, l, substr(word, 1, cast(i - 1 as int)) || substr(word, cast(i + 1 as int)) as rest from places),
+near as (select a.word, b.word as other, b.n as m from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+   union select c.word, w.word, w.n from cut c join words w on c.rest = w.word
+   union select w.word, c.word, c.n from cut c join words w on c.rest = w.word),
+best as (select word, count(*) as n_near, max(m) as m from near group by word),
+first as (select b.word, b.n_near, b.m, min(x.other) as other from best b join near x on x.word = b.word and x.m = b.m group by all),
+forms as (select w.word, w.n, coalesce(f.n_near, 0) as n_near, case when f.m >= 5 * w.n then f.other end as form,
+   case when f.m >= 5 * w.n then f.m end as form_n from words w left join first f using (word)),
+walk(word, root) as (select word, word from forms union all select walk.word, forms.form from walk join forms on forms.word = walk.root where forms.form is not null),
+roots as (select walk.word, walk.root from walk join forms on forms.word = walk.root where forms.form is null)
+select word, form, root, n, n_near, form_n from forms join roots using (word)"""
+
 
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import (crossentropy, decontamination, idfile, licences, ngram_join, oracles, packing, secrets, substrings,
-               topk, toxicity)
+from . import (crossentropy, decontamination, idfile, licences, ngram_join, oracles, packing, rtree, secrets, spelling,
+               substrings, topk, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +73,15 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_ngram_jaccard", oracles.jaccard_groups(ngram_join.WIDTH, ngram_join.THRESHOLD))
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.digests(ngram_join.groups(table(spark, folder, "documents")))
+
+
+@query("op11_hard_negatives", oracles.HARD_NEGATIVES)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    mined = rtree.hard_negatives(table(spark, folder, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@query("op12_spelling_variants", oracles.spelling_variants())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
