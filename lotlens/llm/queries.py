@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (crossentropy, decontamination, idfile, licences, ngram_join, oracles, packing, rtree, secrets, spelling,
-               substrings, topk, toxicity)
+from . import (crossentropy, decontamination, idfile, licences, linecrf, ngram_join, oracles, packing, rtree, secrets,
+               spelling, substrings, topk, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_spelling_variants", oracles.spelling_variants())
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op13_line_quality")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return linecrf.digests(table(spark, folder, "documents"), table(spark, folder, "labels"))
