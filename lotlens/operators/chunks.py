@@ -1,118 +1,185 @@
 """Cut an auction's product list into chunks that keep near-identical products together.
 
-Products are ordered by category, title and lot. Cut positions depend on the
-previous cut, so they are folded over *runs* - one row per category and opening
-title words - and never over products.
+Products are ordered by category, title and lot, and a cut's place depends on the cut before it. The order is dealt out
+in blocks (ranges of products); what a block does to the cuts is a function from the place of its first cut to the place
+of the first cut after it. Places count from the block's edge and lie within one chunk's length of it, so the function is
+a short list. Every block computes its list in its own task, the lists are composed by a prefix scan over blocks, and
+each block then cuts from its known first place.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
-from .skew import attach
+from .common import dealt, written_once
 
+_PLACE = ("_cat", "_title", "rep_lot")
 
-def _with_opening(products: DataFrame) -> DataFrame:
-    # `_open` is the raw title up to the end of its second word: its order agrees
-    # with the order of whole titles. `_words` is the spelling-insensitive form.
+
+def _with_family(products: DataFrame) -> DataFrame:
+    """Category and title as they are ordered; products of one ``_family`` share a category and two opening words."""
     title = F.coalesce("title", F.lit(""))
     tidy = text.strip(F.regexp_replace(F.upper(title), r"\s+", " "))
-    return (products.withColumn("_cat", F.coalesce("category", F.lit("")))
-            .withColumn("_title", title)
-            .withColumn("_open", F.regexp_extract(title, r"^\s*\S*(\s+\S+)?", 0))
-            .withColumn("_words", F.array_join(F.slice(F.split(tidy, " "), 1, 2), " ")))
+    return (products.withColumn("_cat", F.coalesce("category", F.lit(""))).withColumn("_title", title)
+            .withColumn("_family", F.struct("_cat", F.array_join(F.slice(F.split(tidy, " "), 1, 2), " ").alias("words"))))
 
 
-def cut_points(boundaries: list[int], total: int, target: int, drift: int) -> tuple[list[int], list[bool]]:
-    """Cut offsets near every ``target`` rows, moved to a run boundary within ``drift``.
+def next_cut(at: np.ndarray, edges: np.ndarray, target: int, drift: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cut after each of ``at`` (-1: none) and whether it is forced.
 
-    The nearest boundary wins, the later one on a tie; a cut with none in reach
-    stays where it is and counts as forced.
+    It is the family edge nearest to ``target`` rows on, the later one on a tie; with none within ``drift`` the place
+    itself, forced.
     """
-    cuts, forced, start = [], [], 0
-    while start + target < total:
-        end = start + target
-        after = bisect_left(boundaries, end)
-        ahead = boundaries[after] if after < len(boundaries) else None
-        before = boundaries[after - 1] if after > 0 else None
-        options = []
-        if ahead is not None and ahead - end <= drift and ahead < total:
-            options.append((ahead - end, 0, ahead))
-        if before is not None and end - before <= drift and before > start:
-            options.append((end - before, 1, before))
-        forced.append(not options)
-        end = min(options)[2] if options else end
-        cuts.append(end)
-        start = end
-    return cuts, forced
-
-
-def _runs(products: DataFrame, scope: Sequence[str]) -> DataFrame:
-    return (_with_opening(products).groupBy(*scope, "_cat", "_open")
-            .agg(F.count("*").alias("n"), F.min("_words").alias("_words")))
-
-
-def _fold(scope: Sequence[str], target: int, drift: int):
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_cat", "_open"], kind="stable").reset_index(drop=True)
-        ends = pdf["n"].cumsum()
-        starts = ends - pdf["n"]
-        changed = (pdf["_cat"] != pdf["_cat"].shift()) | (pdf["_words"] != pdf["_words"].shift())
-        bounds = [int(x) for x in starts[changed] if x > 0]
-        cuts, forced = cut_points(bounds, int(ends.iloc[-1]), target, drift)
-        first = [bisect_right(cuts, int(s)) for s in starts]
-        inner = [[c for c in cuts[f:bisect_left(cuts, int(e))] if c > s] for f, s, e in zip(first, starts, ends)]
-        hard = {c for c, f in zip(cuts, forced) if f}
-        out = pdf[[*scope, "_cat", "_open"]].copy()
-        out["start_row"] = starts.astype("int64")
-        out["first_chunk"] = [f + 1 for f in first]
-        out["inner_cuts"] = inner
-        out["forced_cuts"] = [sum(c in hard for c in i) for i in inner]
+    end, far = at + target, np.iinfo(np.int64).max
+    k = np.searchsorted(edges, end, "left")
+    padded = np.concatenate([[-1], edges, [far]])
+    before, ahead = padded[k], padded[k + 1]
+    later = np.where((ahead < total) & (ahead - end <= drift), ahead - end, far)
+    earlier = np.where((before > at) & (end - before <= drift), end - before, far)
+    forced = (later == far) & (earlier == far)
+    out = np.where(forced, end, np.where(later <= earlier, ahead, before))
+    return np.where(end < total, out, -1), forced & (end < total)
+
+
+def _function(target: int, drift: int, keys: Sequence[str]):
+    """A block's exits for all its entries: places of the first cut past the block, from its end, -1 for no more cuts."""
+    def work(block: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        one, edges = block.iloc[0], np.sort(near["position"].to_numpy(np.int64))
+        start, end, total = int(one["start"]), int(one["start"] + one["n"]), int(one["total"])
+        at = start + np.arange(target + drift, dtype=np.int64)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            at[live] = next_cut(at[live], edges, target, drift, total)[0]
+            live = live[(at[live] >= 0) & (at[live] < end)]
+        out = block[[*keys]].copy()
+        out["exits"] = [np.where(at < 0, -1, at - end).tolist()]
+        return out
+
+    return work
+
+
+def _walk(target: int, drift: int, keys: Sequence[str]):
+    """The chunks that begin in a block whose first cut is known."""
+    def work(block: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        one, edges = block.iloc[0], np.sort(near["position"].to_numpy(np.int64))
+        start, end, total = int(one["start"]), int(one["start"] + one["n"]), int(one["total"])
+        at = start + int(one["entry"]) if one["entry"] >= 0 else -1
+        found = []
+        while 0 <= at < end:
+            after, hard = next_cut(np.array([at]), edges, target, drift, total)
+            found.append((at, int(after[0]) if after[0] >= 0 else total, bool(hard[0])))
+            at = int(after[0])
+        out = pd.DataFrame(found, columns=["start_row", "end_row", "is_forced"])
+        for c in reversed(keys):
+            out.insert(0, c, one[c])
+        out["place"] = np.arange(len(out), dtype=np.int64)
         return out
 
-    return plan
+    return work
+
+
+def _entries(maps: DataFrame, scope: Sequence[str], most: int) -> DataFrame:
+    """Where each block's first cut is: all blocks before it, composed by doubling how many a list stands for."""
+    step, scan = 1, maps
+    while step < most:
+        ahead = scan.select(*scope, (F.col("no") + step).alias("no"), F.col("exits").alias("_earlier"))
+        through = F.transform("_earlier", lambda x: F.when(x < 0, F.lit(-1).cast("long")).otherwise(F.get("exits", x.cast("int"))))
+        scan = written_once(scan.join(ahead, [*scope, "no"], "left")
+                            .select(*scope, "no", F.coalesce(through, "exits").alias("exits")), "scan")
+        step *= 2
+    return scan.select(*scope, (F.col("no") + 1).alias("no"), F.get("exits", F.lit(0)).alias("entry"))
+
+
+class _Order:
+    """Products in order: ``rows`` with their place, the blocks of that order, and the edges between families."""
+
+    def __init__(self, products: DataFrame, scope: Sequence[str], reach: int, ranges: int | None):
+        self.scope, self.reach = list(scope), reach
+        table = dealt(_with_family(products), [*scope, *_PLACE], ranges)
+        keys = [*scope, "_range"]
+        place = F.struct(*_PLACE)
+        blocks = table.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("_family", place).alias("first"),
+                                          F.max_by("_family", place).alias("last"))
+        # One row for each range of the order.
+        follow = W.partitionBy(*scope).orderBy("_range")
+        upto = follow.rowsBetween(W.unboundedPreceding, -1)
+        self.blocks = written_once(blocks.select(
+            *keys, "n", (F.row_number().over(follow) - 1).alias("no"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"),
+            F.sum("n").over(W.partitionBy(*scope)).alias("total"), F.lag("last").over(follow).alias("_before")), "blocks")
+        inside = W.partitionBy(*keys).orderBy(*_PLACE)
+        before = F.coalesce(F.lag("_family").over(inside), F.col("_before"))
+        self.rows = (table.join(self.blocks.select(*keys, "start", "_before"), keys)
+                     .withColumn("position", F.col("start") + F.row_number().over(inside) - 1)
+                     .withColumn("_edge", before != F.col("_family")))
+        self.edges = written_once(self.rows.where("_edge").select(*keys, "position"), "edges")
+
+    def near(self) -> DataFrame:
+        """A block's own edges and those up to one chunk's length past its end, by cells of that length."""
+        cell = lambda c: F.floor(c / self.reach)
+        ends = (self.blocks.select(*self.scope, "_range", (F.col("start") + F.col("n")).alias("_end"))
+                .withColumn("_cell", F.explode(F.array(cell(F.col("_end")), cell(F.col("_end")) + 1))))
+        past = (self.edges.drop("_range").withColumn("_cell", cell(F.col("position"))).join(ends, [*self.scope, "_cell"])
+                .where((F.col("position") >= F.col("_end")) & (F.col("position") < F.col("_end") + self.reach)))
+        return self.edges.unionByName(past.select(*self.scope, "_range", "position"))
+
+
+def _starts(order: _Order, target: int, drift: int) -> DataFrame:
+    scope, keys = order.scope, [*order.scope, "_range"]
+    kinds = dict(order.blocks.dtypes)
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in keys)
+    near = written_once(order.near(), "near")
+    maps = (order.blocks.select(*keys, "start", "n", "total").groupBy(*keys).cogroup(near.groupBy(*keys))
+            .applyInPandas(_function(target, drift, keys), f"{ddl}, exits array<bigint>"))
+    numbers = order.blocks.select(*keys, "no")
+    maps = written_once(maps.join(numbers, keys).select(*scope, "no", "exits"), "maps")
+    most = order.blocks.agg(F.max("no")).first()[0] or 0
+    known = order.blocks.join(_entries(maps, scope, most + 1), [*scope, "no"], "left")
+    known = known.select(*keys, "no", "start", "n", "total", F.when(F.col("no") == 0, F.lit(0)).otherwise(F.col("entry")).cast("long").alias("entry"))
+    begun = written_once(
+        known.groupBy(*keys).cogroup(near.groupBy(*keys))
+        .applyInPandas(_walk(target, drift, keys), f"{ddl}, start_row bigint, end_row bigint, is_forced boolean, place bigint"), "starts")
+    counted = begun.groupBy(*keys).agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy(*scope).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counted = counted.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"))
+    return (begun.join(counted, keys).select(*scope, (F.col("_earlier") + F.col("place") + 1).alias("chunk"),
+                                             "start_row", "end_row", F.col("is_forced").alias("ends_forced")))
+
+
+def _room(target: int, drift: int | None) -> int:
+    return max(1, int(target * vocab.CHUNK_DRIFT)) if drift is None else drift
 
 
 def chunk_plan(products: DataFrame, target: int = vocab.CHUNK_ROWS, drift: int | None = None,
-               scope: Sequence[str] = ("auction_id",)) -> DataFrame:
-    """Per run: where it starts, its first chunk, and the cuts that fall inside it."""
-    if drift is None:
-        drift = max(1, int(target * vocab.CHUNK_DRIFT))
-    runs = _runs(products, scope)
-    kinds = dict(runs.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in scope), "_cat string", "_open string", "start_row bigint",
-                        "first_chunk bigint", "inner_cuts array<bigint>", "forced_cuts bigint"])
-    return runs.groupBy(*scope).applyInPandas(_fold(scope, target, drift), schema)
+               scope: Sequence[str] = ("auction_id",), ranges: int | None = None) -> DataFrame:
+    """Per chunk: first row, end row, and whether the cut at its end had no edge in reach."""
+    drift = _room(target, drift)
+    return _starts(_Order(products, scope, target + drift, ranges), target, drift)
 
 
 def chunk_products(products: DataFrame, target: int = vocab.CHUNK_ROWS, drift: int | None = None,
-                   scope: Sequence[str] = ("auction_id",)) -> DataFrame:
-    """Products with their chunk number.
+                   scope: Sequence[str] = ("auction_id",), ranges: int | None = None) -> DataFrame:
+    """Products with their chunk number, from 1.
 
-    Only runs a forced cut goes through need row positions; these come from
-    counts per title plus a rank inside the title.
+    ``rep_lot`` is unique in its scope. ``ranges`` says into how many blocks the order is dealt (by default as many as
+    a shuffle has). Places meet chunks by cells of ``target`` rows, so no task holds more than the rows of its cells.
     """
-    run = [*scope, "_cat", "_open"]
-    planned = attach(_with_opening(products), chunk_plan(products, target, drift, scope), run, "inner")
-    split = F.size("inner_cuts") > 0
-    whole = planned.where(~split).withColumn("chunk", F.col("first_chunk"))
-    torn = planned.where(split)
-    per_title = torn.groupBy(*run, "_title").agg(F.count("*").alias("_n"))
-    earlier = W.partitionBy(*run).orderBy("_title").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_title.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    inside = W.partitionBy(*run, "_title").orderBy("rep_lot")
-    position = F.col("start_row") + F.col("_before") + F.col("_rank") - 1
-    torn = (torn.withColumn("_rank", F.row_number().over(inside)).join(offsets, [*run, "_title"])
-            .withColumn("chunk", F.col("first_chunk") + F.size(F.filter("inner_cuts", lambda c: c <= position))))
-    keep = [*products.columns, "chunk"]
-    return whole.select(*keep).unionByName(torn.select(*keep))
+    drift = _room(target, drift)
+    order = _Order(products, scope, target + drift, ranges)
+    cell = lambda c: F.floor(c / target)
+    begun = (_starts(order, target, drift)
+             .withColumn("_cell", F.explode(F.sequence(cell(F.col("start_row")), cell(F.col("end_row") - 1))))
+             .select(*scope, "_cell", "start_row", "end_row", "chunk"))
+    placed = order.rows.select(*products.columns, "position").withColumn("_cell", cell(F.col("position")))
+    return (placed.join(begun, [*scope, "_cell"])
+            .where((F.col("position") >= F.col("start_row")) & (F.col("position") < F.col("end_row")))
+            .select(*products.columns, "chunk"))
 
 
 def chunk_summary(chunked: DataFrame, scope: Sequence[str] = ("auction_id",)) -> DataFrame:

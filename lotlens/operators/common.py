@@ -53,6 +53,15 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, order: Sequence[Column | str], ranges: int | None = None) -> DataFrame:
+    """The rows dealt out by range of an order and written once, so that later jobs agree on the ranges.
+
+    ``_range`` numbers the ranges in the order; a range is what one task handles.
+    """
+    parts = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return written_once(parts.withColumn("_range", F.spark_partition_id()), "order")
+
+
 def positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """Every row with its place (from 1) in an order that doesn't tie.
 
@@ -60,13 +69,31 @@ def positions(df: DataFrame, order: Sequence[Column], name: str = "position") ->
     counted are the ranges which are ranked; a row's place is its rank in its
     range after all rows of the ranges before. No task sees more than one range.
     """
-    path = shared_dir(df.sparkSession, "order")
-    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    dealt = df.sparkSession.read.parquet(path)
+    rows = dealt(df, order)
     # One row for each range.
     earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    before = (dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = (rows.groupBy("_range").agg(F.count("*").alias("_n"))
               .select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
     rank = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    return (dealt.withColumn("_rank", rank).join(before, "_range")
+    return (rows.withColumn("_rank", rank).join(before, "_range")
             .withColumn(name, F.col("_before") + F.col("_rank")).drop("_range", "_rank", "_before"))
+
+
+def successors(asked: DataFrame, known: DataFrame, at: str, scope: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """Every row of ``asked`` with ``next_at``: the least ``at`` of ``known`` above its own in its scope, NULL if none.
+
+    Both sides are dealt out together by value. A row looks on in its own range and else takes the first value of the
+    next range of its scope that has one, so no task sees more than a range.
+    """
+    both = (known.select(*scope, at).distinct().withColumn("_known", F.col(at)).withColumn("_asks", F.lit(0))
+            .unionByName(asked.withColumn("_asks", F.lit(1)), allowMissingColumns=True))
+    rows = dealt(both, [*scope, at], ranges)
+    keys = [*scope, "_range"]
+    # One row for each range of the order.
+    later = W.partitionBy(*scope).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    beyond = (rows.groupBy(*keys).agg(F.min("_known").alias("_least"))
+              .select(*keys, F.min("_least").over(later).alias("_beyond")))
+    # Downwards, with askers before the known value they equal: the last value passed is the least above.
+    passed = W.partitionBy(*keys).orderBy(F.desc(at), F.desc("_asks")).rowsBetween(W.unboundedPreceding, -1)
+    found = rows.withColumn("_above", F.last("_known", ignorenulls=True).over(passed)).where("_asks = 1").join(beyond, keys)
+    return found.select(*asked.columns, F.coalesce("_above", "_beyond").alias("next_at"))

@@ -1,7 +1,10 @@
 """Numbered runs from first-seen stamps.
 
-Every lot of a run carries the run's stamp, so an auction has few distinct
-stamps. Only those are gathered, one auction per row, never the lots.
+A run takes every stamp within three hours of its first, and the stamp after those begins the next. So the start of the
+next run is a function of a start alone: the first stamp more than three hours later. It is looked up for every stamp
+by range; then the starts that follow from an auction's first stamp are found by doubling how many runs a jump skips.
+Starts are more than three hours apart, so three hours of the clock hold one at most, and stamps meet their start by
+such cells.
 """
 
 from __future__ import annotations
@@ -13,36 +16,58 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values, vocab
+from .common import successors, written_once
 from .skew import attach
 
+_GAP = vocab.CLUSTER_SECONDS * 1_000_000
 
-def cluster_starts(lots: DataFrame, stamp: Column, scope: Sequence[str] = ()) -> DataFrame:
-    """Start stamps of each auction's runs.
 
-    A stamp joins the run whose *start* is at most three hours back; measuring
-    from the last stamp instead (as a session window does) would merge more.
-    """
-    stamps = lots.select(*scope, stamp.alias("_ts")).where("_ts is not null").distinct()
-    gap = vocab.CLUSTER_SECONDS * 1_000_000
-    far = lambda acc, t: (F.size(acc) == 0) | (
-        F.unix_micros(t) - F.unix_micros(F.try_element_at(acc, F.lit(-1))) > gap)
-    fold = F.aggregate(F.array_sort(F.collect_set("_ts")), F.array().cast("array<timestamp>"),
-                       lambda acc, t: F.when(far(acc, t), F.concat(acc, F.array(t))).otherwise(acc))
-    return stamps.groupBy(*scope).agg(fold.alias("starts"))
+def _stamps(lots: DataFrame, stamp: Column, scope: Sequence[str]) -> DataFrame:
+    """The distinct stamps, with their microseconds as ``at``."""
+    found = lots.select(*scope, stamp.alias("_ts")).where("_ts is not null").distinct()
+    return written_once(found.withColumn("at", F.unix_micros("_ts")), "stamps")
+
 
+def _starts(stamps: DataFrame, scope: Sequence[str], ranges: int | None) -> DataFrame:
+    """First stamp of each run (``at``)."""
+    asked = stamps.select(*scope, F.col("at").alias("start"), (F.col("at") + _GAP).alias("at"))
+    jumps = written_once(successors(asked, stamps.select(*scope, "at"), "at", scope, ranges)
+                         .where("next_at is not null").select(*scope, "start", "next_at"), "jumps")
+    starts = stamps.groupBy(*scope).agg(F.min("at").alias("at"))
+    while not jumps.isEmpty():
+        reached = starts.withColumnRenamed("at", "start").join(jumps, [*scope, "start"]).select(*scope, F.col("next_at").alias("at"))
+        starts = written_once(starts.unionByName(reached), "starts")
+        onward = jumps.select(*scope, F.col("start").alias("next_at"), F.col("next_at").alias("_beyond"))
+        jumps = written_once(jumps.join(onward, [*scope, "next_at"]).select(*scope, "start", F.col("_beyond").alias("next_at")), "jumps")
+    return starts
 
-def run_stamps(lots: DataFrame, stamp: Column, scope: Sequence[str] = ()) -> DataFrame:
-    """(stamp, scrape, started_at) for every distinct stamp of an auction.
 
-    The run number of a stamp is the number of run starts up to it.
+def cluster_starts(lots: DataFrame, stamp: Column, scope: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """(scope, started_at) for each run.
+
+    A stamp joins the run whose *start* is at most three hours back; measuring
+    from the last stamp instead (as a session window does) would merge more.
     """
-    stamps = lots.select(*scope, stamp.alias("_ts")).where("_ts is not null").distinct()
-    starts = (cluster_starts(lots, stamp, scope).select(*scope, F.explode("starts").alias("_ts"))
-              .withColumn("_start", F.col("_ts")))
-    upto = W.partitionBy(*scope).orderBy("_ts").rowsBetween(W.unboundedPreceding, 0)
-    return (stamps.join(starts, [*scope, "_ts"], "left")
-            .select(*scope, "_ts", F.count("_start").over(upto).alias("scrape"),
-                    F.max("_start").over(upto).alias("started_at")))
+    return _starts(_stamps(lots, stamp, scope), scope, ranges).select(*scope, F.timestamp_micros("at").alias("started_at"))
+
+
+def run_stamps(lots: DataFrame, stamp: Column, scope: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """(stamp, scrape, started_at) for every distinct stamp of an auction."""
+    stamps = _stamps(lots, stamp, scope)
+    # One row for each run, and these are three hours apart.
+    numbered = _starts(stamps, scope, ranges).withColumn("scrape", F.row_number().over(W.partitionBy(*scope).orderBy("at")))
+    cell = F.col("at") - F.pmod("at", F.lit(_GAP))
+    spot = F.explode(F.array(F.struct(cell.alias("_cell"), F.lit(True).alias("_starts_here")),
+                             F.struct((cell + _GAP).alias("_cell"), F.lit(False).alias("_starts_here")))).alias("_spot")
+    run = F.struct("at", "scrape")
+    cells = (numbered.select(*scope, "at", "scrape", spot).groupBy(*scope, F.col("_spot._cell").alias("_cell"))
+             .agg(F.max(F.when(F.col("_spot._starts_here"), run)).alias("_own"),
+                  F.max(F.when(~F.col("_spot._starts_here"), run)).alias("_before")))
+    met = attach(stamps.withColumn("_cell", cell), cells, [*scope, "_cell"], "inner")
+    mine = F.when(F.col("_own.at") <= F.col("at"), F.col("_own")).otherwise(F.col("_before"))
+    found = (met.withColumn("_run", mine)
+             .select(*scope, "_ts", F.col("_run.scrape").cast("long").alias("scrape"), F.timestamp_micros("_run.at").alias("started_at")))
+    return written_once(found, "runs")
 
 
 def assign_scrapes(lots: DataFrame, stamps: DataFrame, stamp: Column, scope: Sequence[str] = ()) -> DataFrame:
