@@ -13,8 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, values, vocab
+from .common import written_once
 from .skew import attach
 
+#: Rows of a product's price list that one aggregation buffer may hold.
+LONG_LIST = 1 << 16
+
 KEY = ("key_title", "key_condition")
 
 
@@ -41,29 +45,63 @@ def price_histogram(closed: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
             .agg(F.count("*").alias("copies"), F.min("_ord").alias("_ord")))
 
 
-def sale_aggregate(closed: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def _middle(prices: DataFrame, totals: DataFrame, key: Sequence[str], bands: int) -> DataFrame:
+    """Exact median of few products with very long price lists, by selection: (key, median).
+
+    Each middle rank starts with the whole range of its product's prices. The range is cut into ``bands`` equal ones,
+    copies are counted by band (combined before the shuffle), and the band that holds the rank is the next range, cut
+    to the prices in it. A range of two prices or more always splits; it is done when it is one price.
+    """
+    ranks = F.explode(F.array_distinct(F.array(F.floor((F.col("sold") + 1) / 2), F.floor((F.col("sold") + 2) / 2))))
+    sought = totals.select(*key, ranks.alias("rank"), F.col("low").alias("lo"), F.col("high").alias("hi")).withColumn("need", F.col("rank"))
+    sought = written_once(sought, "sought")
+    while not sought.where("lo < hi").isEmpty():
+        live = F.broadcast(sought.where("lo < hi"))  # two rows at most for each product that is this long
+        inside = prices.join(live, list(key)).where((F.col("price") >= F.col("lo")) & (F.col("price") <= F.col("hi")))
+        band = F.least(F.floor((F.col("price") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bands), F.lit(bands - 1))
+        counted = (inside.groupBy(*key, "rank", "need", band.alias("band"))
+                   .agg(F.sum("copies").alias("n"), F.min("price").alias("lo"), F.max("price").alias("hi")))
+        # At most ``bands`` entries for a rank.
+        listed = counted.groupBy(*key, "rank", "need").agg(F.array_sort(F.collect_list(F.struct("band", "n", "lo", "hi"))).alias("_b"))
+        kind = "struct<need:bigint,lo:double,hi:double,found:boolean>"
+        start = F.struct(F.col("need").alias("need"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), F.lit(False).alias("found")).cast(kind)
+        step = lambda acc, e: F.when(acc["found"], acc).when(
+            acc["need"] > e["n"], F.struct((acc["need"] - e["n"]).alias("need"), acc["lo"].alias("lo"), acc["hi"].alias("hi"), F.lit(False).alias("found"))
+        ).otherwise(F.struct(acc["need"].alias("need"), e["lo"].alias("lo"), e["hi"].alias("hi"), F.lit(True).alias("found"))).cast(kind)
+        narrowed = listed.select(*key, "rank", F.aggregate("_b", start, step).alias("_r"))
+        narrowed = narrowed.select(*key, "rank", F.col("_r.lo").alias("lo"), F.col("_r.hi").alias("hi"), F.col("_r.need").alias("need"))
+        sought = written_once(narrowed.unionByName(sought.where("lo >= hi")), "sought")
+    return sought.groupBy(*key).agg(F.avg("lo").alias("median"))
+
+
+def sale_aggregate(closed: DataFrame, scope: Sequence[str] = (), long_list: int = LONG_LIST, bands: int = 1024) -> DataFrame:
     """Per product: sold, unsold, exact median, low and high. Products that sold
     nothing stay, with NULL figures; the first spelling seen is shown.
 
-    The median is read off the running count of each product's price list. Every
-    step after the histogram keeps its partitioning and order.
+    Everything is combined before the shuffle. A price list of up to ``long_list``
+    rows gives its median in the aggregation; a longer one is searched for it.
     """
     key = [*scope, *KEY]
-    by_price = W.partitionBy(*key).orderBy(F.col("price").asc_nulls_first())
+    prices = written_once(price_histogram(closed, scope), "prices")
+    long = prices.where("price is not null").groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > long_list).drop("_n")
+    long = written_once(long, "long")
+    some = not long.isEmpty()
+    # At most one of these for each ``long_list`` rows.
+    marked = prices.join(F.broadcast(long.withColumn("_long", F.lit(True))), key, "left") if some else prices.withColumn("_long", F.lit(None).cast("boolean"))
+    short = F.when(F.col("_long").isNull(), F.col("price"))
     sold = F.when(F.col("price").isNotNull(), F.col("copies")).otherwise(0)
-    ranked = (price_histogram(closed, scope).withColumn("_n", sold)
-              .withColumn("_upto", F.sum("_n").over(by_price.rowsBetween(W.unboundedPreceding, 0)))
-              .withColumn("_sold", F.sum("_n").over(by_price.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
-    at = lambda rank: F.max(F.when(holds(rank), F.col("price")))
-    lower = F.floor((F.col("_sold") + 1) / 2)
-    upper = F.floor((F.col("_sold") + 2) / 2)
-    return (ranked.groupBy(*key).agg(
-        F.min(F.struct("_ord", "title", "condition")).alias("_first"),
-        F.sum("_n").alias("sold"), F.sum(F.col("copies") - F.col("_n")).alias("unsold"),
-        ((at(lower) + at(upper)) / 2).alias("median"), F.min("price").alias("low"), F.max("price").alias("high"))
-        .select(*key, F.col("_first.title").alias("title"), F.col("_first.condition").alias("condition"),
-                "sold", "unsold", "median", "low", "high"))
+    out = marked.groupBy(*key).agg(
+        F.min(F.struct("_ord", "title", "condition")).alias("_first"), F.sum(sold).alias("sold"),
+        F.sum(F.col("copies") - sold).alias("unsold"), F.percentile(short, F.lit(0.5), F.col("copies")).alias("median"),
+        F.min("price").alias("low"), F.max("price").alias("high"))
+    if some:
+        out = written_once(out, "totals")
+        hot = F.broadcast(long)
+        found = _middle(prices.where("price is not null").join(hot, key).select(*key, "price", "copies"), out.join(hot, key), key, bands)
+        out = (out.join(F.broadcast(found.withColumnRenamed("median", "_median")), key, "left")
+               .withColumn("median", F.coalesce("median", "_median")).drop("_median"))
+    return out.select(*key, F.col("_first.title").alias("title"), F.col("_first.condition").alias("condition"),
+                      "sold", "unsold", "median", "low", "high")
 
 
 def sale_prices(closed: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -129,60 +167,82 @@ def _ladder_order(own: Column, candidate: Column) -> Column:
         candidate.alias("condition"))
 
 
-def _stamp(lots: DataFrame, index: DataFrame, with_weeks: bool) -> DataFrame:
-    """Lots with their own key, the other grades of the title, and the grade to show.
-
-    History is folded to one row per title first (a title has as many entries as
-    grades, and eight periods each), so a popular title multiplies nothing and one
-    many-to-one join answers everything.
-    """
-    entry = F.struct("key_condition", "weeks") if with_weeks else F.struct("key_condition")
-    titles = index.groupBy("key_title").agg(F.collect_list(entry).alias("_all"))
-    joined = attach(with_product_key(lots), titles, ["key_title"])
+def _grades(index: DataFrame) -> DataFrame:
+    """Per title: its grades on the ladder (nine at most), the first name of the others, and how many grades have a name."""
+    grade = F.col("key_condition")
+    on = grade.isin(list(vocab.PRICE_LADDER))
+    return index.where(grade != "").groupBy("key_title").agg(
+        F.collect_set(F.when(on, grade)).alias("_rungs"), F.min(F.when(~on, grade)).alias("_other"), F.count("*").alias("_n"))
+
+
+def _resolved(lots: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lots with their product key, and each distinct key with its copies, ``_own`` (has history), ``_nearest`` (the grade
+    to show where it has none) and ``_alternates`` (how many other grades its title has)."""
+    keyed = with_product_key(lots)
+    keys = written_once(keyed.groupBy(*KEY).agg(F.count("*").alias("n")), "keys")
+    own = index.select(*KEY, F.lit(True).alias("_own"))
+    met = attach(keys, _grades(index), ["key_title"]).join(own, list(KEY), "left")
+    # A key without history is none of its title's grades, so the first of all the others is its nearest.
+    rung = F.array_min(F.transform("_rungs", lambda g: _ladder_order(F.col("key_condition"), g)))["condition"]
+    mine = F.coalesce("_own", F.lit(False))
+    named = (mine & (F.col("key_condition") != "")).cast("long")
+    return keyed, written_once(met.select(
+        *KEY, "n", mine.alias("_own"), F.when(~mine, F.coalesce(rung, "_other")).alias("_nearest"),
+        (F.coalesce("_n", F.lit(0)) - named).alias("_alternates")), "resolved")
+
+
+def sale_alternates(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """(key, place, alternate) for every other grade of each key's title, nearest first."""
     own = F.col("key_condition")
-    known = F.exists("_all", lambda e: e["key_condition"] == own)
-    graded = F.filter("_all", lambda e: (e["key_condition"] != "") & (e["key_condition"] != own))
-    ranked = F.array_sort(F.transform(graded, lambda e: _ladder_order(own, e["key_condition"])))
-    return joined.select(*lots.columns, *KEY, "_all", known.alias("_own"), ranked.alias("_ranked"))
-
-
-def _keys_of(stamped: DataFrame) -> DataFrame:
-    alternates = F.transform("_ranked", lambda r: F.concat_ws("|", F.col("key_title"), r["condition"]))
-    return (stamped.withColumn("sale_key", F.when(F.col("_own"), key_string()))
-            .withColumn("alt_keys", F.when(F.size("_ranked") > 0, alternates)))
+    offers = index.where("key_condition <> ''").select("key_title", F.col("key_condition").alias("alternate"))
+    met = keys.select(*KEY).join(offers, "key_title").where(F.col("alternate") != own)
+    nearest = W.partitionBy(*KEY).orderBy(_ladder_order(own, F.col("alternate")))
+    return met.select(*KEY, F.row_number().over(nearest).alias("place"), "alternate")
 
 
 def join_sale_history(lots: DataFrame, index: DataFrame) -> DataFrame:
     """Stamp ``sale_key`` (own history) and ``alt_keys`` (same title, other grades,
-    nearest first)."""
-    return _keys_of(_stamp(lots, index, with_weeks=False)).drop("_all", "_own", "_ranked")
+    nearest first). The lists are made once for each distinct key of the lots."""
+    keyed, keys = _resolved(lots, index)
+    lists = (sale_alternates(keys.where("_alternates > 0"), index)
+             .groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "alternate"))),
+                                            lambda r: r["alternate"]).alias("_all")))
+    stamps = keys.join(lists, list(KEY), "left").select(
+        *KEY, F.when(F.col("_own"), key_string()).alias("sale_key"),
+        F.transform("_all", lambda c: F.concat_ws("|", F.col("key_title"), c)).alias("alt_keys"))
+    return attach(keyed, stamps, KEY, counts=keys.select(*KEY, "n")).select(*lots.columns, *KEY, "sale_key", "alt_keys")
 
 
 def sale_history_for_lot(lots: DataFrame, index: DataFrame) -> DataFrame:
     """Each lot with the periods of its own history, else of the nearest other
-    grade, labelled with that grade. The two are never blended."""
-    stamped = _keys_of(_stamp(lots, index, with_weeks=True))
-    nearest = F.get("_ranked", F.lit(0))["condition"]
-    grade = F.when(F.col("_own"), F.col("key_condition")).otherwise(nearest)
-    chosen = F.get(F.filter("_all", lambda e: e["key_condition"] == grade), F.lit(0))
-    return (stamped.withColumn("source_grade", F.when(~F.col("_own"), nearest))
-            .withColumn("weeks", chosen["weeks"]).drop("_all", "_own", "_ranked"))
-
-
-def sale_index_used(stamped: DataFrame, index: DataFrame) -> DataFrame:
-    """History entries some lot refers to, by its own key or as an alternate."""
-    # A key is the lot's own title, a bar, and a condition; the title's length tells where the latter begins.
-    grade = lambda k: F.substr(k, F.length("key_title") + 2)
-    refs = F.array_union(F.array_compact(F.array(F.when(F.col("sale_key").isNotNull(), F.col("key_condition")))),
-                         F.coalesce(F.transform("alt_keys", grade), F.array().cast("array<string>")))
-    used = stamped.select("key_title", F.explode(refs).alias("key_condition")).distinct()
-    return index.join(used, list(KEY), "left_semi")
-
-
-def sale_coverage(stamped: DataFrame) -> DataFrame:
-    own = F.col("sale_key").isNotNull()
-    alt = ~own & F.col("alt_keys").isNotNull()
-    return stamped.agg(
-        F.count("*").alias("lots"), F.count_if(own).alias("own"), F.count_if(alt).alias("alt_only"),
-        F.round(F.avg(own.cast("double")), 6).alias("own_share"),
-        F.round(F.avg(alt.cast("double")), 6).alias("alt_share"))
+    grade, labelled with that grade. The two are never blended.
+
+    The grade is chosen for distinct keys, from at most nine grades on the ladder and one name, and one history joined.
+    """
+    keyed, keys = _resolved(lots, index)
+    grade = F.when(F.col("_own"), F.col("key_condition")).otherwise(F.col("_nearest"))
+    shown = index.select("key_title", F.col("key_condition").alias("_grade"), "weeks")
+    found = attach(keys.withColumn("_grade", grade), shown, ["key_title", "_grade"]).select(
+        *KEY, F.when(F.col("_own"), key_string()).alias("sale_key"), F.col("_nearest").alias("source_grade"), "weeks")
+    return (attach(keyed, found, KEY, counts=keys.select(*KEY, "n"))
+            .select(*lots.columns, *KEY, "sale_key", "source_grade", "weeks"))
+
+
+def sale_index_used(lots: DataFrame, index: DataFrame) -> DataFrame:
+    """History entries some lot refers to, by its own key or as an alternate.
+
+    A named grade is one or the other for every lot of its title; a blank one is never offered, so it takes a lot of its own.
+    """
+    keys = with_product_key(lots).select(*KEY).distinct()
+    named = index.where("key_condition <> ''").join(keys.select("key_title").distinct(), "key_title", "left_semi")
+    return named.unionByName(index.where("key_condition = ''").join(keys, list(KEY), "left_semi").select(*named.columns))
+
+
+def sale_coverage(lots: DataFrame, index: DataFrame) -> DataFrame:
+    """Lots with history of their own, and with other grades' only."""
+    _, keys = _resolved(lots, index)
+    copies = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lots"), copies(F.col("_own")).alias("own"),
+                     copies(~F.col("_own") & (F.col("_alternates") > 0)).alias("alt_only"))
+    part = lambda c: F.round(F.try_divide(F.col(c).cast("double"), F.col("lots")), 6)
+    return total.select("lots", "own", "alt_only", part("own").alias("own_share"), part("alt_only").alias("alt_share"))

@@ -124,11 +124,11 @@ def sale_history_for_lot(t: Tables):
 select k.key_title, k.key_condition from keys k where exists (select 1 from stamped s where s.sale_key = concat(k.key_title, '|', k.key_condition))
   or exists (select 1 from offers o where o.key_title = k.key_title and o.alt_condition = k.key_condition)""")
 def sale_index_used(t: Tables):
-    return sales.sale_index_used(_stamped(t), shapes.index(t)).select("key_title", "key_condition")
+    return sales.sale_index_used(t["lots"], shapes.index(t)).select("key_title", "key_condition")
 
 
 @query("sale_coverage", "with " + _STAMPED + """
 select count(*) as lots, count(sale_key) as own, count(*) filter (sale_key is null and alt_keys is not null) as alt_only,
   round(count(sale_key) / count(*), 6) as own_share, round(count(*) filter (sale_key is null and alt_keys is not null) / count(*), 6) as alt_share from stamped""")
 def sale_coverage(t: Tables):
-    return sales.sale_coverage(_stamped(t))
+    return sales.sale_coverage(t["lots"], shapes.index(t))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..operators.common import list_of
+from ..operators.common import list_of, written_once
 from ..operators.products import dedupe_products, product_members
 from ..operators.sales import price_histogram, sale_aggregate, sale_index  # noqa: F401
 from ..operators.shortlist import shortlist_lots
@@ -72,7 +72,8 @@ def history(t: Tables) -> DataFrame:
 
 
 def index(t: Tables) -> DataFrame:
-    return sale_index(history(t))
+    """Written once: the joins onto lots read it several times."""
+    return written_once(sale_index(history(t)), "index")
 
 
 def slim(t: Tables) -> DataFrame:
