@@ -51,15 +51,17 @@ def _alphabet() -> list[str]:
 class Encoder:
     """``encode`` gives the ids of texts as little-endian unsigned 32-bit integers in bytes.
 
-    Strings of special tokens in a text are ordinary text. Only for vocabularies
-    of byte-level BPE with the usual cut into pieces.
+    These are the library's for the file as it is; a text that holds one of the
+    file's added tokens goes to the library whole. Only for vocabularies of
+    byte-level BPE with the usual cut into pieces.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model = self.tokenizer.model
         self.letters = _alphabet()
         self.as_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -97,6 +99,14 @@ class Encoder:
         return b"".join(map(self._piece, PIECES.findall(" " + run)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [k for k, t in enumerate(texts) if self.added.search(t)] if self.added else []
+        if not whole:
+            return self._by_runs(texts)
+        found = dict(zip(whole, self._plainly([texts[k] for k in whole]), strict=True))
+        rest = iter(self._by_runs([t for k, t in enumerate(texts) if k not in found]))
+        return [found[k] if k in found else next(rest) for k in range(len(texts))]
+
+    def _by_runs(self, texts: list[str]) -> list[bytes]:
         cut = [(_CUT.split(t) if _SPACED.search(t) else t.split(" ")) for t in texts]
         heads = self._plainly([runs[0] for runs in cut])
         out = []

@@ -16,7 +16,6 @@ from lotlens.llm import secrets
 
 def ids(text: str, end: int) -> list[int]:
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 

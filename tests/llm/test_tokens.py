@@ -5,6 +5,7 @@ import random
 import brute
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from lotlens.llm import idfile, packing, rans, tokens
 
@@ -14,9 +15,12 @@ ROWS = [(5, "the quick brown fox"), (3, None), (9, ""), (9, "  two  rows\n with
 
 def test_remembered_runs_give_the_library_s_ids():
     encoder, r = tokens.Encoder(tokens.vocabulary_file()), random.Random(1)
+    untouched = Tokenizer.from_file(tokens.vocabulary_file())
     letters = ["a", "B", " ", " ", "\n", "\t", "é", "1", ".", "'s", "'", "  ", "　", "\x1c", "<|endoftext|>", "\x85", "ʼn", "\U0001f600"]
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 14))) for _ in range(3000)]
-    want = [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts += ["<|endoftext|> first", "last <|endoftext|>", "in<|endoftext|>side", "a <|endoftext|>  b <|endoftext|><|endoftext|>", "<|endoftext", "endoftext|>"]
+    want = [x.ids for x in untouched.encode_batch(texts, add_special_tokens=False)]
+    assert want[-6][0] == want[-5][-1] == 50256
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
 
 
