@@ -264,8 +264,7 @@ identifiers(low, spdx) as (values {pairs(IDENTIFIERS)}),
 rules(k, name, ids) as (values {rules}),
 t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as ln from {table}),
 unwrapped as (select rid, array_to_string([case when i < len(ln) then regexp_replace(ln[i], '\r$', '') else ln[i] end || case when i = len(ln) then '' when i + 1 < len(ln)
-    and regexp_full_match(ln[i + 1], '[ \t#*/;%-]*
-?') then chr(10) else ' ' end for i in range(1, len(ln) + 1)], '') as text from t),
+    and regexp_full_match(ln[i + 1], '[ \t#*/;%-]*\r?') then chr(10) else ' ' end for i in range(1, len(ln) + 1)], '') as text from t),
 readings as (select rid, 1 as reading, text from unwrapped union all select rid, 2, text from t),
 kept as (select rid, reading, regexp_replace(text, '([ \t][vV]\.)([ \t]+[0-9])', '\1' || chr(57344) || '\2', 'g') as text from readings),
 cut as (select rid, reading, string_split(regexp_replace(text, '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(10)) as parts from kept),
