@@ -29,6 +29,8 @@ from ..session import shared_dir
 from . import common, rans, tokens
 
 END_ID = 2
+#: Runs of text that a worker remembers: encoding has the worker to itself here.
+REMEMBERED = 800_000
 #: More ids than any vocabulary of the supported tokenizers; the frequency table passes through the driver.
 MOST_IDS = 1 << 20
 
@@ -52,7 +54,7 @@ def sharded(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID)
     end = int(end_id).to_bytes(4, "little")
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = tokens.encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, shard = tokens.encoder(tokenizer, REMEMBERED), TaskContext.get().partitionId()
         counts = np.zeros(1 << 16, np.int64)
 
         def rows() -> Iterator[tuple]:

@@ -33,11 +33,12 @@ def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """The encoder of a file, one for each Python worker."""
+def encoder(path: str | None = None, remembered: int | None = None) -> Encoder:
+    """The encoder of a file, one for each Python worker; ``remembered`` runs make a generation, where there is room for more."""
     path = path or vocabulary_file()
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].generation = remembered or GENERATION
     return _ENCODERS[path]
 
 
@@ -66,6 +67,7 @@ class Encoder:
         self.letters = _alphabet()
         self.as_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.mark = {m: self._plainly([m])[0] for m in _MARKS}
+        self.generation = GENERATION
         self.runs = Runs(self)
         self.pieces: dict[str, bytes] = {}
 
@@ -112,7 +114,7 @@ class Encoder:
         out = []
         for head, runs in zip(heads, cut, strict=True):
             out.append(head + b"".join(map(self.runs.__getitem__, runs[1:])))
-            if len(self.runs) > GENERATION:
+            if len(self.runs) > self.generation:
                 self.runs = Runs(self, self.runs)
                 self.pieces.clear()
         return out
