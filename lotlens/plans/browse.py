@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import browse as view
-from ..operators import chunks, facets, scrapes, search
+from ..operators import chunks, facets, postings, scrapes, search
 from ..operators.common import positions
 from . import shapes
 from .registry import Tables, query
@@ -119,6 +119,33 @@ def search_fuzzy(t: Tables):
     return two.unionByName(one)
 
 
+def _postings(t: Tables) -> postings.Index:
+    return postings.Index(t.spark, postings.build(shapes.doc_lots(t)))
+
+
+@query("search_postings_exact", _INDEX + """
+select lot_number from folded where contains(concat_ws('  ', title, subcategory, number, '', cats), 'ele') and contains(concat_ws('  ', title, subcategory, number, '', cats), 'src1')""")
+def search_postings_exact(t: Tables):
+    return _postings(t).exact("Èle  SRC1")
+
+
+@query("search_postings_fuzzy", _WORDS + """
+select lot_number from words where
+  ((contains(title, 'enlich') or len(list_filter(tw, lambda w: levenshtein(w, 'enlich') <= 1)) > 0
+    or contains(subcategory, 'enlich') or levenshtein(subcategory, 'enlich') <= 1 or contains(number, 'enlich') or levenshtein(number, 'enlich') <= 1)
+   and (contains(title, 'src3') or contains(subcategory, 'src3') or contains(number, 'src3')))
+  or (contains(concat('  ', cats), 'enlich') and contains(concat('  ', cats), 'src3'))
+union all
+select lot_number || '?' from words where
+  contains(title, 'schungge') or len(list_filter(tw, lambda w: levenshtein(w, 'schungge') <= 1)) > 0
+    or contains(subcategory, 'schungge') or levenshtein(subcategory, 'schungge') <= 1 or contains(number, 'schungge') or levenshtein(number, 'schungge') <= 1
+  or contains(concat('  ', cats), 'schungge')""")
+def search_postings_fuzzy(t: Tables):
+    index = _postings(t)
+    two, one = index.fuzzy("enlìch src3"), index.fuzzy("schungge").select(F.concat("lot_number", F.lit("?")).alias("lot_number"))
+    return two.unionByName(one)
+
+
 @query("search_in_view", """
 select lot_number, title from published where lot_number like 'S-%' and condition = 'Good' and contains(lower(title), 'anvil') and contains(lower(title), 'brand1')""")
 def search_in_view(t: Tables):
