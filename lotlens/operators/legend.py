@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text, vocab
+from .common import written_once
 from .search import all_text
+from .skew import attach
 
 
 def found_terms(body: Column, terms: Sequence[str]) -> Column:
@@ -28,12 +30,70 @@ def found_terms(body: Column, terms: Sequence[str]) -> Column:
     return F.array_compact(F.array(*out))
 
 
+#: Up to so many terms are tried on every row; more are found through the words that hold their tokens.
+SCANNED_TERMS = 64
+
+
+def _scanned(rows: DataFrame, body: Column, terms: Sequence[str]) -> DataFrame:
+    found = text.let(body, lambda b: found_terms(b, terms))
+    return rows.select("*", F.explode(found).alias("_t")).select(*rows.columns, "_t.*")
+
+
+def _by_words(rows: DataFrame, body: Column, terms: Sequence[str]) -> DataFrame:
+    """The same through an equi-join, whose cost doesn't grow with the number of terms.
+
+    A token lies within a word. So each distinct word is taken apart into its pieces of the lengths that tokens have, and
+    pieces meet tokens; a term is sought only in rows with a word that holds its rarest token, and compared there.
+    """
+    spark = rows.sparkSession
+    split = [(t, tokens, patterns.phrase_pattern(tokens)) for t in terms for tokens in [text.tokens_of(t)] if tokens]
+    listed = spark.createDataFrame(split, "term string, tokens array<string>, pattern string")
+    lengths = sorted({len(k) for _, tokens, _ in split for k in tokens})
+    held = written_once(rows.select(F.struct(*rows.columns).alias("_r"), body.alias("_body"))
+                        .withColumn("_row", F.monotonically_increasing_id()), "texts")
+    spoken = held.select("_row", F.explode(F.array_distinct(F.split("_body", r"\s+"))).alias("word")).where("word <> ''")
+    words = written_once(spoken.groupBy("word").agg(F.count("*").alias("n")), "words")
+    none = F.array().cast("array<string>")
+    pieces = F.transform(F.array(*map(F.lit, lengths)), lambda k: F.when(
+        F.length("word") >= k, F.transform(F.sequence(F.lit(1), F.length("word") - k + 1), lambda i: F.substring("word", i, k))).otherwise(none))
+    tokens = listed.select(F.explode("tokens").alias("token")).distinct()
+    holders = written_once(attach(words.select("word", "n", F.explode(F.array_distinct(F.flatten(pieces))).alias("token")),
+                                  tokens, ["token"], "inner"), "holders")
+    seen = holders.groupBy("token").agg(F.sum("n").alias("_rows"))
+    rarest = (listed.select("*", F.explode(F.array_distinct("tokens")).alias("token")).join(seen, "token")
+              .groupBy("term", "tokens", "pattern").agg(F.min_by("token", F.struct("_rows", "token")).alias("token"), F.count("*").alias("_n"))
+              .where(F.col("_n") == F.size(F.array_distinct("tokens"))).drop("_n"))
+    rarest = written_once(rarest, "rarest")
+    # A word holds no more tokens than it has pieces.
+    led = (holders.join(rarest.select("token").distinct(), "token", "left_semi")
+           .groupBy("word").agg(F.collect_set("token").alias("_tokens")))
+    met = attach(spoken, led, ["word"], "inner").select("_row", F.explode("_tokens").alias("token")).distinct()
+    tried = met.join(rarest, "token").join(held, "_row").where(F.forall("tokens", lambda k: F.contains("_body", k)))
+    return tried.select("_r.*", "term", F.rlike("_body", F.col("pattern")).alias("whole"))
+
+
+def hits(rows: DataFrame, body: Column, terms: Sequence[str]) -> DataFrame:
+    """Every row with each term it holds (``term``), and whether as a phrase of whole words (``whole``)."""
+    terms = list(dict.fromkeys(terms))
+    return (_scanned if len(terms) <= SCANNED_TERMS else _by_words)(rows, body, terms)
+
+
+def _searched(lots: DataFrame, scope: Sequence[str]) -> tuple[DataFrame, Column]:
+    keep = [c for c in ("buckets",) if c in lots.columns]
+    return lots.select(*scope, "lot_number", *keep, all_text(lots.columns).alias("_text")), F.col("_text")
+
+
 def term_hits(lots: DataFrame, terms: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
     """(lot, term, whole) for every match; ``whole`` marks a whole-word phrase."""
-    keep = [c for c in ("buckets",) if c in lots.columns]
-    found = text.let(all_text(lots.columns), lambda body: found_terms(body, terms))
-    return (lots.select(*scope, "lot_number", *keep, F.explode(found).alias("_t"))
-            .select(*scope, "lot_number", *keep, "_t.*"))
+    return hits(*_searched(lots, scope), terms).drop("_text")
+
+
+def term_hits_scanned(lots: DataFrame, terms: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+    return _scanned(*_searched(lots, scope), terms).drop("_text")
+
+
+def term_hits_by_words(lots: DataFrame, terms: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+    return _by_words(*_searched(lots, scope), terms).drop("_text")
 
 
 def legend_counts(lots: DataFrame, terms: DataFrame, names: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
@@ -54,10 +114,9 @@ def term_stats(lots: DataFrame, history: DataFrame, terms: Sequence[str]) -> Dat
         F.count("*").alias("now"), F.count_if(F.size("buckets") == 0).alias("missed"),
         F.count_if("whole").alias("whole")))
     titles = history.select("period", "title").distinct()
-    found = text.let(text.fold_text(F.col("title")), lambda body: found_terms(body, terms))
-    seen = (titles.select("period", F.explode(found).alias("_t"))
-            .select("period", "_t.term").distinct().groupBy("term").agg(F.count("*").alias("weeks")))
-    names = spark.createDataFrame([(t,) for t in terms], "term string")
+    seen = (hits(titles, text.fold_text(F.col("title")), terms)
+            .select("period", "term").distinct().groupBy("term").agg(F.count("*").alias("weeks")))
+    names = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = names.join(now, "term", "left").join(seen, "term", "left").select(
         "term", zero("weeks"), zero("now"), zero("missed"), zero("whole"))

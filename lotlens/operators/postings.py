@@ -5,7 +5,7 @@ Lots are searched by folded fields. What repeats is the words, so the index is o
 * ``words``: word_id (the word's place in their order) and word;
 * ``grams``: for each trigram the words that hold it, word_ids sorted and delta-coded in blocks, by gram_part;
 * ``cuts``: for each word of bounded length what is left with up to MOST_CUTS letters taken out, by cut_part;
-* ``lots``: word_id, field and lot, by word_band.
+* ``lots``: word_id, field and lot, by word_band (from ``spoken``, the same with the words themselves).
 
 ``gram_part``, ``cut_part`` and ``word_band`` are partition columns. A search knows its trigrams and deletions beforehand,
 so it reads the parts that can hold them and nothing else; candidates are then compared with the token itself, so the
@@ -32,7 +32,7 @@ FIELDS = ("title", "subcategory", "lot_number", "description", "category_path")
 #: Fields whose words a typo-tolerant search compares; the others are matched exactly.
 SHORT = FIELDS[:3]
 PARTS, BLOCK = 64, 512
-#: A word is found by its deletions up to this many edits; longer tokens, which may have more, by their trigrams' words.
+#: A word is found by its deletions up to this many edits; tokens that may have more are compared with every distinct word.
 MOST_CUTS, CUT_LETTERS = 2, 24
 
 
@@ -78,7 +78,8 @@ def build(lots: DataFrame, key: Sequence[str] = ("lot_number",), path: str | Non
     # Two equal columns would clash: a lot's key is kept as one struct.
     held = lots.select(F.struct(*key).alias("lot"), F.explode(_fields(lots)).alias("f"))
     spoken = held.select("lot", "f.field", F.explode(F.array_distinct(F.split("f.body", r"\s+"))).alias("word")).where("word <> ''")
-    spoken = written_once(spoken, "spoken")
+    spoken.write.parquet(f"{path}/spoken")
+    spoken = spark.read.parquet(f"{path}/spoken")
     (positions(spoken.select("word").distinct(), [F.col("word")], "word_id").select("word_id", "word").write.parquet(f"{path}/words"))
     words = spark.read.parquet(f"{path}/words")
 
@@ -109,10 +110,14 @@ class Index:
         self.spark, self.path, self.parts = spark, path, parts
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        # Types are given, as a table by parts has no file if it has no row.
+        lot = self.spark.read.parquet(f"{self.path}/spoken").schema["lot"].dataType.simpleString()
+        kinds = {"words": "word_id bigint, word string", "grams": "gram string, block bigint, gaps array<bigint>, gram_part int",
+                 "cuts": "word_id bigint, cut string, cut_part int", "lots": f"word_id bigint, field int, lot {lot}, word_band int"}
+        return self.spark.read.schema(kinds[name]).parquet(f"{self.path}/{name}")
 
     def _holding(self, token: str) -> DataFrame:
-        """Words that contain a token: those of its rarest trigrams that all its trigrams share, then compared."""
+        """Words that contain a token: those in the lists of all its trigrams, then compared; short tokens try every word."""
         words = self._read("words")
         grams = sorted({token[i:i + 3] for i in range(len(token) - 2)})
         if not grams:

@@ -85,12 +85,13 @@ def search_in_view(view: DataFrame, query: str, fuzzy: bool = False) -> DataFram
     return search(view, query, fuzzy) if query.strip() else view
 
 
-def resolve_lot_refs(refs: DataFrame, lots: DataFrame, in_view: DataFrame | None = None) -> DataFrame:
+def resolve_lot_refs(refs: DataFrame, lots: DataFrame, in_view: DataFrame | None = None, scope: Sequence[str] = ()) -> DataFrame:
     """Resolve spoken references ('1042', 's1042', 'm 1042') to one lot each.
 
     Without a letter the candidates are S-, M- and the bare number, in that order;
     a lot of the current view wins over one outside it. References that name no lot
-    stay, without one.
+    stay, without one. Lot numbers are reused, so a reference is to a lot of its own
+    ``scope``: all three tables carry those columns.
     """
     spoken = F.upper(text.strip(F.col("ref")))
     pattern = r"^([SM])?[^A-Z0-9_]*(\d+)$"
@@ -99,13 +100,15 @@ def resolve_lot_refs(refs: DataFrame, lots: DataFrame, in_view: DataFrame | None
     options = (F.when(digits == "", F.array().cast("array<string>"))
                .when(letter != "", F.array(F.concat_ws("-", letter, digits)))
                .otherwise(F.array(F.concat(F.lit("S-"), digits), F.concat(F.lit("M-"), digits), digits)))
-    asked = refs.select("ref").distinct().select("ref", F.posexplode(options).alias("_pos", "lot_number"))
-    found = asked.join(lots.select("lot_number").distinct(), "lot_number")
+    key = [*scope, "lot_number"]
+    asked = refs.select(*scope, "ref").distinct()
+    offered = asked.select(*scope, "ref", F.posexplode(options).alias("_pos", "lot_number"))
+    found = offered.join(lots.select(*key).distinct(), key)
     if in_view is not None:
-        seen = in_view.select("lot_number", F.lit(0).alias("_out")).distinct()
-        found = found.join(seen, "lot_number", "left")
+        seen = in_view.select(*key, F.lit(0).alias("_out")).distinct()
+        found = found.join(seen, key, "left")
     else:
         found = found.withColumn("_out", F.lit(0))
     rank = F.struct(F.coalesce("_out", F.lit(1)), "_pos")
-    best = found.groupBy("ref").agg(F.min_by("lot_number", rank).alias("lot_number"))
-    return refs.select("ref").distinct().join(best, "ref", "left")
+    best = found.groupBy(*scope, "ref").agg(F.min_by("lot_number", rank).alias("lot_number"))
+    return asked.join(best, [*scope, "ref"], "left")
