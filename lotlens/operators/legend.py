@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns, text, vocab
 from .common import written_once
 from .search import all_text
-from .skew import attach
+from .words import texts_with
 
 
 def found_terms(body: Column, terms: Sequence[str]) -> Column:
@@ -40,36 +40,12 @@ def _scanned(rows: DataFrame, body: Column, terms: Sequence[str]) -> DataFrame:
 
 
 def _by_words(rows: DataFrame, body: Column, terms: Sequence[str]) -> DataFrame:
-    """The same through an equi-join, whose cost doesn't grow with the number of terms.
-
-    A token lies within a word. So each distinct word is taken apart into its pieces of the lengths that tokens have, and
-    pieces meet tokens; a term is sought only in rows with a word that holds its rarest token, and compared there.
-    """
-    spark = rows.sparkSession
+    """The same through an equi-join, whose cost doesn't grow with the number of terms."""
     split = [(t, tokens, patterns.phrase_pattern(tokens)) for t in terms for tokens in [text.tokens_of(t)] if tokens]
-    listed = spark.createDataFrame(split, "term string, tokens array<string>, pattern string")
-    lengths = sorted({len(k) for _, tokens, _ in split for k in tokens})
     held = written_once(rows.select(F.struct(*rows.columns).alias("_r"), body.alias("_body"))
                         .withColumn("_row", F.monotonically_increasing_id()), "texts")
-    spoken = held.select("_row", F.explode(F.array_distinct(F.split("_body", r"\s+"))).alias("word")).where("word <> ''")
-    words = written_once(spoken.groupBy("word").agg(F.count("*").alias("n")), "words")
-    none = F.array().cast("array<string>")
-    pieces = F.transform(F.array(*map(F.lit, lengths)), lambda k: F.when(
-        F.length("word") >= k, F.transform(F.sequence(F.lit(1), F.length("word") - k + 1), lambda i: F.substring("word", i, k))).otherwise(none))
-    tokens = listed.select(F.explode("tokens").alias("token")).distinct()
-    holders = written_once(attach(words.select("word", "n", F.explode(F.array_distinct(F.flatten(pieces))).alias("token")),
-                                  tokens, ["token"], "inner"), "holders")
-    seen = holders.groupBy("token").agg(F.sum("n").alias("_rows"))
-    rarest = (listed.select("*", F.explode(F.array_distinct("tokens")).alias("token")).join(seen, "token")
-              .groupBy("term", "tokens", "pattern").agg(F.min_by("token", F.struct("_rows", "token")).alias("token"), F.count("*").alias("_n"))
-              .where(F.col("_n") == F.size(F.array_distinct("tokens"))).drop("_n"))
-    rarest = written_once(rarest, "rarest")
-    # A word holds no more tokens than it has pieces.
-    led = (holders.join(rarest.select("token").distinct(), "token", "left_semi")
-           .groupBy("word").agg(F.collect_set("token").alias("_tokens")))
-    met = attach(spoken, led, ["word"], "inner").select("_row", F.explode("_tokens").alias("token")).distinct()
-    tried = met.join(rarest, "token").join(held, "_row").where(F.forall("tokens", lambda k: F.contains("_body", k)))
-    return tried.select("_r.*", "term", F.rlike("_body", F.col("pattern")).alias("whole"))
+    found = texts_with(held.select("_row", "_body"), split).select("_row", "term", F.rlike("_body", F.col("pattern")).alias("whole"))
+    return found.join(held.select("_row", "_r"), "_row").select("_r.*", "term", "whole")
 
 
 def hits(rows: DataFrame, body: Column, terms: Sequence[str]) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Lexical shortlist: every lot against every curated bucket, without a join.
+"""Lexical shortlist: every lot against every curated bucket.
 
-The bucket rules are configuration (bounded in sources.config), so each bucket
-becomes one literal pattern evaluated inside the scan: cost is linear in the
-rows and nothing is shuffled.
+Up to SCANNED_SEEDS seeds each bucket becomes one literal pattern evaluated
+inside the scan, and nothing is shuffled. Longer lists meet the lots through the
+words that hold their rarest token, so that a lot is tried against few seeds
+however many there are.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, text, vocab
 from ..sources.config import Bucket, Interest
-from .common import keep, share
+from .common import keep, share, written_once
+from .words import texts_with
 
+#: Up to so many seeds are patterns of the scan.
+SCANNED_SEEDS = 4_000
 HAYSTACK = ("title", "model", "size", "notes", "category")
 
 
@@ -60,12 +64,22 @@ def _hits(names: Sequence[str], columns: Sequence[str]) -> Column:
     return F.array_compact(F.array(*found)) if found else F.array().cast(HITS)
 
 
+def _configured(buckets: Sequence[Bucket], interests: Sequence[Interest]) -> dict[str, list[Bucket]]:
+    pseudo = [i.as_rule() for i in interests]
+    return {"cand": [b for b in buckets if b.configured], "profile": [r for r in pseudo if r.configured]}
+
+
 def shortlist_lots(lots: DataFrame, buckets: Sequence[Bucket], interests: Sequence[Interest] = (),
                    gate: bool = True) -> DataFrame:
     """Every lot with ``cand`` (buckets hit) and ``profile`` (interests hit)."""
+    rules = _configured(buckets, interests)
+    seeds = sum(len(r.seeds) + len(r.exclude) for listed in rules.values() for r in listed)
+    return (shortlist_scanned if seeds <= SCANNED_SEEDS else shortlist_by_words)(lots, buckets, interests, gate)
+
+
+def shortlist_scanned(lots: DataFrame, buckets: Sequence[Bucket], interests: Sequence[Interest] = (), gate: bool = True) -> DataFrame:
     category = F.col("category") if "category" in lots.columns else F.lit("")
-    pseudo = [i.as_rule() for i in interests]
-    rules = {"cand": [b for b in buckets if b.configured], "profile": [r for r in pseudo if r.configured]}
+    rules = _configured(buckets, interests)
     condition = F.col("condition") if "condition" in lots.columns else F.lit(None).cast("string")
     prepared = lots.select("*", haystack(lots.columns).alias("_body"), crumb_segments(category).alias("_crumbs"))
     # One column per rule, so that each pattern runs in generated code exactly once.
@@ -77,6 +91,63 @@ def shortlist_lots(lots: DataFrame, buckets: Sequence[Bucket], interests: Sequen
         for kind, listed in rules.items()])
 
 
+def _rows_of_rules(rules: dict[str, list[Bucket]]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """(kind, rule, veto, seed, pattern), (kind, rule, path, place), and (kind, rule, name, conditions) of all rules."""
+    seeds, paths, names = [], [], []
+    for kind, listed in rules.items():
+        for i, r in enumerate(listed):
+            names.append((kind, i, r.name, list(r.condition_in)))
+            for veto, some in ((False, r.seeds), (True, r.exclude)):
+                for seed in dict.fromkeys(s for s in some if s and s.strip()):
+                    seeds.append((kind, i, veto, patterns.fold_hyphens(seed.strip()), patterns.shortlist_pattern([seed])))
+            for place, prefix in enumerate(r.categories):
+                paths.append((kind, i, vocab.CRUMB.join(patterns.fold_hyphens(s.strip()) for s in prefix.split(vocab.CRUMB)), place))
+    return seeds, paths, names
+
+
+def shortlist_by_words(lots: DataFrame, buckets: Sequence[Bucket], interests: Sequence[Interest] = (), gate: bool = True) -> DataFrame:
+    """The same for any number of seeds; rules are tables here.
+
+    What a pattern finds first is the leftmost seed, of several there the longest; so each seed's first place is found by
+    itself, and the least (place, longest) of a rule's seeds is its reason.
+    """
+    spark = lots.sparkSession
+    category = F.col("category") if "category" in lots.columns else F.lit("")
+    condition = F.col("condition") if "condition" in lots.columns else F.lit(None).cast("string")
+    seeds, paths, names = _rows_of_rules(_configured(buckets, interests))
+    table = spark.createDataFrame(names, "kind string, rule int, bucket string, conditions array<string>")
+    held = written_once(lots.select(F.struct(*lots.columns).alias("_r"), haystack(lots.columns).alias("_body"),
+                                    crumb_segments(category).alias("_crumbs"), condition.alias("_condition"))
+                        .withColumn("_row", F.monotonically_increasing_id()), "lots")
+    rules = spark.createDataFrame(seeds, "kind string, rule int, veto boolean, seed string, pattern string")
+    distinct = list(dict.fromkeys((s, p) for _, _, _, s, p in seeds))
+    tried = texts_with(held.select("_row", "_body"), [(p, s.split(), p) for s, p in distinct])
+    placed = (tried.withColumn("at", F.regexp_instr("_body", F.col("pattern"))).where("at > 0")
+              .select("_row", "pattern", "at").join(rules, "pattern"))
+    by_seed = placed.groupBy("_row", "kind", "rule").agg(
+        F.bool_or("veto").alias("veto"),
+        F.min_by("seed", F.when(~F.col("veto"), F.struct("at", (-F.length("seed")).alias("n"), "seed"))).alias("seed"))
+    # A lot has as many prefixes as its path is long.
+    inside = held.select("_row", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_crumbs"), F.lit(1))), lambda n: F.array_join(
+        F.slice("_crumbs", F.lit(1), n), vocab.CRUMB))).alias("path"))
+    under = (inside.join(spark.createDataFrame(paths, "kind string, rule int, path string, place int"), "path")
+             .groupBy("_row", "kind", "rule").agg(F.min_by("path", "place").alias("path")))
+    met = by_seed.join(under, ["_row", "kind", "rule"], "full").withColumn("reason", F.coalesce("seed", "path"))
+    met = met.where(F.col("reason").isNotNull() & ~F.coalesce("veto", F.lit(False))).join(table, ["kind", "rule"])
+    if gate:
+        mine = held.select("_row", "_condition")
+        open_to = F.col("_condition").isNull() | (F.size("conditions") == 0) | F.array_contains("conditions", F.col("_condition"))
+        met = met.join(mine, "_row").where(open_to)
+    entry = F.struct("rule", "bucket", "reason")
+    list_of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, entry))),
+                                    lambda e: F.struct(e["bucket"].alias("bucket"), e["reason"].alias("reason"))).alias(k)
+    # As many entries as there are rules, at most.
+    found = met.groupBy("_row").agg(list_of("cand"), list_of("profile"))
+    none = F.array().cast(HITS)
+    return (held.select("_row", "_r").join(found, "_row", "left")
+            .select("_r.*", F.coalesce("cand", none).alias("cand"), F.coalesce("profile", none).alias("profile")))
+
+
 def admitted(hits: str, condition: Column, rules: Sequence[Bucket]) -> Column:
     """Of hits found without the condition gate those that pass it; the rules are not matched again."""
     gated = {r.name: r.condition_in for r in rules if r.condition_in}
