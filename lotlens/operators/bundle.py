@@ -14,15 +14,16 @@ TABLES = ("lots", "bucket_groups", "groups", "scrapes", "sale_history")
 
 
 def bundle_lots(raw: DataFrame, label_rows: DataFrame, valuations: DataFrame, index: DataFrame, stamp: Column,
-                scope: Sequence[str] = ()) -> DataFrame:
+                scope: Sequence[str] = (), runs: DataFrame | None = None) -> DataFrame:
     """One output row per labelled lot, with its valuation, sale keys and run number.
 
-    ``stamp`` reads the first-seen column of ``raw``. Labels that name no lot are left out.
+    ``stamp`` reads the first-seen column of ``raw``; ``runs`` spares numbering its runs where that was done already.
+    Labels that name no lot are left out.
     """
     merged = labels.join_labels_raw(label_rows, raw, scope)
     valued = labels.join_resale(merged, valuations, scope)
     keyed = sales.join_sale_history(valued, index)
-    runs = scrapes.run_stamps(raw, stamp, scope)
+    runs = scrapes.run_stamps(raw, stamp, scope) if runs is None else runs
     numbered = scrapes.assign_scrapes(keyed, runs, stamp, scope)
     return labels.output_lots(numbered)
 
@@ -31,10 +32,10 @@ def bundle_tables(raw: DataFrame, label_rows: DataFrame, valuations: DataFrame,
                   stamp: Column, scope: Sequence[str] = ()) -> dict[str, DataFrame]:
     """The five tables of a bundle; the history and the lots are written once, as every table reads them."""
     index = written_once(index, "index")
-    lots = written_once(bundle_lots(raw, label_rows, valuations, index, stamp, scope), "bundle_lots")
+    runs = scrapes.run_stamps(raw, stamp, scope)
+    lots = written_once(bundle_lots(raw, label_rows, valuations, index, stamp, scope, runs), "bundle_lots")
     used = labels.attach_bucket_groups(lots, bucket_dim)
     groups = used.groupBy("bucket_group").agg(F.min("group_pos").alias("group_pos"), F.sum("uses").alias("uses"))
-    runs = scrapes.run_stamps(raw, stamp, scope)
     numbered = lots.where("scrape is not null").select(*scope, "scrape")
     history = sales.sale_index_used(sales.with_product_key(lots), index)
     return {"lots": lots, "bucket_groups": used, "groups": groups,
