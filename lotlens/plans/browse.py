@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import browse as view
 from ..operators import chunks, facets, postings, scrapes, search
-from ..operators.common import positions
+from ..operators.common import positions, written_once
 from . import shapes
 from .registry import Tables, query
 from .shapes import SCOPE, joined
@@ -187,34 +188,82 @@ def resolve_lot_refs(t: Tables):
 
 # --- facets ---------------------------------------------------------------------------------------
 
-@query("category_tree", """
+_TREE = """
 with nodes as (select unnest(list_transform(range(0, 4), lambda i: split(category, ' - ')[1:i])) as path from lots),
 counted as (select path, count(*) as lots from nodes group by 1)
 select array_to_string(path, '|') as path, len(path) as depth, path[-1] as name, lots,
-  row_number() over (partition by len(path), path[1:len(path) - 1] order by lots desc, path[-1]) as sibling_rank from counted""")
+  row_number() over (partition by len(path), path[1:len(path) - 1] order by lots desc, path[-1]) as sibling_rank from counted"""
+
+
+@query("category_tree", _TREE)
 def category_tree(t: Tables):
     tree = facets.category_tree(shapes.lots(t))
     return tree.select(joined("path"), F.col("depth").cast("bigint").alias("depth"), "name", "lots", "sibling_rank")
 
 
-@query("label_nav", """
+_NAV = """
 with rows as (select auction_id, lot_number, nullif(subtype, '') as subtype, unnest(split(buckets_csv, ',')) as bucket from published where is_flagged and buckets_csv <> ''),
 grouped as (select r.*, coalesce(d.bucket_group, 'Other') as bucket_group, coalesce(d.group_pos, 2147483647) as group_pos from rows r left join dim_buckets d using (bucket))
 select 1 as level, group_pos, bucket_group, null as bucket, null as subtype, count(distinct (auction_id, lot_number)) as lots from grouped group by all
 union all select 2, group_pos, bucket_group, bucket, null, count(distinct (auction_id, lot_number)) from grouped group by all
-union all select 3, group_pos, bucket_group, bucket, subtype, count(distinct (auction_id, lot_number)) from grouped where subtype is not null group by all""")
+union all select 3, group_pos, bucket_group, bucket, subtype, count(distinct (auction_id, lot_number)) from grouped where subtype is not null group by all"""
+
+
+@query("label_nav", _NAV)
 def label_nav(t: Tables):
     return facets.label_nav(shapes.published(t), shapes.bucket_dim(t), SCOPE)
 
 
-@query("available_conditions", """
+_CONDITIONS = """
 select condition, condition <> 'Mystery Grade' as is_known, row_number() over (order by case condition when 'Brand New - Sealed' then 1
   when 'Excellent' then 5 when 'Good' then 6 when 'For Parts Only' then 10 else 12 end, condition) as position
-from (select distinct condition from lots where condition is not null) c""")
+from (select distinct condition from lots where condition is not null) c"""
+
+
+@query("available_conditions", _CONDITIONS)
 def available_conditions(t: Tables):
     return facets.available_conditions(t["lots"])
 
 
+def _changed(now: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lots as they were, and the changed ones before and after: of every ten lots one came, one went, one moved."""
+    kind = F.pmod(F.xxhash64("auction_id", "lot_number"), F.lit(10))
+    moved = now.where(kind == 2)
+    for name, value in (("category_path", F.array(F.lit("OLD"), F.element_at("category_path", 1))), ("condition", F.lit("Unsorted")),
+                        ("buckets", F.array(F.lit("Rings"), F.lit("Unheard of"))), ("subtype", F.lit("kept")), ("is_flagged", F.lit(True))):
+        if name in now.columns:
+            moved = moved.withColumn(name, value)
+    lost = now.where(kind == 1).withColumn("lot_number", F.concat(F.lit("X-"), "lot_number"))
+    before = moved.unionByName(lost)
+    return now.where(kind > 2).unionByName(now.where(kind == 1)).unionByName(before), before, now.where(kind.isin(0, 2))
+
+
+def _kept_counts(t: Tables, now: DataFrame, nodes) -> DataFrame:
+    """Counts of the lots as they were, written as a viewer keeps them, then brought up to date from the changes."""
+    then, before, after = _changed(now)
+    counts = written_once(facets.counted(nodes(then)), "counts")
+    return facets.recounted(counts, nodes(before), nodes(after))
+
+
+@query("category_tree_kept", _TREE)
+def category_tree_kept(t: Tables):
+    tree = facets.ranked_tree(_kept_counts(t, shapes.lots(t), facets.tree_nodes))
+    return tree.select(joined("path"), F.col("depth").cast("bigint").alias("depth"), "name", "lots", "sibling_rank")
+
+
+@query("label_nav_kept", _NAV)
+def label_nav_kept(t: Tables):
+    dim = shapes.bucket_dim(t)
+    now = shapes.published(t).select("auction_id", "lot_number", "is_flagged", "buckets", "subtype")
+    return _kept_counts(t, now, lambda lots: facets.nav_nodes(lots, dim, SCOPE))
+
+
+@query("available_conditions_kept", _CONDITIONS)
+def available_conditions_kept(t: Tables):
+    now = t["lots"].select("auction_id", "lot_number", "condition")
+    return facets.listed_conditions(_kept_counts(t, now, facets.condition_nodes).select("condition"))
+
+
 @query("fidelity_report", """
 select count(*) as lots, count(*) filter (title <> '') as titled, count(*) filter (thumb_url <> '') as imaged, count(*) as categorised, count(condition) as conditioned from published""")
 def fidelity_report(t: Tables):

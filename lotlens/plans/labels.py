@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..operators import kept
 from ..operators import labels as lab
 from ..operators import products as prod
 from ..operators.common import latest
+from ..session import shared_dir
 from . import shapes
 from .registry import Tables, query
 from .shapes import SCOPE, joined
@@ -151,7 +153,7 @@ upserted as (
 """
 
 
-def _upserted(t: Tables):
+def _upsert_sides(t: Tables):
     old = t["flags"].where("lot_number like 'S-%'").select("lot_number", "_ord", F.col("buckets_csv").alias("buckets"))
     keyless = "functional = 'No' and damaged is null and status = 'P' and condition = 'Good'"
     new = (t["lots"].where("damaged = 'Yes' or functional = 'No'")
@@ -159,7 +161,11 @@ def _upserted(t: Tables):
            .select(F.when(F.expr(keyless), "").otherwise(F.col("lot_number")).alias("lot_number"),
                    (F.col("id") + F.col("k") * 1000000).alias("_ord"),
                    F.concat("status", F.lit("-"), F.col("k").cast("string")).alias("buckets")))
-    return lab.upsert_labels(old, new)
+    return old, new
+
+
+def _upserted(t: Tables):
+    return lab.upsert_labels(*_upsert_sides(t))
 
 
 @query("upsert_labels", _UPSERT + "select * from upserted")
@@ -182,6 +188,29 @@ def fold_layers(t: Tables):
     return out.select("auction_id", "lot_number", joined("buckets"), "is_flagged", "layer_no")
 
 
+@query("upsert_kept", _UPSERT + "select * from upserted")
+def upsert_kept(t: Tables):
+    """The same rows from a kept table, of which the upsert rewrites the buckets that it touches."""
+    old, new = _upsert_sides(t)
+    path = shared_dir(t.spark, "kept-labels")
+    kept.keep_labels(old, path, buckets=8)
+    kept.upsert(new, path)
+    return kept.upserted(t.spark, path).select("lot_number", "buckets", "change")
+
+
+@query("fold_kept", """
+select auction_id, lot_number, buckets_csv as buckets, is_flagged, layer_no from label_layers
+qualify row_number() over (partition by auction_id, lot_number order by layer_no desc, _ord desc) = 1
+  and min(layer_no) over (partition by auction_id, lot_number) = 0""")
+def fold_kept(t: Tables):
+    """Layers added one after the other to a kept table, whose buckets are settled on the way."""
+    rows, path = shapes.layers(t), shared_dir(t.spark, "kept-layers")
+    kept.keep_layers(rows.where("layer_no = 0"), path, SCOPE, groups=4, buckets=2)
+    kept.add_layer(rows.where("layer_no = 1"), path)
+    kept.add_layer(rows.where("layer_no > 1"), path, most=2)
+    return kept.folded(t.spark, path).select("auction_id", "lot_number", joined("buckets"), "is_flagged", "layer_no")
+
+
 @query("layer_report", """
 select y.layer_no, count(b.lot_number) as applied, count(*) - count(b.lot_number) as dropped
 from label_layers y left join label_layers b on b.lot_number = y.lot_number and b.auction_id = y.auction_id and b.layer_no = 0
@@ -195,21 +224,33 @@ with stacked as (
   select lot_number, auction_id, 0 as layer_no, id as _ord, retail as est_low from lots where condition = 'Good'
   union all select lot_number, auction_id, 1, id, retail * 2 from lots where damaged = 'Yes'
   union all select lot_number, auction_id, 2, id, null from lots where damaged = 'Yes' and priority = '1-URGENT' and condition = 'Excellent')
-"""
+select lot_number, est_low, layer_no from stacked where lot_number in (select lot_number from lots where status <> 'P')
+qualify row_number() over (partition by auction_id, lot_number order by layer_no desc, _ord desc) = 1"""
 
 
-@query("fold_resale", _FOLD_VALUES + """
-select lot_number, est_low, layer_no from stacked where lot_number in (select lot_number from lots where status <> 'P')
-qualify row_number() over (partition by auction_id, lot_number order by layer_no desc, _ord desc) = 1""")
-def fold_resale(t: Tables):
+def _valuation_layers(t: Tables):
     lots = t["lots"]
     row = lambda df, price: df.select("auction_id", "lot_number", F.col("id").alias("_ord"), price.alias("est_low"))
     base = row(lots.where("condition = 'Good'"), F.col("retail"))
     first = row(lots.where("damaged = 'Yes'"), F.col("retail") * 2).withColumn("layer_no", F.lit(1))
     second = row(lots.where("damaged = 'Yes' and priority = '1-URGENT' and condition = 'Excellent'"),
                  F.lit(None).cast("double")).withColumn("layer_no", F.lit(2))
-    out = lab.fold_valuations(base, first.unionByName(second), lots.where("status <> 'P'"), SCOPE)
-    return out.select("lot_number", "est_low", "layer_no")
+    return base, first.unionByName(second), lots.where("status <> 'P'")
+
+
+@query("fold_resale", _FOLD_VALUES)
+def fold_resale(t: Tables):
+    return lab.fold_valuations(*_valuation_layers(t), SCOPE).select("lot_number", "est_low", "layer_no")
+
+
+@query("fold_resale_kept", _FOLD_VALUES)
+def fold_resale_kept(t: Tables):
+    """Valuations kept in buckets, to which the layers are appended."""
+    base, layers, lots = _valuation_layers(t)
+    path = shared_dir(t.spark, "kept-valuations")
+    kept.keep_layers(base, path, SCOPE, groups=4, buckets=2)
+    kept.add_layer(layers, path)
+    return kept.folded_valuations(t.spark, path, lots).select("lot_number", "est_low", "layer_no")
 
 
 # --- products -----------------------------------------------------------------------------------

@@ -5,22 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.gates import GateError, require
+from . import versions
 
-_MANIFEST = "run_no bigint, run string, tables array<string>"
-
-
-def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], _MANIFEST)
+_MANIFEST = "run string, tables array<string>"
 
 
 def write_tables(tables: dict[str, DataFrame], path: str,
@@ -31,7 +22,7 @@ def write_tables(tables: dict[str, DataFrame], path: str,
     Tables land in a folder of their own run. Gates are functions of the written
     tables, so what is checked is what is read later; one that fails leaves the
     run unpublished and readers with the one before. Readers follow the manifest,
-    whose one-row append is the last step; runs are counted, not timed.
+    whose next number is taken by one rename; runs are counted, not timed.
     """
     spark = next(iter(tables.values())).sparkSession
     run = uuid.uuid4().hex
@@ -44,16 +35,19 @@ def write_tables(tables: dict[str, DataFrame], path: str,
     written = {name: spark.read.schema(df.schema).parquet(f"{path}/runs/{run}/{name}") for name, df in tables.items()}
     for name, violations in (gates or {}).items():
         require(violations(written), name)
-    last = _manifest(spark, path).agg(F.coalesce(F.max("run_no"), F.lit(0))).first()[0]
-    (spark.range(1).select(F.lit(last + 1).cast("bigint").alias("run_no"), F.lit(run).alias("run"),
-                           F.array(*[F.lit(n) for n in tables]).alias("tables"))
-     .coalesce(1).write.mode("append").parquet(f"{path}/manifest"))
+    entry = spark.range(1).select(F.lit(run).alias("run"), F.array(*[F.lit(n) for n in tables]).alias("tables"))
+    while True:
+        try:
+            versions.publish(entry, path, versions.last_version(spark, path, _MANIFEST) + 1)
+            break
+        except versions.Conflict:
+            continue  # another run took the number; this one comes after it
     return run
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The table as of the last published run."""
-    last = _manifest(spark, path).orderBy(F.desc("run_no"), "run").head()
+    last = versions.published(spark, path, _MANIFEST).orderBy(F.desc("version")).head()
     if last is None or name not in last["tables"]:
         raise GateError(f"{name} was never published under {path}")
     return spark.read.parquet(f"{path}/runs/{last['run']}/{name}")
