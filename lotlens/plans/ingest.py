@@ -203,15 +203,17 @@ def field_coverage(t: Tables):
     return facets.field_coverage(slim, ["lot_number", "title", "condition", "category", "model", "damaged"]).select("field", "filled")
 
 
-@query("ingest_stream", """
+_STREAM = """
 select auction_id, lot_number, case when priority = '3-MEDIUM' then concat(date, '-02-02T00:00:00+00:00') else concat(date, '-01-01T00:00:00+00:00') end as first_seen,
   priority = '3-MEDIUM' as is_new, coalesce(nullif(arg_max(b, (layer_no, o)), ''), '') as buckets
 from (select lots.*, coalesce(y.layer_no, 0) as layer_no, coalesce(y._ord, 0) as o, coalesce(y.buckets_csv, '') as b
       from lots left join label_layers y on y.lot_number = lots.lot_number and y.auction_id = lots.auction_id and y.layer_no > 0
       where priority <> '5-LOW') s
-group by all""")
-def ingest_stream(t: Tables):
-    """Two snapshots of every auction arrive, each in several files and triggers."""
+group by all"""
+
+
+def _streamed(t: Tables, late: bool):
+    """Two snapshots of every auction arrive, each in several files and triggers; with ``late`` the older one comes second."""
     arrivals, state = shared_dir(t.spark, "arrivals"), shared_dir(t.spark, "state")
     item = F.struct("id", "lotNumber", "lead", "description", "featuredPicture", "pictures", "lotState", "category")
     lots = t["lots"].select("id", "priority", "date")
@@ -222,7 +224,7 @@ def ingest_stream(t: Tables):
     def layers(session):
         return (shapes.layers(Tables(session, folder)).where("layer_no > 0"))
 
-    for present, stamp in sets:
+    for present, stamp in reversed(sets) if late else sets:
         (present.groupBy("auction_id", F.concat("date", F.lit(stamp)).alias("scraped_at"), F.floor(F.col("id") / 500).alias("page"))
          .agg(F.collect_list(item).alias("items")).drop("page").repartition(2).write.mode("append").json(arrivals))
         stream.start(t.spark, arrivals, state, layers, files_per_batch=1).awaitTermination()
@@ -234,3 +236,11 @@ def ingest_stream(t: Tables):
             .select(F.col("auction_id").cast("bigint").alias("auction_id"), "lot_number", "first_seen", "is_new", shapes.joined("buckets")))
 
 
+@query("ingest_stream", _STREAM)
+def ingest_stream(t: Tables):
+    return _streamed(t, late=False)
+
+
+@query("ingest_stream_late", _STREAM)
+def ingest_stream_late(t: Tables):
+    return _streamed(t, late=True)
