@@ -7,7 +7,9 @@ scope. Two parts are in one scope if they belong to one document and start at mo
 an interval join over bins of that length, and a bin holds no more parts than its characters.
 
 Positions are code points, the end is exclusive. They are the running lengths of what lies between a pattern's matches
-and of the matches themselves; running sums go by blocks, so that a text with very many matches stays cheap.
+and of the matches themselves; running sums go by blocks, and what several steps need is a column of its own, computed
+once, so that time grows with a text and its matches. Weak candidates that overlap a strong part are found in two passes over the
+sorted parts of a document, forwards and backwards.
 
 A null text is an empty one; documents without any span are reported with none. Repeated rows get a row each.
 """
@@ -15,6 +17,7 @@ A null text is an empty one; documents without any span are reported with none.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import saved, text_rows
@@ -41,47 +44,63 @@ def _within(lengths: Column) -> Column:
     return F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
 
-def _before(lengths: Column) -> Column:
-    """Sums of what stands before each element of an array of integers, block by block."""
-    last = F.greatest((F.size(lengths) - 1).cast("int"), F.lit(0)) / F.lit(_BLOCK)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(last).cast("int")),
-                         lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)))
-    sums = F.transform(blocks, _within)
-    first = _within(F.transform(sums, lambda s: F.element_at(s, -1)))
-    return F.flatten(F.transform(sums, lambda s, k: F.transform(
-        F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), lambda x: x + F.element_at(first, k + 1))))
+def _steps(pattern: str, group: int) -> Column:
+    """Lengths of what stands before each leftmost non-overlapping match (gap), of the match (n) and of its group (size).
 
-
-def _spans(kind: str, role: str, strong: bool, pattern: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches of one kind, without those whose group is too short."""
+    The last element is what follows them all; NULL without a match.
+    """
     text, regex = F.col("text"), F.lit(pattern)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    counted = F.transform(F.regexp_extract_all(text, regex, F.lit(group)) if group else found, F.length)
-    steps = F.zip_with(F.transform(F.split(text, pattern, -1), F.length), F.transform(found, F.length),
-                       lambda gap, n: F.struct(gap.alias("gap"), F.coalesce(n, F.lit(0)).alias("n")))
-    before = _before(F.transform(steps, lambda s: s["gap"] + s["n"]))
-    rows = F.zip_with(F.slice(steps, F.lit(1), F.size(found)), before,
-                      lambda s, at: F.struct((at + s["gap"]).alias("start"), (at + s["gap"] + s["n"]).alias("stop")))
-    rows = F.zip_with(F.slice(rows, F.lit(1), F.size(found)), counted, lambda r, n: F.struct(
-        F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(strong).alias("strong"),
-        r["start"].alias("start"), r["stop"].alias("stop"), n.alias("n")))
-    kept = F.transform(F.filter(rows, lambda r: r["n"] >= least), lambda r: F.struct(
-        *(r[c].alias(c) for c in ("kind", "role", "strong", "start", "stop"))))
-    none = F.array().cast(_STRONG_SPAN)
-    return F.when(text.rlike(pattern), kept).otherwise(none).alias(f"_{kind}")
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    found = F.transform(F.regexp_extract_all(text, regex, F.lit(0)), F.length)
+    counted = F.transform(F.regexp_extract_all(text, regex, F.lit(group)), F.length) if group else found
+    steps = F.zip_with(gaps, F.arrays_zip(found.alias("n"), counted.alias("size")), lambda gap, m: F.struct(
+        gap.alias("gap"), F.coalesce(m["n"], F.lit(0)).alias("n"), F.coalesce(m["size"], F.lit(-1)).alias("size")))
+    return F.when(text.rlike(pattern), steps)
+
+
+def _sums(steps: Column) -> Column:
+    """Sums of what stands before each step within its block, and of the block."""
+    last = F.floor((F.size(steps) - 1) / F.lit(_BLOCK)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: _within(
+        F.transform(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)), lambda s: s["gap"] + s["n"])))
+
+
+def _spans(steps: Column, sums: Column, kind: str, role: str, strong: bool, least: int) -> Column:
+    """The matches whose group isn't too short, with their places."""
+    earlier = _within(F.transform(sums, lambda s: F.element_at(s, -1)))
+    before = F.flatten(F.zip_with(sums, F.slice(earlier, F.lit(1), F.size(sums)), lambda s, plus: F.transform(
+        F.slice(s, F.lit(1), F.size(s) - 1), lambda x: x + plus)))
+    placed = F.zip_with(steps, before, lambda s, at: F.struct(
+        (at + s["gap"]).alias("start"), (at + s["gap"] + s["n"]).alias("stop"), s["size"].alias("size")))
+    rows = F.transform(F.filter(placed, lambda r: r["size"] >= least), lambda r: F.struct(
+        F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(strong).alias("strong"), r["start"].alias("start"), r["stop"].alias("stop")))
+    return F.coalesce(rows, F.array().cast(_STRONG_SPAN))
 
 
 def parts(docs: DataFrame) -> DataFrame:
-    """doc_id, _h, and the array ``parts`` (kind, role, strong, start, stop) of every document.
+    """doc_id, _h, and the array ``parts`` (kind, role, strong, start, stop) of every document, weak candidates last.
 
-    A weak candidate that overlaps a strong part is that part, and isn't listed again.
+    The columns between are read more than once by the next step, so they are kept and not computed again in it.
     """
-    found = text_rows(docs).select("doc_id", "_h", *(_spans(*k) for k in KINDS))
-    strong = F.concat(*(F.col(f"_{k}") for k in BASE))
-    weak = [F.filter(F.col(f"_{k}"), lambda w: ~F.exists("_all", lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"])))
-            for k in ORDER[3:]]
-    return (found.withColumn("_all", strong)
-            .select("doc_id", "_h", F.concat("_all", *weak).alias("parts")))
+    steps = text_rows(docs).select("doc_id", "_h", *(_steps(k[3], k[4]).alias(f"_{k[0]}") for k in KINDS))
+    sums = steps.select("*", *(_sums(F.col(f"_{k}")).alias(f"_sums_{k}") for k in ORDER))
+    spans = [_spans(F.col(f"_{kind}"), F.col(f"_sums_{kind}"), kind, role, strong, least) for kind, role, strong, _, _, least in KINDS]
+    return sums.select("doc_id", "_h", F.concat(*spans).alias("parts"))
+
+
+def _without_strong_ones(pool: DataFrame) -> DataFrame:
+    """Parts without weak candidates that overlap a strong part: such a candidate is that part.
+
+    A strong part that starts no later overlaps if it ends after the candidate's start, one that starts later if it does
+    before the candidate's end. A window holds the parts of one document.
+    """
+    one = W.partitionBy("doc_id", "_h")
+    forth = one.orderBy("start", F.desc("strong"), "kind", "stop").rowsBetween(W.unboundedPreceding, W.currentRow)
+    back = one.orderBy(F.desc("start"), "strong", F.desc("kind"), F.desc("stop")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    marked = (pool.withColumn("_reached", F.max(F.when(F.col("strong"), F.col("stop"))).over(forth))
+              .withColumn("_next", F.min(F.when(F.col("strong"), F.col("start"))).over(back)))
+    covered = F.coalesce(F.col("_reached") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_next") < F.col("stop"), F.lit(False))
+    return marked.where(F.col("strong") | ~covered).drop("_reached", "_next")
 
 
 def _complements(a: Column, b: Column) -> Column:
@@ -97,8 +116,8 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     roles = F.transform("parts", lambda p: p["role"])
     pool = (found.where(F.exists("parts", lambda p: ~p["strong"]) & F.array_contains(roles, "secret")
                         & (F.array_contains(roles, "identifier") | F.array_contains(roles, "endpoint")))
-            .select("doc_id", "_h", F.explode("parts").alias("p")).distinct()
-            .select("doc_id", "_h", "p.*", F.floor(F.col("p.start") / reach).alias("bin")))
+            .select("doc_id", "_h", F.explode("parts").alias("p")).distinct().select("doc_id", "_h", "p.*"))
+    pool = _without_strong_ones(pool).withColumn("bin", F.floor(F.col("start") / reach))
     weak = (pool.where(~F.col("strong")).select(
         "doc_id", "_h", "kind", "role", "start", "stop",
         F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")))
@@ -136,15 +155,30 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """A text with each of its spans (ordered by start, maybe overlapping) replaced by its kind in brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """A text with each of its spans (ordered by start, maybe overlapping) replaced by its kind in brackets.
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), s["kind"], F.lit("]")))))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), new.otherwise(acc["out"]).alias("out"))
+    Text and spans are taken in blocks, so that neither is gone through from its beginning for each span.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    last = F.floor(F.greatest(F.size(spans) - 1, F.lit(0)) / F.lit(_BLOCK)).cast("int")
+    some = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(spans, b * _BLOCK + 1, F.lit(_BLOCK)))
+    none = F.array().cast("array<string>")
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    def state(at: Column, out: Column, of: Column) -> Column:
+        return F.struct(at.alias("at"), out.alias("out"), of.alias("of"))
+
+    def between(of: Column, a: Column, n: Column) -> Column:
+        first = F.floor(a / F.lit(_BLOCK)).cast("int")
+        near = F.slice(of, first + 1, F.floor(n / F.lit(_BLOCK)).cast("int") + 2)
+        return F.substring(F.array_join(near, ""), a - first * _BLOCK + 1, n)
+
+    def step(acc: Column, s: Column) -> Column:
+        new = F.concat(acc["out"], F.array(between(acc["of"], acc["at"], s["start"] - acc["at"]), F.concat(F.lit("["), s["kind"], F.lit("]"))))
+        return state(F.greatest(acc["at"], s["stop"]), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]), acc["of"])
 
+    def block(acc: Column, part: Column) -> Column:
+        return F.aggregate(part, state(acc["at"], none, acc["of"]), step, lambda done: state(
+            done["at"], F.concat(acc["out"], F.array(F.array_join(done["out"], ""))), done["of"]))
 
+    return F.aggregate(some, state(F.lit(0), none, blocks), block, lambda acc: F.concat(
+        F.array_join(acc["out"], ""), between(acc["of"], acc["at"], F.greatest(F.length(text) - acc["at"], F.lit(0)))))

@@ -7,6 +7,7 @@ import brute
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lotlens.llm import crossentropy, licences, secrets, toxicity
 
@@ -183,6 +184,23 @@ def secret_rows():
     return [(100 + k, "".join(r.choice(words) for _ in range(r.randint(0, 30)))) for k in range(400)]
 
 
+def test_secrets_of_a_text_full_of_parts(documents):
+    """Many parts in one text, weak ones under strong ones, spans and text over the bounds of blocks."""
+    text = "token=abcdefghijklmnop user=someone é secret=abc " * 900 + "password=0123456789abcdef0123 pwd: xyzzy " * 300
+    rows = documents([(1, text), (2, "x" * 700), (3, "")])
+    got = {r.doc_id: r for r in secrets.scan(rows).join(rows.select(F.col("doc_id").alias("d"), "text"), F.col("d") == F.col("doc_id"))
+           .select("doc_id", "spans", secrets.redacted(F.col("text"), F.col("spans")).alias("out")).collect()}
+    _, want = brute.secret_spans(text)
+    assert [(s.start, s.kind, s.stop) for s in got[1].spans] == [tuple(w) for w in want]
+    out, at = [], 0
+    for start, kind, stop in want:
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, stop)
+    assert got[1].out == "".join(out) + text[at:]
+    assert (got[2].spans, got[2].out, got[3].out) == ([], "x" * 700, "")
+
+
 def test_secrets_same_as_by_hand(documents):
     rows = secret_rows() + [(k, t) for k, (_, t) in enumerate(ODD)]
     got = {r.doc_id: r for r in secrets.digests(secrets.scan(documents(rows))).collect()}
@@ -214,7 +232,6 @@ def test_texts_with_very_many_matches(documents):
 
 
 def test_redaction(documents, spark):
-    from pyspark.sql import functions as F
     rows = secret_rows()
     found = secrets.scan(documents(rows)).join(documents(rows).select(F.col("doc_id").alias("d"), "text"), F.col("d") == F.col("doc_id"))
     for r in found.select("text", "spans", secrets.redacted(F.col("text"), F.col("spans")).alias("out")).collect():
