@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
@@ -13,6 +14,7 @@ from ..operators import gates as checks
 from ..session import shared_dir
 from ..sources import landing as src
 from ..sources import sinks
+from ..sources.bigjson import read_large
 from ..streaming import ingest as stream
 from . import shapes
 from .registry import Tables, query
@@ -68,6 +70,27 @@ def src_landing_json(t: Tables):
     return _flat(items)
 
 
+def _documents(t: Tables) -> str:
+    """Landing items as JSON documents of several lines, up to 5,000 lots each, the envelope's number at their end."""
+    path = shared_dir(t.spark, "documents")
+    item = F.to_json(F.struct("id", "lotNumber", "lead", "description", "featuredPicture", "pictures", "lotState", "category"))
+    items = shapes.landing(t).withColumn("a", F.col("auction_id")).withColumn("p", F.floor(F.col("id") / 5000))
+    page = Window.partitionBy("a", "p").orderBy("id")
+    head, tail = F.lit('{"note": "}{", "items": ['), F.concat(F.lit('], "auction_id": '), F.col("a"), F.lit("}"))
+    lines = items.withColumn("value", F.concat(F.when(F.row_number().over(page) == 1, head).otherwise(","), item,
+                                               F.when(F.lead("id").over(page).isNull(), tail).otherwise("")))
+    lines.select("a", "p", "value").write.partitionBy("a", "p").text(path)
+    return path
+
+
+@query("src_landing_large", "select f.*, auction_id from (" + _FLAT.strip() + ") f join (select id, auction_id from landing_text) a using (id)")
+def src_landing_large(t: Tables):
+    """Documents that many tasks read, whatever their size."""
+    read = read_large(t.spark, _documents(t), src.landing_item(), src.envelope_fields())
+    items = src.usable(read, "id").drop("auction_name", "scraped_at")
+    return _flat(items).join(items.select("id", "auction_id"), "id")
+
+
 @query("src_landing_rejects", """
 select count(*) as broken from (select distinct auction_id, id // 500 as page from lots) p where page % 4 = 0""")
 def src_landing_rejects(t: Tables):
