@@ -79,6 +79,9 @@ def gate_prefilter(t: Tables):
     return gates.gate_prefilter(short.bucket_sizes(rows, scope=SCOPE), rows, BUCKETS, max_rows=100, scope=SCOPE)
 
 
+#: More than any lot's number: repeats stand behind all first answers of a chunk, however many lots there are.
+_ANSWERS = 1 << 60
+
 # Auctions stand in for chunks; each answers with spoilt rows of a different kind.
 _RESPONSES = """
 with chunk_rows as (select auction_id as chunk, lot_number, lot_number = max(lot_number) over (partition by auction_id) as is_last from lots),
@@ -108,6 +111,7 @@ def gate_responses(t: Tables):
     full = ["lot_number", "is_flagged", "buckets", "personal_match"]
     keys = lambda *names: F.array(*[F.lit(n) for n in names])
     none = F.array().cast("array<string>")
+    later = lambda turn: F.col("id") + F.lit(turn * _ANSWERS)
 
     def answers(df, pos, lot, flagged, buckets, present):
         return df.select("chunk", pos.alias("pos"), lot.alias("lot_number"), flagged.alias("is_flagged"), buckets.alias("buckets"),
@@ -118,10 +122,10 @@ def gate_responses(t: Tables):
                .when((F.col("chunk") == 1997) & (F.col("condition") == "Excellent"), keys(*full[:3])).otherwise(keys(*full)))
     main = answers(rows.where("chunk <> 2001"), F.col("id"), F.col("lot_number"), ring,
                    F.when(ring & ~bare, keys("Rings")).otherwise(none), present)
-    again = answers(rows.where("chunk = 1998 and condition = 'Good'"), F.col("id") + 1000000, F.col("lot_number"), F.lit(False), none, keys(*full))
-    alien = answers(rows.where("chunk = 1999 and condition = 'Good'"), F.col("id") + 2000000, F.concat(F.lit("Z"), "lot_number"), F.lit(False), none, keys(*full))
+    again = answers(rows.where("chunk = 1998 and condition = 'Good'"), later(1), F.col("lot_number"), F.lit(False), none, keys(*full))
+    alien = answers(rows.where("chunk = 1999 and condition = 'Good'"), later(2), F.concat(F.lit("Z"), "lot_number"), F.lit(False), none, keys(*full))
     marker = last.where("chunk not in (1995, 2001)").select(
-        "chunk", F.when(F.col("chunk") == 1998, 0).otherwise(9000000).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("lot_number"),
+        "chunk", F.when(F.col("chunk") == 1998, -1).otherwise(3 * _ANSWERS).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("lot_number"),
         F.lit(None).cast("boolean").alias("is_flagged"), none.alias("buckets"), F.lit(None).cast("boolean").alias("personal_match"),
         F.when(F.col("chunk") == 1996, "other").otherwise(F.col("last_lot")).alias("chunk_complete"), keys("chunk_complete").alias("keys"))
     responses = main.unionByName(again).unionByName(alien).unionByName(marker)
