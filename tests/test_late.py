@@ -48,3 +48,22 @@ def test_runs_of_presence(spark):
     got = {(r.id, r.place): (r.first_seen, r.is_new) for r in ingest.first_seen_runs(shown).where(F.col("place") > 0).collect()}
     assert got == {("a", 1): ("old", False), ("a", 3): ("t3", True), ("b", 1): ("t0", False), ("c", 2): ("t2", True)}
     assert ingest.first_seen_runs(shown.where("false")).isEmpty()
+
+
+def test_a_batch_is_read_once(spark):
+    """Pages are parsed for what is kept of them, not again for the rejects, the stamps and the lots."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    state = shared_dir(spark, "state")
+    batch = spark.createDataFrame([(7, "t0", "f", i, None, i) for i in range(50)],
+                                  "auction_id long, scraped_at string, _file string, _ord int, _corrupt string, id long")
+    missing = [f for f in stream.landing_item().fields if f.name != "id"]
+    whole = batch.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
+    stream.process_batch(whole.mapInPandas(count, whole.schema), 0, state)
+    assert seen.value == 50
+    assert spark.read.parquet(f"{state}/snapshots").count() == 50
