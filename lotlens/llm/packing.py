@@ -132,18 +132,19 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID,
-         slack: int = SLACK, group_ids: int = GROUP_IDS, most_open: int = MOST_OPEN) -> DataFrame:
+         slack: int = SLACK, group_ids: int = GROUP_IDS, most_open: int = MOST_OPEN, remembered: int | None = None) -> DataFrame:
     """One row for each piece of a document in a sequence.
 
     ``doc_id``, ``start`` (ids of the document before the piece), ``length``, ``doc_tokens`` (all its ids, with the end
     id), ``sequence_id``, ``offset`` (ids of the sequence before the piece, without gaps) and ``ids`` (little-endian
     unsigned 32-bit integers). ``tokenizer`` is a file that every executor has; None: the installed vocabulary.
+    ``remembered`` bounds the runs of text a worker keeps (see ``tokens``); the rows don't depend on it.
     """
     if window < 1 or slack >= window:
         raise ValueError("a window holds at least one id and more than the slack")
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = tokens.encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        encoder, end = tokens.encoder(tokenizer, remembered), int(end_id).to_bytes(4, "little")
         packer = Packer(TaskContext.get().partitionId() << 40, window, slack, most_open)
         size = 4 * window
 

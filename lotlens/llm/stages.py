@@ -15,6 +15,8 @@ from . import toxicity as toxic
 
 #: Keys of 16 bytes that one task may hold; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Runs of text that a worker of the last stage remembers: its executor still holds what the stages before took.
+REMEMBERED = 100_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -75,4 +77,4 @@ def secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Operator 4: the pieces of every document in sequences of 1024 ids."""
-    return pack.digests(pack.pack(docs))
+    return pack.digests(pack.pack(docs, remembered=REMEMBERED))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lotlens.llm import idfile, packing, rans, tokens
+from lotlens.llm import idfile, packing, rans, stages, tokens
 
 ROWS = [(5, "the quick brown fox"), (3, None), (9, ""), (9, "  two  rows\n with one id \n\n"), (5, "the quick brown fox"),
         (None, "no id"), (12, "word " * 3000), (7, "ñandú <|endoftext|> 日本語\x1c　x"), (-4, "a" * 5000), (8, " ")]
@@ -82,6 +82,13 @@ def test_empty_tables(documents):
     assert packing.pack(documents([])).count() == 0
 
 
+def test_pieces_do_not_depend_on_what_a_worker_remembers(documents):
+    rows = [(k, " ".join(f"w{k * j % 97} the" for j in range(40))) for k in range(60)]
+    found = [sorted(map(tuple, packing.digests(packing.pack(documents(rows).coalesce(1), remembered=n)).collect())) for n in (3, None)]
+    assert found[0] == found[1]
+    assert stages.REMEMBERED < tokens.GENERATION
+
+
 @pytest.mark.parametrize("how", [{}, {"group_ids": 50, "most_open": 2}, {"window": 8, "slack": 0, "group_ids": 40, "most_open": 1}])
 def test_each_id_lies_in_one_piece(documents, how):
     rows = ROWS + [(100 + k, "the " * (k * 37 % 90)) for k in range(60)]
