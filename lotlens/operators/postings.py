@@ -2,14 +2,15 @@
 
 Lots are searched by folded fields. What repeats is the words, so the index is over distinct words:
 
+* ``lots``: word, field and lot, by word_band (a hash of the word); ``keys`` holds a lot's type;
 * ``words``: word_id (the word's place in their order) and word;
 * ``grams``: for each trigram the words that hold it, word_ids sorted and delta-coded in blocks, by gram_part;
-* ``cuts``: for each word of bounded length what is left with up to MOST_CUTS letters taken out, by cut_part;
-* ``lots``: word_id, field and lot, by word_band (from ``spoken``, the same with the words themselves).
+* ``cuts``: for each word of up to CUT_LETTERS what is left with up to MOST_CUTS letters taken out, by cut_part.
 
 ``gram_part``, ``cut_part`` and ``word_band`` are partition columns. A search knows its trigrams and deletions beforehand,
 so it reads the parts that can hold them and nothing else; candidates are then compared with the token itself, so the
-result is that of a scan. A hot word is one word in the first three tables, and its lots are rows of their own.
+result is that of a scan. A hot word is one word in the last three tables, and its lots are rows of their own, which are
+shuffled once.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ from ..functions import text
 from ..session import shared_dir
 from .common import positions, written_once
 from .search import TOLERANCE
-from .skew import attach
 
 FIELDS = ("title", "subcategory", "lot_number", "description", "category_path")
 #: Fields whose words a typo-tolerant search compares; the others are matched exactly.
 SHORT = FIELDS[:3]
 PARTS, BLOCK = 64, 512
-#: A word is found by its deletions up to this many edits; tokens that may have more are compared with every distinct word.
-MOST_CUTS, CUT_LETTERS = 2, 24
+#: A word is found by its deletions up to this many edits, which words of CUT_LETTERS at most can be of a token. An edit
+#: changes three trigrams at most, so the trigrams that are left lead to words of tokens that may have more edits.
+MOST_CUTS = 1
+CUT_LETTERS = int((MOST_CUTS + 1) / TOLERANCE) - 1 + MOST_CUTS
 
 
 def _part(key: Column, parts: int) -> Column:
@@ -41,6 +43,10 @@ def _part(key: Column, parts: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("int"), F.lit(parts))
 
 
+def _band(word: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(parts)).cast("int")
+
+
 def part_of(key: str, parts: int) -> int:
     return int(hashlib.md5(key.encode()).hexdigest()[:7], 16) % parts
 
@@ -77,11 +83,15 @@ def build(lots: DataFrame, key: Sequence[str] = ("lot_number",), path: str | Non
     path = path or shared_dir(spark, "search")
     # Two equal columns would clash: a lot's key is kept as one struct.
     held = lots.select(F.struct(*key).alias("lot"), F.explode(_fields(lots)).alias("f"))
+    held.select("lot").limit(0).write.parquet(f"{path}/keys")
     spoken = held.select("lot", "f.field", F.explode(F.array_distinct(F.split("f.body", r"\s+"))).alias("word")).where("word <> ''")
-    spoken.write.parquet(f"{path}/spoken")
-    spoken = spark.read.parquet(f"{path}/spoken")
-    (positions(spoken.select("word").distinct(), [F.col("word")], "word_id").select("word_id", "word").write.parquet(f"{path}/words"))
-    words = spark.read.parquet(f"{path}/words")
+    # A band takes a word with all its lots; a hot word is dealt over eight of its tasks.
+    spoken = spoken.withColumn("word_band", _band(F.col("word"), parts)).repartition("word_band", F.pmod(F.xxhash64("lot"), F.lit(8)))
+    spoken.write.partitionBy("word_band").parquet(f"{path}/lots")
+    distinct = Index(spark, path, parts)._read("lots").select("word").distinct()
+    (positions(distinct, [F.col("word")], "word_id").select("word_id", "word").write.parquet(f"{path}/words"))
+    # A few files of words become many rows: dealt out first, as their bytes would give few tasks.
+    words = spark.read.parquet(f"{path}/words").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word_id")
 
     def save(df: DataFrame, name: str, column: str) -> None:
         df.write.partitionBy(column).parquet(f"{path}/{name}")
@@ -97,9 +107,6 @@ def build(lots: DataFrame, key: Sequence[str] = ("lot_number",), path: str | Non
     near = (words.where(F.length("word") <= CUT_LETTERS).select("word_id", F.explode(_cuts(F.col("word"))).alias("cut"))
             .withColumn("cut_part", _part(F.col("cut"), parts)))
     save(near.repartition(F.col("cut_part")), "cuts", "cut_part")
-    band = F.pmod("word_id", F.lit(parts)).cast("int")
-    save(attach(spoken, words, ["word"], "inner").select("word_id", "field", "lot").withColumn("word_band", band)
-         .repartition("word_band", F.pmod(F.xxhash64("lot"), F.lit(8))), "lots", "word_band")
     return path
 
 
@@ -111,9 +118,9 @@ class Index:
 
     def _read(self, name: str) -> DataFrame:
         # Types are given, as a table by parts has no file if it has no row.
-        lot = self.spark.read.parquet(f"{self.path}/spoken").schema["lot"].dataType.simpleString()
+        lot = self.spark.read.parquet(f"{self.path}/keys").schema["lot"].dataType.simpleString()
         kinds = {"words": "word_id bigint, word string", "grams": "gram string, block bigint, gaps array<bigint>, gram_part int",
-                 "cuts": "word_id bigint, cut string, cut_part int", "lots": f"word_id bigint, field int, lot {lot}, word_band int"}
+                 "cuts": "word_id bigint, cut string, cut_part int", "lots": f"lot {lot}, field int, word string, word_band int"}
         return self.spark.read.schema(kinds[name]).parquet(f"{self.path}/{name}")
 
     def _holding(self, token: str) -> DataFrame:
@@ -122,31 +129,37 @@ class Index:
         grams = sorted({token[i:i + 3] for i in range(len(token) - 2)})
         if not grams:
             return words.where(F.contains("word", F.lit(token))).select("word_id", "word")
+        return self._with_grams(grams, len(grams)).where(F.contains("word", F.lit(token)))
+
+    def _with_grams(self, grams: Sequence[str], least: int) -> DataFrame:
+        """Words that hold at least ``least`` of these trigrams."""
         mine = F.col("gram").isin(grams) & F.col("gram_part").isin(sorted({part_of(g, self.parts) for g in grams}))
         undone = F.aggregate("gaps", F.array().cast("array<bigint>"), lambda acc, x: F.concat(
             acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint")) + x)))
         met = (self._read("grams").where(mine).select("gram", F.explode(undone).alias("word_id"))
-               .groupBy("word_id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)))
-        return met.join(words, "word_id").where(F.contains("word", F.lit(token))).select("word_id", "word")
+               .groupBy("word_id").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+        return met.join(self._read("words"), "word_id").select("word_id", "word")
 
     def _near(self, token: str) -> DataFrame:
-        """Words within TOLERANCE of a token; those one or two edits away by what both leave when letters are taken out."""
+        """Words within TOLERANCE of a token: by what both leave when letters are taken out, or by the trigrams that must be left."""
         edits = int(TOLERANCE * len(token))
         words = self._read("words")
         close = (F.abs(F.length("word") - len(token)) <= edits) & (F.levenshtein("word", F.lit(token), edits) >= 0)
         if edits > MOST_CUTS or len(token) + edits > CUT_LETTERS:
-            return words.where(close).select("word_id", "word")
+            grams = sorted({token[i:i + 3] for i in range(len(token) - 2)})
+            left = len(grams) - 3 * edits
+            return (self._with_grams(grams, left) if left > 0 else words).where(close).select("word_id", "word")
         cuts = cuts_of(token, edits)
         mine = F.col("cut").isin(cuts) & F.col("cut_part").isin(sorted({part_of(c, self.parts) for c in cuts}))
         return self._read("cuts").where(mine).select("word_id").distinct().join(words, "word_id").where(close).select("word_id", "word")
 
     def _lots(self, found: DataFrame, fields: Sequence[int] | None = None) -> DataFrame:
         """Lots (and fields) of some words; the bands to read are known from the words themselves."""
-        bands = [r[0] for r in found.select(F.pmod("word_id", F.lit(self.parts)).cast("int").alias("b")).distinct().collect()]  # at most ``parts``
+        bands = [r[0] for r in found.select(_band(F.col("word"), self.parts).alias("b")).distinct().collect()]  # at most ``parts``
         held = self._read("lots").where(F.col("word_band").isin(bands or [-1]))
         if fields is not None:
             held = held.where(F.col("field").isin(list(fields)))
-        return held.join(found.select("word_id"), "word_id", "left_semi").select("lot").distinct()
+        return held.join(found.select("word"), "word", "left_semi").select("lot").distinct()
 
     def exact(self, query: str) -> DataFrame:
         """Lots that hold every token of the query somewhere in their fields."""

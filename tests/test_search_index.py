@@ -66,6 +66,33 @@ def test_lists_are_in_bounded_blocks(spark, monkeypatch):
     assert postings.Index(spark, path, 4).exact("common059").count() == 10
 
 
+def test_a_word_brings_few_rows_and_its_lots_are_shuffled_once(spark):
+    lots = spark.createDataFrame([(f"L{i}", f"kettl{i} verylongword{i} {'x' * 20}{i}") for i in range(10, 60)], "lot_number string, title string")
+    path = postings.build(lots, parts=4)
+    cuts = spark.read.parquet(f"{path}/cuts").join(spark.read.parquet(f"{path}/words"), "word_id")
+    assert {r.word[:5] for r in cuts.select("word").distinct().collect()} == {"kettl", *(f"L{i}".lower() for i in range(10, 60))}
+    assert cuts.groupBy("word").count().where(F.col("count") > F.length("word") + 1).count() == 0
+    assert spark.read.parquet(f"{path}/lots").select("lot.lot_number", "word").where("word like 'kettl%'").count() == 50
+
+
+@pytest.mark.parametrize("token", ["longishword", "thermometers", "termometerss", "steel-pots", "verymuchlonger thermometers".replace(" ", ""), "aaaaaaaaaa", "longswordlongsword"])
+def test_words_of_more_edits_come_by_trigrams(spark, token):
+    words = WORDS + ["longishwrds", "longsword", "thrmometres", "aaaaaaaab", "aaaaaaaaaabb", "longswordlongswrd", "lngswordlongswoord", "verymuchlongerthermomet"]
+    index = postings.Index(spark, postings.build(spark.createDataFrame([(w, w) for w in words], "lot_number string, title string"), parts=8), 8)
+    edits = int(search.TOLERANCE * len(token))
+    want = sorted(w for w in {*words, "cafe", "ee"} if spark.range(1).select(F.levenshtein(F.lit(w), F.lit(token))).first()[0] <= edits)
+    near = index._near(token)
+    assert sorted(r.word for r in near.collect()) == want
+    if len({token[i:i + 3] for i in range(len(token) - 2)}) > 3 * edits:
+        assert "gram_part" in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_edit_is_a_letter_of_any_length(spark):
+    lots = spark.createDataFrame([("a", "schung\u00dfge"), ("b", "schungge"), ("c", "schung\u00df\u00dfge")], "lot_number string, title string")
+    found = postings.Index(spark, postings.build(lots, parts=4), 4).fuzzy("schungge")
+    assert sorted(r.lot_number for r in found.collect()) == ["a", "b"]
+
+
 def test_an_index_of_nothing(spark):
     empty = spark.createDataFrame([], "lot_number string, title string")
     index = postings.Index(spark, postings.build(empty, parts=2), 2)
