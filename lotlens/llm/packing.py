@@ -28,6 +28,8 @@ from . import common, tokens
 
 WINDOW, END_ID, SLACK = 1024, 0, 4
 GROUP_IDS, MOST_OPEN = 1 << 21, 1024
+#: Runs of text that a worker remembers where packing has the worker to itself.
+REMEMBERED = 800_000
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
                     ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])

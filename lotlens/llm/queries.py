@@ -42,7 +42,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.digests(packing.pack(table(spark, folder, "documents")))
+    return packing.digests(packing.pack(table(spark, folder, "documents"), remembered=packing.REMEMBERED))
 
 
 @query("op5_toxicity")
