@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import PLAIN, mix, rounds, saved, text_rows, texts, words
 
 VOCABULARY, BIGRAMS, MIN_COUNT, MIX = 1 << 18, 1 << 21, 2, 0.6
-HOT, HOT_PAIRS = 1 << 16, 1 << 14
+HOT, HOT_PAIRS = 1 << 20, 1 << 14
 #: Words whose bigrams one bucket takes, about; bytes of text whose bigrams are sent together; counts a task holds.
 BUCKET, ROUND, HELD = 1 << 21, 1 << 22, 1 << 20
 _UNKNOWN, _MARK = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -118,15 +118,12 @@ def _word_counts(marked: DataFrame) -> DataFrame:
     return _counted(marked.select("text", "target"), count)
 
 
-def _hashes(column) -> np.ndarray:
-    return np.array(column, np.int64).view(np.uint64)
-
-
-def _sorted(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in order and their two counts, of collected rows."""
-    h = _hashes([r.h for r in rows])
-    order = np.argsort(h)
-    return h[order], np.array([(r.n0, r.n1) for r in rows], np.int64).reshape(-1, 2)[order]
+def _sorted(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order and their two counts, collected as columns."""
+    rows = counts.select("h", "n0", "n1").toArrow()
+    h, n0, n1 = (np.asarray(c.to_numpy()) for c in rows.columns)
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], np.stack([n0, n1], 1).astype(np.int64)[order]
 
 
 def _found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,11 +212,22 @@ def _common_pairs(told: DataFrame, model: Words) -> tuple[np.ndarray, np.ndarray
 
         yield from _tallied(found())
 
-    return _sorted(_counted(told, work).where(F.col("n1") >= total / most).collect())
+    return _sorted(_counted(told, work).where(F.col("n1") >= total / most))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes and so on, which pack better than numbers one by one."""
+    flat = np.ascontiguousarray(x).reshape(-1)
+    return flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes()
+
+
+def _numbers(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind)
 
 
 def _parcel(bucket: int, head: tuple[int, int, int], *arrays: np.ndarray) -> tuple:
-    data = b"".join([np.array(head, "<i8").tobytes(), *(np.ascontiguousarray(x).tobytes() for x in arrays)])
+    data = b"".join([np.array(head, "<i8").tobytes(), *map(_planes, arrays)])
     return bucket, len(data), pa.compress(data, codec="zstd", asbytes=True)
 
 
@@ -249,7 +257,8 @@ def _sent(told: DataFrame, model: Words, hot: tuple[np.ndarray, np.ndarray], buc
                 for a, b in pairwise([*begin.tolist(), len(up)]):
                     x, y = stop[a], stop[b]
                     docs, place = np.unique(ed[x:y], return_inverse=True)
-                    rows.append(_parcel(int(bucket[a]), (b - a, y - x, len(docs)), up[a:b], uc[a:b].T.astype("<i8"),
+                    # Hashes are in order: the gaps between them are smaller numbers.
+                    rows.append(_parcel(int(bucket[a]), (b - a, y - x, len(docs)), np.diff(up[a:b], prepend=np.uint64(0)), uc[a:b].T.astype("<i8"),
                                         np.diff(stop[a:b + 1]).astype("<i4"), place.astype("<i4"), times[x:y].astype("<i4"),
                                         key[docs].astype("<i8"), good[docs].astype("i1")))
                 for lo in range(0, len(rows), 256):
@@ -266,8 +275,10 @@ def _opened(size: int, data: bytes) -> tuple[tuple[int, int, int], list[np.ndarr
              [("<u8", pairs), ("<i8", 4 * pairs), ("<i4", pairs), ("<i4", entries), ("<i4", entries), ("<i8", docs), ("i1", docs)])
     out, at = [], 24
     for kind, n in kinds:
-        out.append(np.frombuffer(raw, kind, n, at))
+        out.append(_numbers(raw, kind, n, at))
         at += out[-1].nbytes
+    if pairs >= 0:
+        out[0] = np.cumsum(out[0], dtype=np.uint64)
     return head, out
 
 
@@ -324,7 +335,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     F.count(F.when(known, 1))).first()
     mark = every.where(F.col("h") == int(_MARK.view(np.int64))).first() or (0, 0, 0)
     n, often = tuple(sums[:2]), F.col("n1") * HOT >= int(sums[1])
-    model = Words(_sorted(real.where(often).collect()), tuple(sums[2:4]), tuple(mark[1:]), n, sums[4] + 1)
+    model = Words(_sorted(real.where(often)), tuple(sums[2:4]), tuple(mark[1:]), n, sums[4] + 1)
 
     rare = _rare(marked, model.hot[0]).join(real.where(~often).hint("merge"), "h").groupBy("row").agg(F.collect_set(F.struct("h", "n0", "n1")).alias("rare"))
     told = saved(marked.join(rare.hint("merge"), F.col("_h") == F.col("row"), "left").select(
