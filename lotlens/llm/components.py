@@ -27,8 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.select("node", F.col("root").alias("other")).unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("other")))
-        large = _pulled(both).where("other > node").select(F.col("other").alias("node"), F.col("least").alias("other"))
-        small = _pulled(large.distinct())
+        # Written, as the second half reads it over and over: the driver plans and tracks one half at a time.
+        large = saved(_pulled(both).where("other > node").select(F.col("other").alias("node"), F.col("least").alias("other")).distinct(), "large")
+        small = _pulled(large)
         now = saved(small.select(F.col("least").alias("root"), F.explode(F.array("node", "other")).alias("node"))
                     .where("root <> node").distinct(), "edges")
         last, seen = seen, mark(now)

@@ -30,6 +30,8 @@ LENGTHS, BUCKETS, FEATURES, MOST_ROWS, THRESHOLD = (3, 4, 5), 1 << 20, 8192, 819
 #: Standard errors between a bucket's two shares that make it a feature; the surest LEAST_FEATURES always are.
 EVIDENCE, LEAST_FEATURES = 5.0, 100
 _BITS, _RANGE = 20, 1 << 14
+#: Features that the fit takes at a time, so that its scratch arrays stay small on the driver.
+FIT_BLOCK = 1 << 17
 _COUNTS = pa.schema([("range", pa.int32()), ("rows", pa.binary())])
 _SAMPLE = pa.schema([("row", pa.int64()), ("toxic", pa.int32()), ("features", pa.binary())])
 _STEP, _ODD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -120,19 +122,19 @@ def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield from batches(_COUNTS, iter(out), most=8)
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Iterator[tuple]:
+        def out() -> Iterator[tuple]:  # packed, as these rows go to the driver
             now, total = None, None
             for part in parts:
                 for r, counts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     counts = np.frombuffer(counts, "<i8")
                     if r != now:
                         if now is not None:
-                            yield now, total.tobytes()
+                            yield now, pa.compress(total.tobytes(), codec="zstd", asbytes=True)
                         now, total = r, counts.copy()
                     else:
                         total += counts
             if now is not None:
-                yield now, total.tobytes()
+                yield now, pa.compress(total.tobytes(), codec="zstd", asbytes=True)
 
         yield from batches(_COUNTS, out(), most=8)
 
@@ -141,10 +143,11 @@ def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
              .repartition("range").sortWithinPartitions("range").mapInArrow(add, ddl).collect())
     counts, sizes = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
     for r, some in total:
+        some = np.frombuffer(pa.decompress(some, 16 if r < 0 else 16 * _RANGE, codec="zstd", asbytes=True), "<i8")
         if r < 0:
-            sizes = np.frombuffer(some, "<i8")
+            sizes = some
         else:
-            counts[:, r * _RANGE:(r + 1) * _RANGE] = np.frombuffer(some, "<i8").reshape(2, -1)
+            counts[:, r * _RANGE:(r + 1) * _RANGE] = some.reshape(2, -1)
     return counts, sizes
 
 
@@ -162,27 +165,41 @@ class Model:
 
 def _fit(sets: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray, ridge: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps; all sums run in a fixed order."""
-    column = np.concatenate(sets) if sets else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    value = scale[column]
-    top = 0.25 * max(1.0, float(np.bincount(row, value ** 2, len(sets)).mean() if len(column) else 0) + 1) + ridge
+    size = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(size)
+    blocks, lo = [], 0
+    while lo < len(sets):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + FIT_BLOCK, "right")))
+        blocks.append((lo, hi, np.concatenate(sets[lo:hi]).astype(np.int32), np.repeat(np.arange(hi - lo, dtype=np.int32), size[lo:hi])))
+        lo = hi
+
+    def by_row(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(row, x[column], hi - lo) for lo, hi, column, row in blocks] or [np.empty(0)])
+
+    top = 0.25 * max(1.0, float(by_row(scale ** 2).mean() if size.sum() else 0) + 1) + ridge
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
     w, b = np.zeros(len(scale)), float(np.log(share / (1 - share)))
     v, c, rate = w.copy(), b, 1 / top
 
     def loss(w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, value * w[column], len(sets)) + b
+        z = by_row(scale * w) + b
         return float((np.logaddexp(0, z) - toxic * z).mean() + 0.5 * ridge * (w @ w)), z
 
+    def by_feature(gap: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(scale))
+        for lo, hi, column, row in blocks:
+            out += np.bincount(column, gap[lo:hi][row], len(scale))
+        return out * scale
+
     for t in range(steps):
         at, z = loss(v, c)
         gap = (1 / (1 + np.exp(-z)) - toxic) / len(toxic)
-        gw, gb = np.bincount(column, gap[row] * value, len(scale)) + ridge * v, float(gap.sum())
-        size = float(gw @ gw + gb * gb)
-        if size < 1e-14:
+        gw, gb = by_feature(gap) + ridge * v, float(gap.sum())
+        slope = float(gw @ gw + gb * gb)
+        if slope < 1e-14:
             break
         rate *= 2
-        while loss(v - rate * gw, c - rate * gb)[0] > at - 0.5 * rate * size and rate > 1e-9:
+        while loss(v - rate * gw, c - rate * gb)[0] > at - 0.5 * rate * slope and rate > 1e-9:
             rate /= 2
         w2, b2 = v - rate * gw, c - rate * gb
         pull = t / (t + 3)
@@ -191,6 +208,25 @@ def _fit(sets: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray, ridge: fl
     return w, b
 
 
+def _chosen(counts: np.ndarray, sizes: np.ndarray, smooth: float) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets with enough evidence, in order, and the logs of their ratios; range by range, for the driver's sake."""
+    # Evidence: how surely the two shares differ.
+    sure = np.zeros(BUCKETS)
+    for lo in range(0, BUCKETS, _RANGE):
+        some = counts[:, lo:lo + _RANGE]
+        clean, toxic = (some + smooth) / (sizes + 2 * smooth)[:, None]
+        pooled = (some.sum(0) + smooth) / (sizes.sum() + 2 * smooth)
+        by = np.abs(toxic - clean) / np.sqrt(pooled * (1 - pooled) * (1 / sizes[0] + 1 / sizes[1]))
+        sure[lo:lo + _RANGE] = np.where(some.sum(0) < 3, 0, by)
+    most = min(FEATURES, max(LEAST_FEATURES, int((sure > EVIDENCE).sum())))
+    least = np.partition(sure, BUCKETS - most)[BUCKETS - most]
+    near = np.flatnonzero(sure >= least)
+    best = np.sort(near[np.argsort(-sure[near], kind="stable")][:most])
+    best = best[sure[best] > 0]
+    clean, toxic = (counts[:, best] + smooth) / (sizes + 2 * smooth)[:, None]
+    return best, np.log(toxic / clean)
+
+
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, smooth: float = 1.0) -> Model:
     """A classifier from the labelled rows that aren't held out."""
     rows = saved(training_rows(docs, labels), "training")
@@ -198,16 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, smooth
     share = float((sizes[1] + 0.5) / (sizes.sum() + 1))
     if not sizes.all():
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))))
-    clean, toxic = (counts + smooth) / (sizes + 2 * smooth)[:, None]
-    ratio = np.log(toxic / clean)
-    # Evidence: how surely the two shares differ.
-    pooled = (counts.sum(0) + smooth) / (sizes.sum() + 2 * smooth)
-    sure = np.abs(toxic - clean) / np.sqrt(pooled * (1 - pooled) * (1 / sizes[0] + 1 / sizes[1]))
-    sure[counts.sum(0) < 3] = 0
-    order = np.lexsort((np.arange(BUCKETS), -sure))
-    best = np.sort(order[:min(FEATURES, max(LEAST_FEATURES, int((sure > EVIDENCE).sum())))])
-    best = best[sure[best] > 0]
-    model = Model(best, ratio[best], 0.0)
+    best, ratio = _chosen(counts, sizes, smooth)
+    del counts
+    model = Model(best, ratio, 0.0)
     part = most_rows / float(sizes.sum())
     some = rows if part >= 1 else rows.where((F.pmod("row", F.lit(1 << 30)) < int(part * 0.95 * (1 << 30))))
 
@@ -224,12 +253,12 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, smooth
         yield from batches(_SAMPLE, out())
 
     sample = sorted(some.mapInArrow(features, "row long, toxic int, features binary").limit(most_rows).collect())
-    sets = [np.frombuffer(r[2], "<i4").astype(np.int64) for r in sample]
+    sets = [np.frombuffer(r[2], "<i4") for r in sample]
     labels_of = np.array([r[1] for r in sample], np.float64)
     if not len(sample) or labels_of.min() == labels_of.max():
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))))
-    w, b = _fit(sets, labels_of, ratio[best])
-    return Model(best, w * ratio[best], b)
+    w, b = _fit(sets, labels_of, ratio)
+    return Model(best, w * ratio, b)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -147,3 +147,40 @@ def test_line_marginals_match_the_score(spark, toy):
         assert mine.line.tolist() == list(range(len([t for t in r.text.split("\n") if t.strip()])))
         mean = np.clip((mine["size"] * mine.good).sum() / mine["size"].sum(), 1e-4, 1 - 1e-4)
         assert abs(1 / (1 + np.exp(-(field.slope * np.log(mean / (1 - mean)) + field.shift))) - r.score) < 1e-9
+
+
+def test_the_fit_of_the_toxicity_classifier_needs_little_memory_on_the_driver():
+    import tracemalloc
+
+    from lotlens.llm import toxicity
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 4000, 150)).astype(np.int32) for _ in range(6000)]
+    toxic = np.array([float((s < 300).sum() > 11) for s in sets])
+    scale = rng.normal(size=4000)
+    tracemalloc.start()
+    w, b = toxicity._fit(sets, toxic, scale, steps=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6  # 880,000 features, of which eight bytes each for column, row, value and scratch arrays take 40 MB
+
+    def loss(w, b):
+        z = np.array([scale[s] @ w[s] for s in sets]) + b
+        return (np.logaddexp(0, z) - toxic * z).mean() + 0.5e-3 * (w @ w)
+
+    share = (toxic.sum() + 0.5) / (len(toxic) + 1)
+    assert loss(w, b) < loss(np.zeros(4000), np.log(share / (1 - share)))
+
+
+def test_buckets_are_chosen_by_evidence_as_over_the_whole_table(monkeypatch):
+    from lotlens.llm import toxicity
+    rng = np.random.default_rng(6)
+    counts, sizes = np.zeros((2, toxicity.BUCKETS), np.int64), np.array([900, 100])
+    at = rng.choice(toxicity.BUCKETS, 5000, replace=False)
+    counts[0, at], counts[1, at] = rng.integers(0, 200, 5000), rng.integers(0, 60, 5000)
+    best, ratio = toxicity._chosen(counts, sizes, 1.0)
+    clean, toxic = (counts + 1.0) / (sizes + 2.0)[:, None]
+    pooled = (counts.sum(0) + 1.0) / (sizes.sum() + 2.0)
+    sure = np.abs(toxic - clean) / np.sqrt(pooled * (1 - pooled) * (1 / sizes[0] + 1 / sizes[1]))
+    sure[counts.sum(0) < 3] = 0
+    want = np.lexsort((np.arange(toxicity.BUCKETS), -sure))[:max(100, int((sure > toxicity.EVIDENCE).sum()))]
+    assert np.array_equal(best, np.sort(want)) and np.allclose(ratio, np.log(toxic / clean)[best], atol=1e-15)
