@@ -33,7 +33,7 @@ def match_labels(labels: DataFrame, lots: DataFrame, columns: Sequence[str],
                  scope: Sequence[str] = ()) -> DataFrame:
     """Labels with the lot they name in ``_lot`` (NULL for an orphan) and ``matched_by``."""
     keyed = labels.withColumn("_key", as_key(F.col("lot_number")))
-    return attach(keyed, listings_by_key(lots, columns, scope), [*scope, "_key"]).drop("_key")
+    return attach(keyed, listings_by_key(lots, columns, scope), [*scope, "_key"], look=True).drop("_key")
 
 
 def join_labels_raw(labels: DataFrame, lots: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

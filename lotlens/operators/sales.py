@@ -207,10 +207,10 @@ def join_sale_history(lots: DataFrame, index: DataFrame) -> DataFrame:
     lists = (sale_alternates(keys.where("_alternates > 0"), index)
              .groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "alternate"))),
                                             lambda r: r["alternate"]).alias("_all")))
-    stamps = keys.join(lists, list(KEY), "left").select(
+    stamps = written_once(keys.join(lists, list(KEY), "left").select(
         *KEY, F.when(F.col("_own"), key_string()).alias("sale_key"),
-        F.transform("_all", lambda c: F.concat_ws("|", F.col("key_title"), c)).alias("alt_keys"))
-    return attach(keyed, stamps, KEY, counts=keys.select(*KEY, "n")).select(*lots.columns, *KEY, "sale_key", "alt_keys")
+        F.transform("_all", lambda c: F.concat_ws("|", F.col("key_title"), c)).alias("alt_keys")), "stamps")
+    return attach(keyed, stamps, KEY, counts=keys.select(*KEY, "n"), look=True).select(*lots.columns, *KEY, "sale_key", "alt_keys")
 
 
 def sale_history_for_lot(lots: DataFrame, index: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from .common import successors, written_once
 from .skew import attach
 
 _GAP = vocab.CLUSTER_SECONDS * 1_000_000
+#: Stamps that every task may hold; lots meet more of them by key.
+FEW_STAMPS = 1 << 17
 
 
 def _stamps(lots: DataFrame, stamp: Column, scope: Sequence[str]) -> DataFrame:
@@ -71,9 +73,14 @@ def run_stamps(lots: DataFrame, stamp: Column, scope: Sequence[str] = (), ranges
 
 
 def assign_scrapes(lots: DataFrame, stamps: DataFrame, stamp: Column, scope: Sequence[str] = ()) -> DataFrame:
-    """Lots with their 1-based run number; NULL without a usable stamp."""
-    numbered = stamps.select(*scope, "_ts", "scrape")
-    return attach(lots.withColumn("_ts", stamp), numbered, [*scope, "_ts"]).drop("_ts")
+    """Lots with their 1-based run number; NULL without a usable stamp.
+
+    Lots without a stamp would meet in one task for each scope, so lots are dealt by stamp only where there are many.
+    """
+    numbered, keyed, on = stamps.select(*scope, "_ts", "scrape"), lots.withColumn("_ts", stamp), [*scope, "_ts"]
+    if numbered.limit(FEW_STAMPS + 1).count() <= FEW_STAMPS:
+        return keyed.join(F.broadcast(numbered), on, "left").drop("_ts")
+    return attach(keyed, numbered, on).drop("_ts")
 
 
 def scrape_clusters(assigned: DataFrame, stamps: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

@@ -14,11 +14,12 @@ from . import versions
 _MANIFEST = "run string, tables array<string>"
 
 
-def write_tables(tables: dict[str, DataFrame], path: str,
+def write_tables(tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], path: str,
                  gates: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None,
                  partition_by: dict[str, list[str]] | None = None) -> str:
     """Write every table, check what was written, then publish all together; returns the run id.
 
+    A table after the first may be a function of those before it as they were written, which spares deriving these again.
     Tables land in a folder of their own run. Gates are functions of the written
     tables, so what is checked is what is read later; one that fails leaves the
     run unpublished and readers with the one before. Readers follow the manifest,
@@ -26,13 +27,15 @@ def write_tables(tables: dict[str, DataFrame], path: str,
     """
     spark = next(iter(tables.values())).sparkSession
     run = uuid.uuid4().hex
-    for name, df in tables.items():
+    written: dict[str, DataFrame] = {}
+    for name, given in tables.items():
+        df = given(written) if callable(given) else given
         writer = df.write.mode("overwrite")
         keys = (partition_by or {}).get(name)
         if keys:
             writer = writer.partitionBy(*keys)
         writer.parquet(f"{path}/runs/{run}/{name}")
-    written = {name: spark.read.schema(df.schema).parquet(f"{path}/runs/{run}/{name}") for name, df in tables.items()}
+        written[name] = spark.read.schema(df.schema).parquet(f"{path}/runs/{run}/{name}")
     for name, violations in (gates or {}).items():
         require(violations(written), name)
     entry = spark.range(1).select(F.lit(run).alias("run"), F.array(*[F.lit(n) for n in tables]).alias("tables"))
