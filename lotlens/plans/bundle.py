@@ -24,7 +24,7 @@ _OF_LOTS = ("auction_id", "id", "_ord", "lot_number", "title", "condition", "cat
 def _publish(t: Tables) -> str:
     path = shared_dir(t.spark, "bundle")
     # Listings, labels and valuations are all made of the lots, which are a join of five tables.
-    t.write("lots", _OF_LOTS)
+    t.write("lots", _OF_LOTS, SCOPE + ("id",))
     raw = t["lots"].select(
         "auction_id", "id", "lot_number", "_ord", "title", "condition", "category", "first_seen",
         F.concat(F.lit("f/"), F.col("lot_number")).alias("image_url"), F.lit("").alias("thumb_url"),
