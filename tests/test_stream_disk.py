@@ -1,5 +1,6 @@
 """What a stream of snapshots leaves on disk, and how much of its state it writes anew."""
 
+import datetime
 import glob
 import os
 import time
@@ -7,6 +8,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from lotlens.plans import ingest as plans
+from lotlens.plans.registry import Tables
 from lotlens.session import shared_dir
 from lotlens.streaming import ingest as stream
 from test_late import in_order
@@ -25,6 +28,44 @@ def stamps(spark, state):
     return {(r.auction_id, r.scraped_at, r.id): (r.first_seen, r.is_new) for r in spark.read.parquet(f"{state}/snapshots").collect()}
 
 
+def folder(spark, tmp_path, orders):
+    """The driver's tables that lots are made of; two orders share an id."""
+    day = lambda n: datetime.datetime(1995 + n % 2, 3, 1 + n % 28)
+    tables = {
+        "region": ([(0, "ASIA")], "r_regionkey long, r_name string"),
+        "nation": ([(0, "NATION_2", 0)], "n_nationkey long, n_name string, n_regionkey long"),
+        "customer": ([(0, "Customer#0", 0, "FURNITURE")], "c_custkey long, c_name string, c_nationkey long, c_mktsegment string"),
+        "part": ([(n, "old ring", "Brand#7", "ECONOMY", 3, 9.5) for n in range(3)],
+                 "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+        "orders": ([(n % (orders - 1), 0, "OFP"[n % 3], 10.0 + n, day(n), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")[n % 5])
+                    for n in range(orders)],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_arrivals_are_compressed_and_whole(spark, tmp_path):
+    """The sets hold what a join of the landing rows with the lots by id gives, a repeated id with every partner."""
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{shared}/arrivals-*"))
+    t = Tables(spark, folder(spark, tmp_path, 1201))
+    rows = plans.ingest_stream(t)
+    (arrivals,) = set(glob.glob(f"{shared}/arrivals-*")) - before
+    files = [f for f in os.listdir(arrivals) if f.startswith("part-")]
+    assert len(files) > 2 and all(f.endswith(".json.gz") for f in files)
+    lots = Tables(spark, str(tmp_path))["lots"]
+    pairs = lots.select("id", "auction_id").join(lots.select("id", "priority", "date"), "id")
+    stamp = F.when(F.col("late"), "-02-02T00:00:00+00:00").otherwise("-01-01T00:00:00+00:00")
+    both = pairs.withColumn("late", F.explode(F.array(F.lit(False), F.lit(True)))).where(
+        "(late and priority <> '5-LOW') or (not late and priority <> '3-MEDIUM')")
+    asked = sorted(tuple(r) for r in both.select("auction_id", F.concat("date", stamp), "id").collect())
+    read = spark.read.json(arrivals).select("auction_id", "scraped_at", F.explode("items.id"))
+    assert sorted(tuple(r) for r in read.collect()) == asked
+    assert rows.count() > 0
+
+
 def test_a_batch_leaves_only_the_state(spark):
     """Intermediate tables and shuffle files go with the batch."""
     shared = spark.conf.get("spark.checkpoint.dir")
